@@ -27,47 +27,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, parts, release, steps, text_batches
-from .words import Words, grams, place, whole
+from .words import Words, grams, mix, place, whole
 
 WINDOW = 13
-PACK = "bucket int, hash binary, more binary, doc binary, run binary, pos binary, flag binary"
+PACK = "bucket int, hash binary, more binary, doc binary, tag binary, run binary, pos binary, flag binary"
+U8, U16, U32, U64, I64 = np.uint8, np.uint16, np.uint32, np.uint64, np.int64
 
 
-def _packed(doc, pos, hashes, buckets, more=None, flag=None) -> pa.RecordBatch:
-    """One row per bucket: hashes, and the documents (as runs) and positions they came from."""
-    where = place(hashes, buckets)
+def _heads(*columns) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _ends(heads: np.ndarray, n: int) -> np.ndarray:
+    return np.append(heads[1:], n)[: len(heads)]
+
+
+def _packed(where, doc, tag, pos, **more) -> pa.RecordBatch:
+    """One row per bucket ``where``: the documents (as runs), positions and further columns of its entries."""
     order = np.argsort(where, kind="stable")
-    where, doc, pos, low = where[order], doc[order], pos[order], hashes[order].astype(np.uint32)
-    small = np.uint16 if not len(pos) or pos.max() < 65536 else np.uint32
-    new = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.empty(0, int)
-    size = np.diff(np.r_[new, len(doc)]).astype(np.uint32)
-    heads = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.empty(0, int)
-    ends = np.r_[heads[1:], len(where)][: len(heads)].astype(int)
-    run_at = np.searchsorted(new, np.r_[heads, len(where)])
-    out = {k: [] for k in ("bucket", "hash", "more", "doc", "run", "pos", "flag")}
-    more = None if more is None else more[order]
-    flag = None if flag is None else flag[order]
-    for i, (a, b) in enumerate(zip(heads, ends, strict=True)):
-        r = slice(run_at[i], run_at[i + 1])
-        out["bucket"].append(int(where[a]))
-        out["hash"].append(low[a:b].tobytes())
-        out["more"].append(b"" if more is None else more[a:b].tobytes())
-        out["doc"].append(doc[new[r]].tobytes())
-        out["run"].append(size[r].tobytes())
-        out["pos"].append(pos[a:b].astype(small).tobytes())
-        out["flag"].append(b"" if flag is None else flag[a:b].tobytes())
-    kinds = {"bucket": pa.int32()}
-    return pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
-
-
-def _unpacked(t: pa.Table):
+    where, doc, tag, pos = where[order], doc[order], tag[order], pos[order]
+    small = U16 if not len(pos) or pos.max() < 65536 else U32
+    runs, heads = _heads(where, doc, tag), _heads(where)
+    ends, size = _ends(heads, len(where)), np.diff(np.append(runs, len(where))).astype(U32)
+    run_at = np.searchsorted(runs, np.append(heads, len(where)))
+    columns = {"pos": pos.astype(small)} | {k: v[order] for k, v in more.items()}
+    by_run = {"doc": doc[runs].astype(I64), "tag": tag[runs].astype(U32), "run": size}
+    out = {"bucket": pa.array(where[heads], pa.int32())}
+    for k in ("hash", "more", "doc", "tag", "run", "pos", "flag"):
+        if k in by_run:
+            got = [by_run[k][i:j].tobytes() for i, j in zip(run_at[:-1], run_at[1:], strict=True)]
+        else:
+            got = [columns[k][i:j].tobytes() for i, j in zip(heads, ends, strict=True)] if k in columns else [b""] * len(heads)
+        out[k] = pa.array(got[: len(heads)], pa.binary())
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _unpacked(t: pa.Table) -> dict[str, np.ndarray]:
     def joined(name, kind):
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
-    hashes = joined("hash", np.uint32)
-    doc = np.repeat(joined("doc", np.int64), joined("run", np.uint32))
-    pos = [np.frombuffer(p, np.uint16 if len(p) * 2 == len(h) else np.uint32).astype(np.uint32) for p, h in zip(t.column("pos").to_pylist(), t.column("hash").to_pylist(), strict=True)]
-    return hashes, doc, np.concatenate(pos), joined("more", np.uint64), joined("flag", np.uint8)
+    run = joined("run", U32)
+    size = [int(np.frombuffer(r, U32).sum()) for r in t.column("run").to_pylist()]
+    pos = [np.frombuffer(p, U16 if len(p) == 2 * n else U32).astype(U32) for p, n in zip(t.column("pos").to_pylist(), size, strict=True)]
+    out = {"doc": np.repeat(joined("doc", I64), run), "tag": np.repeat(joined("tag", U32), run), "pos": np.concatenate(pos)}
+    return out | {"hash": joined("hash", U32), "more": joined("more", U64), "flag": joined("flag", U8)}
+
+
+def _replies(x: dict, keep: np.ndarray, flag: np.ndarray, buckets: int) -> pa.Table:
+    """Entries on their way back to their documents, packed by document bucket."""
+    doc = x["doc"][keep]
+    batch = _packed(place(mix(doc.astype(U64)), buckets), doc, x["tag"][keep], x["pos"][keep], flag=flag[keep].astype(U8))
+    return pa.Table.from_batches([batch])
+
+
+def _ranges(doc, tag, pos) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of consecutive positions of sorted entries: index of the first entry, length."""
+    n = len(doc)
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, n))
+
+
+def _merge(block: int):
+    """Replies of a document bucket as one row per document: stretches of flag 1 positions and of flag 2 blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _unpacked(t)
+        out: dict[tuple, list[bytes]] = {}
+        for bit, name in ((1, 0), (2, 1)):
+            got = x["flag"] & bit > 0
+            doc, tag, pos = x["doc"][got], x["tag"][got], x["pos"][got].astype(I64) // (block if bit == 2 else 1)
+            order = np.lexsort((pos, tag, doc))
+            doc, tag, pos = doc[order], tag[order], pos[order]
+            keep = _heads(doc, tag, pos)
+            doc, tag, pos = doc[keep], tag[keep], pos[keep]
+            first, size = _ranges(doc, tag, pos)
+            pairs = np.stack([pos[first], size], 1).astype(U32)
+            heads = _heads(doc[first], tag[first])
+            for i, j in zip(heads, _ends(heads, len(first)), strict=True):
+                out.setdefault((int(doc[first[i]]), int(tag[first[i]])), [b"", b""])[name] = pairs[i:j].tobytes()
+        keys = list(out)
+        return pa.table({"doc_id": pa.array([k[0] for k in keys], pa.int64()), "tag": pa.array([k[1] for k in keys], pa.int64()), "late": pa.array([out[k][0] for k in keys], pa.binary()), "ref": pa.array([out[k][1] for k in keys], pa.binary())})
+
+    return run
+
+
+MERGED = "doc_id long, tag long, late binary, ref binary"
+
+
+def _cover(ranges: bytes | None, n: int, reach: int, step: int = 1, back: int = 0) -> np.ndarray:
+    """Which of n places lie in a stretch [start - back, last + reach) of the ranges."""
+    edge = np.zeros(n + 1, I64)
+    if ranges:
+        r = np.frombuffer(ranges, U32).reshape(-1, 2).astype(I64)
+        if step > 1:  # places of blocks, one by one
+            start = np.repeat(r[:, 0], r[:, 1]) + np.arange(r[:, 1].sum()) - np.repeat(np.cumsum(r[:, 1]) - r[:, 1], r[:, 1])
+            r = np.stack([start * step, np.ones_like(start)], 1)
+        np.add.at(edge, np.clip(r[:, 0] - back, 0, n), 1)
+        np.add.at(edge, np.clip(r[:, 0] + r[:, 1] - 1 + reach, 0, n), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("doc_id").to_numpy(zero_copy_only=False).astype(I64), b.column("tag").to_numpy(zero_copy_only=False).astype(U32)
 
 
 def _probes(block: int, window: int, buckets: int):
@@ -78,41 +148,26 @@ def _probes(block: int, window: int, buckets: int):
             row = w.rows()[: len(g)]
             ok = whole(w.first, block) & (w.counts[row] >= window)
             row, g = row[ok], g[ok]
-            pos = np.flatnonzero(ok) - w.first[row]
             if len(g):
-                yield _packed(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row], pos, g, buckets)
+                ids, tags = _ids(b)
+                yield _packed(place(g, buckets), ids[row], tags[row], np.flatnonzero(ok) - w.first[row], hash=g.astype(U32))
 
     return run
 
 
-def _per_doc(doc, columns: dict[str, np.ndarray]) -> pa.Table:
-    """One row per document, ``columns`` as bytes."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, int)
-    ends = np.r_[cut[1:], len(doc)][: len(cut)].astype(int)
-    out = {"doc_id": pa.array(doc[cut], pa.int64())}
-    for k, v in columns.items():
-        v = v[order]
-        out[k] = pa.array([v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())
-    return pa.table(out)
-
-
-def _meet(block: int):
+def _meet(block: int, buckets: int):
     def run(t: pa.Table) -> pa.Table:
-        """Probes that hit a block of a smaller document, and blocks that a larger document hits."""
-        h, doc, pos, _, _ = _unpacked(t)
-        order = np.lexsort((doc, h))
-        h, doc, pos = h[order], doc[order], pos[order]
-        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[head, len(h)])
-        is_block = pos % block == 0
-        large = np.iinfo(np.int64).max
-        least = np.repeat(np.minimum.reduceat(np.where(is_block, doc, large), head), size)
-        most = np.repeat(doc[np.r_[head[1:], len(h)] - 1], size)
-        late, ref = least < doc, is_block & (most > doc)
-        got = late | ref
-        return _per_doc(doc[got], {"hit": (pos[got].astype(np.uint64) << np.uint64(2)) | (late[got] * np.uint64(1)) | (ref[got] * np.uint64(2))})
+        """Probes that hit a block of a smaller document (1), and blocks that a larger document hits (2)."""
+        x = _unpacked(t)
+        order = np.lexsort((x["doc"], x["hash"]))
+        x = {k: x[k][order] for k in ("hash", "doc", "tag", "pos")}
+        head = _heads(x["hash"])
+        size = np.diff(np.append(head, len(order)))
+        is_block = x["pos"] % block == 0
+        least = np.repeat(np.minimum.reduceat(np.where(is_block, x["doc"], np.iinfo(I64).max), head), size)
+        most = np.repeat(x["doc"][_ends(head, len(order)) - 1], size)
+        flag = (least < x["doc"]) + 2 * (is_block & (most > x["doc"]))
+        return _replies(x, flag > 0, flag, buckets)
 
     return run
 
@@ -123,68 +178,49 @@ def _windows(block: int, window: int, buckets: int):
             w = Words(b.column("text"))
             hashes = w.hashes()
             g, g2 = grams(hashes, window), grams(hashes, window, seed=1)
-            ok = whole(w.first, window)
-            flag = np.zeros(len(g), np.uint8)
-            for i, hits in enumerate(b.column("hits").to_pylist()):
-                hit = np.frombuffer(b"".join(hits), np.uint64)
-                n = w.counts[i] - window + 1
-                if n <= 0:
-                    continue
-                mine = flag[w.first[i] : w.first[i] + n]
-                at, kind = (hit >> np.uint64(2)).astype(np.int64), (hit & np.uint64(3)).astype(np.uint8)
-                for back in range(window - block + 1):
-                    p = at - back
-                    fits = (p >= 0) & (p < n)
-                    np.bitwise_or.at(mine, p[fits], kind[fits])
-            pick = np.flatnonzero(ok & (flag > 0))
+            flag = np.zeros(len(g), U8)
+            for i, (late, ref) in enumerate(zip(b.column("late").to_pylist(), b.column("ref").to_pylist(), strict=True)):
+                n = int(w.counts[i]) - window + 1
+                if n > 0:
+                    mine = flag[w.first[i] : w.first[i] + n]
+                    mine[_cover(late, n, 1, 1, window - block)] |= 1
+                    mine[_cover(ref, n, 1, block, window - block)] |= 2
+            pick = np.flatnonzero(flag)
             if len(pick):
+                ids, tags = _ids(b)
                 row = w.rows()[pick]
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield _packed(ids[row], pick - w.first[row], g[pick], buckets, g2[pick], flag[pick])
+                yield _packed(place(g[pick], buckets), ids[row], tags[row], pick - w.first[row], hash=g[pick].astype(U32), more=g2[pick], flag=flag[pick])
 
     return run
 
 
-def _owned(t: pa.Table) -> pa.Table:
-    """Windows that also start in a smaller document: position and a check of the words."""
-    low, doc, pos, more, flag = _unpacked(t)
-    order = np.lexsort((doc, more, low))
-    low, doc, pos, more, flag = low[order], doc[order], pos[order], more[order], flag[order]
-    head = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (more[1:] != more[:-1])])
-    least = np.repeat(doc[head], np.diff(np.r_[head, len(low)]))
-    got = (least < doc) & (flag & 1 > 0)
-    return _per_doc(doc[got], {"mark": (pos[got].astype(np.uint64) << np.uint64(32)) | low[got].astype(np.uint64)})
+def _owned(buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Windows that also start in a smaller document."""
+        x = _unpacked(t)
+        order = np.lexsort((x["doc"], x["more"], x["hash"]))
+        x = {k: v[order] for k, v in x.items()}
+        head = _heads(x["hash"], x["more"])
+        least = np.repeat(x["doc"][head], np.diff(np.append(head, len(order))))
+        return _replies(x, (least < x["doc"]) & (x["flag"] & 1 > 0), np.ones(len(order), U8), buckets)
+
+    return run
 
 
 def _kept(window: int, text_out: bool):
     def run(batches):
         for b in steps(batches):
-            w = Words(b.column("text"))
-            marks = b.column("marks").to_pylist()
-            gone = np.zeros(len(w.starts), bool)
-            if any(marks):
-                g = grams(w.hashes(), window)
-                for i, m in enumerate(marks):
-                    if not m:
-                        continue
-                    m = np.frombuffer(b"".join(m), np.uint64)
-                    at, n = (m >> np.uint64(32)).astype(np.int64), w.counts[i] - window + 1
-                    at, check = at[at < n], m.astype(np.uint32)[at < n]
-                    at = at[g[w.first[i] + at].astype(np.uint32) == check] + w.first[i]
-                    edge = np.zeros(w.counts[i] + 1, np.int64)
-                    np.add.at(edge, at - w.first[i], 1)
-                    np.add.at(edge, at - w.first[i] + window, -1)
-                    gone[w.first[i] : w.first[i + 1]] = np.cumsum(edge[:-1]) > 0
-            out, removed, texts = [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
+            out, removed, counts, texts = [], [], [], []
+            for text, late in zip(b.column("text").to_pylist(), b.column("late").to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                mine = gone[w.first[i] : w.first[i + 1]]
-                removed.append(int(mine.sum()))
-                kept = b" ".join(compress(words, ~mine) if removed[-1] else words)
+                gone = _cover(late, len(words), window) if late else None
+                counts.append(len(words))
+                removed.append(0 if gone is None else int(gone.sum()))
+                kept = b" ".join(compress(words, ~gone) if removed[-1] else words)
                 out.append(hashlib.sha256(kept).hexdigest())
                 if text_out:
                     texts.append(kept.decode())
-            cols = {"doc_id": b.column("doc_id"), "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(out, pa.string())}
+            cols = {"doc_id": b.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(out, pa.string())}
             yield pa.RecordBatch.from_pydict(cols | ({"text": pa.array(texts, pa.string())} if text_out else {}))
 
     return run
@@ -194,19 +230,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text on request), one row per input row."""
     spark = docs.sparkSession
     text_batches(spark)
-    block, buckets = (window + 1) // 2, 2 * parts(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    block, buckets, back = (window + 1) // 2, 2 * parts(spark), parts(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.crc32("text"))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+
+    def merged(found: DataFrame, name: str) -> DataFrame:
+        out = materialize(found.groupBy("bucket").applyInArrow(_merge(block), MERGED), name)
+        release(spark)
+        return out
+
     probes = named.mapInArrow(_probes(block, window, buckets), PACK)
-    hits = materialize(probes.groupBy("bucket").applyInArrow(_meet(block), "doc_id long, hit binary"), "op3-hits")
-    release(spark)
-    hit = hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
-    near = named.join(hit, "doc_id").mapInArrow(_windows(block, window, buckets), PACK)
-    marks = materialize(near.groupBy("bucket").applyInArrow(_owned, "doc_id long, mark binary"), "op3-marks")
-    release(spark)
-    mark = marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, back), PACK), "op3-hits")
+    near = named.join(hits, ["doc_id", "tag"]).select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, buckets), PACK)
+    marks = merged(near.groupBy("bucket").applyInArrow(_owned(back), PACK), "op3-marks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text_out
-    return docs.join(mark, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_kept(window, text_out), schema)
+    return docs.join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "late").mapInArrow(_kept(window, text_out), schema)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
