@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .op2 import op2_best_fit_packing
 from .op3 import op3_substring_dedup
+from .op10 import op10_webp_media
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op10_webp_media)}
 ORACLES: dict[str, str] = {}
