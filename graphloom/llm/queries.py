@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from .op2 import op2_best_fit_packing
 from .op3 import op3_substring_dedup
+from .op4 import op4_toxicity
+from .op7 import op7_jaccard_join
+from .op8 import op8_secret_scan
+from .op9 import op9_pii
 from .op10 import op10_webp_media
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op10_webp_media)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_substring_dedup, op4_toxicity, op7_jaccard_join, op8_secret_scan, op9_pii, op10_webp_media)}
 ORACLES: dict[str, str] = {}

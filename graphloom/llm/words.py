@@ -53,11 +53,11 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a column: byte spans, index of each row's first word (and the end), 64-bit hashes."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = SPACE):
         raw, at = buffer(column)
         self.data = LOWER[raw] if lower else raw
         n = len(raw)
-        space = SPACE[raw]
+        space = space[raw]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         begin, end = ~space, ~space
