@@ -42,11 +42,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now instead of at the next garbage collection."""
+    """Let Spark delete the shuffle files of finished steps now instead of at some later garbage collection.
+
+    Twice: listeners may still hold the plan that has just ended.
+    """
     import gc
+    import time
+
+    for _ in range(2):
+        time.sleep(0.4)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that is not among ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def parts(spark: SparkSession) -> int:

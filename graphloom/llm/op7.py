@@ -21,6 +21,8 @@ Shingles are compared by 64-bit hash.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -96,29 +98,48 @@ def size_classes(n: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np
     return [k, np.where(den * n >= num * above, k + 1, -1)]
 
 
-def groups_of(k: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One more than the largest symmetric difference of linked sets whose larger one is of class k."""
-    most = np.ceil(GROWTH ** (k + 1)).astype(np.int64) - 1
-    # intersection >= num (a + b) / (num + den), so the difference is at most (den - num) (a + b) / (num + den)
-    return (den - num) * 2 * most // (num + den) + 1
-
+@lru_cache(4096)
+def _split(k: int, num: int, den: int) -> tuple[int, int]:
+    """Groups of a size class, and how many of them may be empty without being sent.
 
-def signatures(row, value, n, at, num, den) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of each group of each set, empty groups included."""
+    A symmetric difference of d spoils at most d groups, so with d + 1 + e groups at least e + 1 agree. They can all be
+    empty only in sets with more than e empty groups; only those send their empty groups too. e is picked so that sets of
+    the class hardly ever have so many.
+    """
+    least, most = int(np.ceil(GROWTH**k)), int(np.ceil(GROWTH ** (k + 1))) - 1
+    # intersection >= num (a + b) / (num + den), so the difference is at most (den - num) (a + b) / (num + den)
+    d = (den - num) * 2 * most // (num + den)
+    if not d:
+        return 1, 0
+    for e in range(1, d + 4):
+        empty = (d + 1 + e) * np.exp(-least / (d + 1 + e))
+        if empty + 5 * empty**0.5 + 1 <= e:
+            break
+    return d + 1 + e, e
+
+
+def signatures(row, value, n, num, den) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature of each group of each set; empty groups only of sets that have many of them."""
     rows, out = [], []
     for k in size_classes(n, num, den):
-        many = np.where((k >= 0) & (n > 0), groups_of(np.maximum(k, 0), num, den), 0)
-        many = np.where(many < 2, 0, many)  # one group: only equal sets, and those are one class
+        many, spare = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        for c in np.unique(k[n > 0]).tolist():
+            if c >= 0 and (split := _split(c, num, den))[0] > 1:  # one group: only equal sets, and those are one class
+                own = (k == c) & (n > 0)
+                many[own], spare[own] = split
         first = np.cumsum(many) - many
         pick = many[row] > 0
         r, v = row[pick], value[pick]
         group = (((mix(v ^ U(0x1234567)) >> U(32)) * many[r].astype(U)) >> U(32)).astype(np.int64)
-        total = np.zeros(int(many.sum()), U)
+        total, held = np.zeros(int(many.sum()), U), np.zeros(int(many.sum()), bool)
         np.add.at(total, first[r] + group, mix(v ^ U(0x7F4A7C15)))
+        held[first[r] + group] = True
         each = np.repeat(np.arange(len(n)), many)
+        empty = many - np.bincount(each, weights=held, minlength=len(n)).astype(np.int64)
+        sent = held | (empty > spare)[each]
         nth = np.arange(len(total)) - first[each]
-        rows.append(each)
-        out.append(mix(total + mix((np.repeat(k, many) * 1_000_003 + nth).astype(U))))
+        rows.append(each[sent])
+        out.append(mix(total + mix((np.repeat(k, many) * 1_000_003 + nth).astype(U)))[sent])
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -126,11 +147,11 @@ def _signed(k: int, num: int, den: int, buckets: int):
     def run(batches):
         for b in steps(batches):
             row, value = shingles(b.column("text"), k)
-            n, s1, _, at = _sums(row, value, b.num_rows)
+            n, s1, _, _ = _sums(row, value, b.num_rows)
             first = np.zeros(b.num_rows, bool)
             first[np.unique(s1, return_index=True)[1]] = True  # copies in a batch send once
             keep = first[row]
-            row, sig = signatures(row[keep], value[keep], np.where(first, n, 0), at, num, den)
+            row, sig = signatures(row[keep], value[keep], np.where(first, n, 0), num, den)
             where = place(sig, buckets)
             order = np.argsort(where, kind="stable")
             where, sig, sid = where[order], sig[order].astype(np.uint32), s1[row[order]]

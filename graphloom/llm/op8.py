@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .native import listed, quoted, spans
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -92,11 +92,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         F.expr("CAST(size(filter(told, x -> x.few)) AS LONG)").alias("n_live"),
         F.expr("CAST(size(filter(told, x -> NOT x.few AND x.k < 3)) AS LONG)").alias("n_shared"),
         F.expr(listed("filter(told, x -> x.few)", KINDS)).alias("live"),
+        F.expr("transform(filter(told, x -> x.few), x -> named_struct('s', x.s, 'e', x.e))").alias("live_spans"),
         F.col("key").alias("text_key"),
     )
 
 
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, and stars in place of owner-specific secrets. Widely copied ones stay."""
+    who, key, spans_ = (fresh(docs.columns, f"_{n}") for n in ("id", "key", "live"))
+    live = scan(docs, id_col, text_col, **options).filter("size(live_spans) > 0").select(F.col("doc_id").alias(who), F.col("text_key").alias(key), F.col("live_spans").alias(spans_)).dropDuplicates([who, key])
+    # rows with secrets grow with the corpus: never broadcast
+    same = F.col(who).eqNullSafe(F.col(id_col).cast("long")) & (F.col(key) == F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    starred = F.expr(f"CASE WHEN {spans_} IS NULL THEN {text_col} ELSE aggregate({spans_}, {text_col}, (t, x) -> overlay(t PLACING repeat('*', x.e - x.s) FROM x.s + 1 FOR x.e - x.s)) END")
+    return docs.join(live.hint("merge"), same, "left").select(*[starred.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return scan(table(spark, sf_dir, "documents")).drop("text_key")
+    return scan(table(spark, sf_dir, "documents")).drop("text_key", "live_spans")

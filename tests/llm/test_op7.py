@@ -42,6 +42,12 @@ def test_chains_of_near_copies(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain(rows))
 
 
+def test_five_words_and_four_fifths(spark):
+    rows = family(3)
+    got = op7.jaccard_components(awkward(spark, rows), k=5, num=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain(rows, 5, 80))
+
+
 def test_awkward_rows(spark):
     rows = family(2)[:60] + [(900, None), (901, ""), (902, " \n"), (903, "One"), (904, "one"), (905, "one two"), (906, "two one"), (None, "one"), (907, "É b c d"), (908, "é b c d"), (909, "a " * 90_000), (910, "a " * 70_000), (911, "z"), (911, "z")]
     rows += [(1000 + i, "an exact copy of the same text") for i in range(40)]
@@ -60,12 +66,12 @@ def test_signatures_meet_for_every_linked_pair():
             cut = int(rng.integers(0, n // 10 + 1))
             a, b = base[:n], base[cut : n + int(rng.integers(0, n // 10 + 1))]
             both = len(np.intersect1d(a, b))
-            if not op7.enough(both, len(a), len(b), 90, 100) or len(a) == len(b) == both:
-                continue
-            row, value = np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[np.sort(a), np.sort(b)]
-            size = np.array([len(a), len(b)])
-            r, s = op7.signatures(row, value, size, None, 90, 100)
-            assert set(s[r == 0]) & set(s[r == 1])
+            for num in (80, 90):
+                if not op7.enough(both, len(a), len(b), num, 100) or len(a) == len(b) == both:
+                    continue
+                row, value = np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[np.sort(a), np.sort(b)]
+                r, s = op7.signatures(row, value, np.array([len(a), len(b)]), num, 100)
+                assert set(s[r == 0]) & set(s[r == 1])
 
 
 def test_rtree_pages_lose_no_pair():

@@ -1,0 +1,67 @@
+import pytest
+from brute import jaccard
+from test_op1 import plain as leaks
+from test_op2 import held
+
+import corpus_pipeline as P
+from graphloom.llm import op4
+from graphloom.llm.common import table
+from graphloom.llm.op8 import scan
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [table(spark, sf, "documents").cache()]
+    for _, stage in P.STAGES:
+        docs.append(spark.createDataFrame(stage(spark, docs[-1], sf).toPandas(), stage(spark, docs[-1], sf).schema))
+    return [d.collect() for d in docs], docs
+
+
+def test_columns_and_names(stages):
+    assert [n for n, _ in P.STAGES] == ["toxicity", "near_copies", "decontamination", "secrets", "packing"]
+    assert all(d.columns == stages[1][0].columns for d in stages[1][:-1])
+
+
+def test_toxic_documents_go(spark, sf, stages):
+    got = op4.op4_toxicity(spark, sf).collect()
+    assert {r.doc_id for r in stages[0][1]} == {r.doc_id for r in got if not r.predicted}
+
+
+def test_one_document_of_each_group_stays(stages):
+    rows = [(r.doc_id, r.text) for r in stages[0][1]]
+    assert {r.doc_id for r in stages[0][2]} == {d for d, _, c in jaccard(rows, 5, 80) if d == c}
+
+
+def test_leaks_go(spark, sf, stages):
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    bad = {d for d, _ in leaks([(r.doc_id, r.text) for r in stages[0][2]], items)}
+    assert {r.doc_id for r in stages[0][3]} == {r.doc_id for r in stages[0][2]} - bad
+
+
+def test_secrets_are_starred(spark, stages):
+    before, after = ({r.doc_id: r.text for r in stages[0][i]} for i in (3, 4))
+    live = {r.doc_id: [x.split(":") for x in r.live.split(",") if x] for r in scan(stages[1][3]).collect()}
+    assert before.keys() == after.keys()
+    for d, text in before.items():
+        want = list(text)
+        for _, s, e in live[d]:
+            want[int(s) : int(e)] = "*" * (int(e) - int(s))
+        assert after[d] == "".join(want)
+
+
+def test_packed(stages):
+    used, least = held([(r.doc_id, r.text) for r in stages[0][4]], stages[0][5])
+    assert used <= least + 1
+
+
+def test_run(spark, sf, stages):
+    got = P.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in got) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in stages[0][5])
+
+
+def test_empty_and_clashing_tables(spark, sf, tmp_path):
+    docs = table(spark, sf, "documents").limit(0).selectExpr("*", "1 AS score", "'x' AS hits", "2 AS _key")
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.collect() == []
