@@ -51,13 +51,14 @@ def _ends(heads: np.ndarray, n: int) -> np.ndarray:
 def _packed(where, doc, tag, pos, **more) -> pa.RecordBatch:
     """One row per bucket ``where``: the documents (as runs), positions and further columns of its entries."""
     order = np.argsort(where, kind="stable")
-    where, doc, tag, pos = where[order], doc[order], tag[order], pos[order]
+    where, doc, pos = where[order], doc[order], pos[order]
+    tag = np.zeros(len(doc), U32) if tag is None else tag[order]
     small = U16 if not len(pos) or pos.max() < 65536 else U32
     runs, heads = _heads(where, doc, tag), _heads(where)
     ends, size = _ends(heads, len(where)), np.diff(np.append(runs, len(where))).astype(U32)
     run_at = np.searchsorted(runs, np.append(heads, len(where)))
     columns = {"pos": pos.astype(small)} | {k: v[order] for k, v in more.items()}
-    by_run = {"doc": doc[runs].astype(I64), "tag": tag[runs].astype(U32), "run": size}
+    by_run = {"doc": doc[runs].astype(I64), "tag": tag[runs].astype(U32), "run": size.astype(U16 if not len(size) or size.max() < 65536 else U32)}
     out = {"bucket": pa.array(where[heads], pa.int32())}
     for k in ("hash", "more", "doc", "tag", "run", "pos", "flag"):
         if k in by_run:
@@ -72,8 +73,9 @@ def _unpacked(t: pa.Table) -> dict[str, np.ndarray]:
     def joined(name, kind):
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
-    run = joined("run", U32)
-    size = [int(np.frombuffer(r, U32).sum()) for r in t.column("run").to_pylist()]
+    docs = [len(d) // 8 for d in t.column("doc").to_pylist()]
+    runs = [np.frombuffer(r, U16 if len(r) == 2 * n else U32) for r, n in zip(t.column("run").to_pylist(), docs, strict=True)]
+    size, run = [int(r.sum(dtype=I64)) for r in runs], np.concatenate([r.astype(I64) for r in runs])
     pos = [np.frombuffer(p, U16 if len(p) == 2 * n else U32).astype(U32) for p, n in zip(t.column("pos").to_pylist(), size, strict=True)]
     out = {"doc": np.repeat(joined("doc", I64), run), "tag": np.repeat(joined("tag", U32), run), "pos": np.concatenate(pos)}
     return out | {"hash": joined("hash", U32), "more": joined("more", U64), "flag": joined("flag", U8)}
@@ -149,8 +151,8 @@ def _probes(block: int, window: int, buckets: int):
             ok = whole(w.first, block) & (w.counts[row] >= window)
             row, g = row[ok], g[ok]
             if len(g):
-                ids, tags = _ids(b)
-                yield _packed(place(g, buckets), ids[row], tags[row], np.flatnonzero(ok) - w.first[row], hash=g.astype(U32))
+                ids, _ = _ids(b)
+                yield _packed(place(g, buckets), ids[row], None, np.flatnonzero(ok) - w.first[row], hash=g.astype(U32))
 
     return run
 
@@ -230,7 +232,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text on request), one row per input row."""
     spark = docs.sparkSession
     text_batches(spark)
-    block, buckets, back = (window + 1) // 2, 2 * parts(spark), parts(spark)
+    block, buckets, back = (window + 1) // 2, parts(spark), parts(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.crc32("text"))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
@@ -240,8 +242,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out
 
     probes = named.mapInArrow(_probes(block, window, buckets), PACK)
-    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, back), PACK), "op3-hits")
-    near = named.join(hits, ["doc_id", "tag"]).select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, buckets), PACK)
+    # hits are by id alone: for rows that share an id they only name more windows to look at
+    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, back), PACK), "op3-hits").drop("tag")
+    near = named.join(hits, "doc_id").select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, buckets), PACK)
     marks = merged(near.groupBy("bucket").applyInArrow(_owned(back), PACK), "op3-marks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text_out
     return docs.join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "late").mapInArrow(_kept(window, text_out), schema)
