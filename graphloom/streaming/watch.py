@@ -24,7 +24,7 @@ def branch_switches(events: DataFrame, key: str, branch: str, order: list[str])
 
 def head_branch(head: Column) -> Column:
     """Branch named by the text of a HEAD file, else the first eight signs of a detached commit."""
-    return F.when(F.contains(head, F.lit("refs/heads/")), F.trim(F.regexp_replace(head, "(?s)^.*?refs/heads/", ""))).otherwise(F.left(F.trim(head), F.lit(8)))
+    return F.when(F.contains(head, F.lit("refs/heads/")), F.regexp_extract(head, "refs/heads/(\\S+)", 1)).otherwise(F.left(F.trim(head), F.lit(8)))
 
 
 def heartbeat_status(beats: DataFrame, now: datetime, within: int = ONLINE) -> DataFrame:
@@ -37,7 +37,7 @@ def new_files(spark: SparkSession, folder: str, per_trigger: int = 1000) -> Data
     """A stream of source files as they appear: path, modificationTime, source."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     s = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.{swift,m,h}").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
-    return s.filter(~F.contains(F.col("path"), F.lit("Pods/")) & ~F.contains(F.col("path"), F.lit(".build/"))).select("path", "modificationTime", F.decode("content", "UTF-8").alias("source"))
+    return s.filter(~F.contains(F.col("path"), F.lit("Pods/")) & ~F.contains(F.col("path"), F.lit(".build/"))).select("path", "modificationTime", F.make_valid_utf8(F.col("content").cast("string")).alias("source"))
 
 
 def replace_each_batch(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None], once: bool = True):
