@@ -25,7 +25,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: The same spans as runs of the class that are long enough: a run that is too short holds no match.
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-OWNED = r"[A-Za-z0-9_+/=-]{20,}+"
+#: A whole run with a digit in it.
+OWNED = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"
 KINDS = ("assign", "access", "hex", "owned")
 FEW_OWNERS = 2
 
