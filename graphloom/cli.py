@@ -36,7 +36,7 @@ def build(spark: SparkSession, path: str, out: str, branch: str = "master", mapp
     calls = spark.read.parquet(f"{out}/calls")
     stats.domain_communities(functions, branch).write.mode("overwrite").parquet(f"{out}/communities")
     entries = traverse.entry_points(functions, ["viewDidLoad", "viewDidAppear", "viewWillAppear", "application:didFinishLaunchingWithOptions", "applicationDidBecomeActive", "scene:willConnectTo", "didReceiveRemoteNotification", "handleDeepLink"], branch)
-    trace = traverse.process_trace(calls, functions, entries)
+    trace = traverse.process_trace(calls, functions, entries, branch=branch)
     trace.select(F.col("node").alias("id"), F.concat(F.lit("process:"), "start").alias("process")).write.mode("overwrite").parquet(f"{out}/members")
     return {k: spark.read.parquet(f"{out}/{k}").count() for k in ("files", "classes", "functions", "calls", "communities", "members")}
 

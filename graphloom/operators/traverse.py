@@ -95,16 +95,29 @@ def entry_points(functions: DataFrame, patterns: list[str], branch: str = "maste
     return functions.filter(F.col("branch").isin(branch, "master") & (F.col("isPublic") | named)).orderBy("id").limit(limit)
 
 
-def process_trace(calls: DataFrame, functions: DataFrame, entries: DataFrame, depth: int = 15, most: int = 50) -> DataFrame:
-    """start, node, depth: what each entry reaches among functions of a known domain, nearest first, at most ``most`` with the
-    entry; entries that reach nothing are left out."""
+def process_trace(calls: DataFrame, functions: DataFrame, entries: DataFrame, depth: int = 15, most: int = 50, branch: str = "master") -> DataFrame:
+    """start, node, depth: the nodes on an entry's ways to functions of a known domain on the branch, nearest first.
+
+    Only the end of a way must be such a function: a node of unknown domain counts if it leads on to one within ``depth``. At most
+    ``most`` nodes with the entry; entries that reach nothing are left out.
+    """
     from pyspark.sql import Window
 
-    valid = functions.filter("domain <> 'unknown'").select(F.col("id").alias("node"))
-    got = levels(calls, entries.select("id"), depth).filter("node <> start").join(valid, "node", "left_semi")
+    valid = functions.filter("domain <> 'unknown'").filter(F.col("branch").isin(branch, "master")).select(F.col("id").alias("node"))
+    all_ = materialize(levels(calls, entries.select("id"), depth), "trace")
+    kept = all_.join(valid, "node", "left_semi").select("start", "node", "depth")
+    rest = all_.join(valid, "node", "left_anti").select("start", "node", "depth")
+    step = calls.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    front = kept.select("start", F.col("node").alias("next"))
+    for k in range(1, depth):
+        if rest.isEmpty():
+            break
+        more = materialize(rest.filter(F.col("depth") + k <= depth).join(step, "node").join(front, ["start", "next"], "left_semi").select("start", "node", "depth").distinct(), "trace")
+        if more.isEmpty():
+            break
+        kept, rest = kept.unionByName(more), rest.join(more.select("start", "node"), ["start", "node"], "left_anti")
+        front = more.select("start", F.col("node").alias("next"))
     rank = F.row_number().over(Window.partitionBy("start").orderBy("depth", "node"))
-    got = got.withColumn("r", rank).filter(F.col("r") < most).select("start", "node", "depth")
+    got = kept.filter("node <> start").withColumn("r", rank).filter(F.col("r") < most).select("start", "node", "depth")
     first = got.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))
     return first.unionByName(got)
-
-

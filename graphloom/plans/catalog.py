@@ -428,7 +428,7 @@ def entry_points(spark, sf):
 @query(GR + reach("rc", "top", 5) + """, r AS (SELECT start, node, depth, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS r FROM rc WHERE node <> start)
     SELECT start, node, depth FROM r WHERE r < 50 UNION ALL SELECT DISTINCT start, start, 0 FROM r""")
 def process_trace(spark, sf):
-    return G.process_trace(D.calls(spark, sf), D.functions(spark, sf), D.caller(spark, sf), 5)
+    return G.process_trace(D.calls(spark, sf), D.functions(spark, sf), D.caller(spark, sf), 5, branch="feature")
 
 
 # --- counts ------------------------------------------------------------------------------------------------------

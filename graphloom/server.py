@@ -76,3 +76,35 @@ def serve(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
     for line in lines:
         if line.strip() and (reply := answer(engine, json.loads(line))) is not None:
             print(json.dumps(reply), file=out, flush=True)
+
+
+def http_server(engine: Engine, port: int = 8080, host: str = "127.0.0.1"):
+    """The same tools over HTTP: POST /api/mcp/<tool> with its arguments, GET /health. The caller runs and closes it."""
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def _send(self, status: int, body: Any) -> None:
+            data = json.dumps(body).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self) -> None:
+            self._send(200, {"status": "ok"}) if self.path == "/health" else self._send(404, {"error": "not found"})
+
+        def do_POST(self) -> None:
+            name = self.path.removeprefix("/api/mcp/").replace("-", "_").replace("impact_scope", "impact")
+            try:
+                args = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
+                self._send(200, call(engine, name, args))
+            except KeyError as e:
+                self._send(404, {"error": f"unknown {e}"})
+            except Exception as e:  # told to the caller
+                self._send(400, {"error": f"{type(e).__name__}: {e}"})
+
+        def log_message(self, *args) -> None:
+            pass
+
+    return ThreadingHTTPServer((host, port), Handler)

@@ -155,9 +155,11 @@ def test_trails_repeat_no_edge(spark, cycle):
 
 
 def test_process_trace(spark, cycle):
-    f = spark.createDataFrame([("a", "x"), ("b", "unknown"), ("c", "y"), ("d", "z")], "id string, domain string")
-    got = {(r.start, r.node, r.depth) for r in G.process_trace(cycle, f, spark.createDataFrame([("a",), ("d",)], "id string")).collect()}
-    assert got == {("a", "a", 0), ("a", "c", 1), ("a", "d", 2)}
+    f = spark.createDataFrame([("a", "x", "master"), ("b", "unknown", "master"), ("c", "y", "master"), ("d", "z", "other"), ("e", "unknown", "master"), ("f", "unknown", "master")], "id string, domain string, branch string")
+    more = cycle.unionByName(spark.createDataFrame([("c", "e", 1), ("e", "f", 1)], cycle.schema))
+    got = {(r.start, r.node, r.depth) for r in G.process_trace(more, f, spark.createDataFrame([("a",), ("d",)], "id string")).collect()}
+    # b leads on to c; e and f lead nowhere known; d is on another branch
+    assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 1)}
 
 
 def test_ladder(spark):

@@ -98,3 +98,55 @@ def test_command_line_and_rpc(engine, spark, sf, capsys):
     got = answer(engine, {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "context", "arguments": {"symbol": name}}})
     assert "outgoing" in json.loads(got["result"]["content"][0]["text"])
     assert answer(engine, {"jsonrpc": "2.0", "id": 3, "method": "nope"})["error"]["code"] == -32601
+
+
+def test_http(engine):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from graphloom.server import http_server
+
+    server = http_server(engine, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    assert json.load(urllib.request.urlopen(f"{base}/health")) == {"status": "ok"}
+    got = json.load(urllib.request.urlopen(urllib.request.Request(f"{base}/api/mcp/search", json.dumps({"query": "red steel", "limit": 3}).encode())))
+    assert got and got[0]["score"] > 0
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(urllib.request.Request(f"{base}/api/mcp/nothing", b"{}"))
+    server.shutdown()
+
+
+def test_workspace(spark, tmp_path):
+    from graphloom.sources import workspace as P
+
+    for name in ("Net/Api/a.swift", "Pods/x.swift", "One/Two/Three/Four/deep.m", "Login Flow/l.h", "top.swift", "docs/readme.md"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    got = P.generate_mapping(P.listing(spark, str(tmp_path)), str(tmp_path))
+    assert {(r.prefix, r.domain) for r in got.collect()} == {("Net/Api/", "networking"), ("Login Flow/", "auth")}
+    P.write_mapping(got, str(tmp_path / "m.yaml"))
+    assert P.load_mapping(str(tmp_path / "m.yaml")) == {"Net/Api/": "networking", "Login Flow/": "auth"}
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "id string, embedding array<float>")
+    nodes = W.set_embeddings(spark.createDataFrame([("a", 1), ("c", 2)], "id string, n int"), vectors)
+    assert {(r.id, r.n, tuple(r.embedding or ())) for r in nodes.collect()} == {("a", 1, (1.0, 2.0)), ("c", 2, ())}
+    assert W.one_dimension(vectors) == 2
+    over = W.upsert_overlay(spark.createDataFrame([("x", "1", "2024")], "branch string, commitHash string, lastUpdated string"), "y", "2", "2025")
+    assert [r.branch for r in W.upsert_overlay(over, "x", "3", "2026").collect()] == ["x", "y"]
+
+
+def test_git_diff(spark, tmp_path):
+    import subprocess
+
+    from graphloom.sources import workspace as P
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "a.swift").write_text("one\ntwo\nthree\n")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    (tmp_path / "a.swift").write_text("one\n2\nthree\nfour\n")
+    got = sorted((r.filePath, r.line) for r in C.changed_lines(P.git_diff(spark, str(tmp_path), "HEAD")).collect())
+    assert got == [("a.swift", 2), ("a.swift", 4)]
