@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op5
+from . import op5, oracles
 from .op1 import op1_decontamination
 from .op2 import op2_best_fit_packing
 from .op3 import op3_substring_dedup
@@ -18,4 +18,9 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_best_fit_packing, op3_substring_dedup, op4_toxicity, op5_license_scan, op6_warc_derivatives, op7_jaccard_join, op8_secret_scan, op9_pii, op10_webp_media)
 }
-ORACLES: dict[str, str] = {"op5_license_scan": op5.oracle()}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": oracles.OP3,
+    "op5_license_scan": op5.oracle(),
+    "op7_jaccard_join": oracles.OP7,
+    "op8_secret_scan": oracles.op8(),
+}
