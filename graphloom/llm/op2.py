@@ -22,7 +22,9 @@ import bisect
 import os
 import pickle
 import random
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from .common import materialize, release, steps, text_batches
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and the sum of their lengths.
-CACHE_WORDS, CACHE_CHARS = 400_000, 8_000_000
+CACHE_WORDS, CACHE_CHARS = 700_000, 12_000_000
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 4, 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -41,8 +43,22 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 # --- tokens -------------------------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies use for each byte: itself if printable, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of texts as bytes. Pieces of the pre-tokeniser never span white space, so words are encoded once each."""
+    """Ids of texts as bytes.
+
+    Pieces of the pre-tokeniser never span white space, so words are encoded once each. Words of plain or Latin-1
+    letters are one piece and are their own normal form once lower-cased; they go straight to the BPE model. A full stop
+    or comma after such a word is a piece of its own. All others go through the whole tokeniser.
+    """
+
+    PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,23 +66,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        letters = _byte_letters()
+        self.letters = {chr(b): letters[b] for b in range(256)}
+        self.tails = {c: self._whole([c])[0] for c in ".,"}
+        self._empty()
+
+    def _empty(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
         self.chars = 0
 
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        known, plain, model, other = self.known, self.PLAIN.fullmatch, self.tokenizer.model, []
+        for w in new:
+            core, tail = (w[:-1], self.tails[w[-1]]) if w[-1] in ".," else (w, b"")
+            low = core.lower()
+            if not plain(low):
+                other.append(w)
+                continue
+            got = known.get(low)
+            if got is None:
+                raw = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode().decode("latin-1")))
+                got = known[low] = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
+            known[w] = got + tail
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
+            known.update(zip(some, self._whole(some), strict=True))
+        self.chars += sum(map(len, new))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.known, self.chars = {"": b""}, 0
-        known = self.known
-        split = []
+            self._empty()
+        known, split = self.known, []
         for t in texts:
             t = t.lower() if t.isascii() else t
             split.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        self.chars += sum(map(len, new))
+        self._learn(list(set().union(*split) - known.keys()))
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -266,7 +303,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = slots(plan_bins(spark, counts, capacity))
     before = by_part.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    placed = pieces.join(before, ["part", "length"]).withColumn("ordinal", F.col("before") + F.col("rank"))
+    placed = pieces.join(before.hint("merge"), ["part", "length"]).withColumn("ordinal", F.col("before") + F.col("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "ordinal").mapInArrow(_assign(table), schema)
 

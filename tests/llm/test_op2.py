@@ -44,6 +44,7 @@ def test_tables(spark, sf):
 
 def test_awkward_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "x" * 20_000), (3, "x" * 20_000), (4, "It's DON'T é É \x1c   naïve<|endoftext|> 12.5\t\r\n!!"), (5, "ha " * 9000)]
+    rows += [(6, "İstanbul ΣΑΣ. ß ÿ. É, é. x.. x. ., a.b 'S. it's, don't. ×a ﬁ. Ǆ, 你好. a b. \x85  c. --. a1. 1. ª. µ, . K Å ẞ"), (7, "A.B.C, ȩ́x.\n\ny x.. e\u0301a. e\u0301")]
     held(rows, pack(awkward(spark, rows)).collect())
     assert pack(awkward(spark, rows).limit(0)).collect() == []
 
