@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,45 +12,54 @@ from ..functions.text import cosine, terms
 K1, B, FLOOR, FUSE = 1.5, 0.75, 0.25, 60
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.size(terms(F.col(text_col))).alias("dl"))
 
 
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """term, df: documents with each term. Terms are made distinct in their row, so only terms are shuffled, combined first."""
+    return docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _raw_idf(n: float, df):
+    return F.log(F.lit(float(n)) - df + 0.5) - F.log(df + 0.5)
+
+
+def mean_idf(docs: DataFrame, text_col: str, n: int) -> float:
+    """Mean raw idf over all terms of the corpus."""
+    return float(term_counts(docs, text_col).agg(F.avg(_raw_idf(n, F.col("df")))).first()[0] or 0)
+
+
 def corpus_stats(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, float, float]:
-    """Documents, mean length, mean raw idf over all terms: three numbers, one pass each over lengths and term counts."""
+    """Documents, mean length, mean raw idf over all terms: three numbers."""
     n, mean = lengths(docs, id_col, text_col).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    df = postings(docs, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    return n, float(mean or 0), float(df.agg(F.avg(idf)).first()[0] or 0)
+    return n, float(mean or 0), mean_idf(docs, text_col, n)
 
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int, stats: tuple | None = None) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, k: int) -> DataFrame:
     """id, score, rank: the k best documents above 0 for a query; terms of the query count as often as they occur.
 
-    Only the query's terms are looked up: each text is cut to them right after tokenising, before any shuffle.
+    One pass counts documents, lengths and the query's own document frequencies; a second scores each row by itself, without
+    a shuffle. The mean idf, which takes all terms of the corpus, is only worked out if a query term needs it.
     """
     spark = docs.sparkSession
-    n, mean, mean_idf = stats or corpus_stats(docs, id_col, text_col)
     asked: dict[str, int] = {}
     for t in spark.range(1).select(terms(F.lit(query))).first()[0]:
         asked[t] = asked.get(t, 0) + 1
     if not asked:
         return spark.createDataFrame([], "id long, score double, rank long")
-    words = F.array(*[F.lit(t) for t in asked])
+    names, words = list(asked), F.array(*[F.lit(t) for t in asked])
     own = docs.select(F.col(id_col).alias("id"), terms(F.col(text_col)).alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda x: F.array_contains(words, x)).alias("t"))
-    tf = own.filter(F.size("t") > 0).select("id", "dl", F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = {r.term: r.df for r in tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most the query's terms
-    weights = spark.createDataFrame([(t, c, df[t]) for t, c in asked.items() if t in df], "term string, times int, df long")
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = F.when(raw < 0, F.lit(FLOOR * mean_idf)).otherwise(raw)
-    part = idf * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    scored = tf.join(F.broadcast(weights), "term").groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
-    return ranked(scored, "score", k)
+    n, mean, *df = own.agg(F.count(F.lit(1)), F.avg("dl"), *[F.sum(F.array_contains("t", t).cast("int")) for t in names]).first()
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in zip(names, df, strict=True) if d}
+    floor = FLOOR * mean_idf(docs, text_col, n) if any(v < 0 for v in raw.values()) else 0.0
+    if not raw:
+        return spark.createDataFrame([], "id long, score double, rank long")
+    weights = F.array(*[F.struct(F.lit(t).alias("t"), F.lit((floor if v < 0 else v) * asked[t]).alias("w")) for t, v in raw.items()])
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(mean)))
+    tf = lambda w: F.size(F.filter("t", lambda x: x == w["t"]))
+    total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w["w"] * tf(w) * (K1 + 1) / (tf(w) + norm))
+    return ranked(own.filter(F.size("t") > 0).select("id", F.round(total, 6).alias("score")).filter("score > 0"), "score", k)
 
 
 def ranked(scored: DataFrame, by: str, k: int) -> DataFrame:

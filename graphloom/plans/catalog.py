@@ -542,7 +542,7 @@ def tokenize_terms(spark, sf):
 def bm25_stats(spark, sf):
     d = read(spark, sf, "documents")
     n, mean, idf = H.corpus_stats(d, "doc_id", "text")
-    distinct = H.postings(d, "doc_id", "text").select("term").distinct().agg(F.count(F.lit(1)).alias("terms"))
+    distinct = H.term_counts(d, "text").agg(F.count(F.lit(1)).alias("terms"))
     return distinct.select(F.lit(n).cast("long").alias("documents"), F.round(F.lit(mean), 6).alias("mean_length"), F.round(F.lit(idf), 6).alias("mean_idf"), "terms")
 
 
