@@ -6,7 +6,7 @@ Documents are sets of distinct word shingles; two link when ``den * intersection
 2. Shingle hashes fall into groups. Two linked sets differ in few shingles; with one more group than that, by size class,
    some group holds the same shingles in both. Each set sends a signature of each group's shingles, so sets that can
    link meet at a signature. Signatures travel packed in buckets.
-3. Each set is also a point: how many of its shingles fall into each of 64 groups. The sum of coordinate minima bounds the
+3. Each set is also a point: how many of its shingles fall into each of 256 groups. The sum of coordinate minima bounds the
    intersection of two sets; pairs whose bound is too low are dropped unseen.
 4. At each signature the first set is held against the others (bound, then exact). What this links is one component.
    Where members still lie in different components, their points are packed into an R-tree: pages of near points with
@@ -34,7 +34,8 @@ from .components import connected
 from .words import U, Words, grams, mix, place, whole
 
 SHINGLE, NUM, DEN = 3, 90, 100
-POINT, PAGE, TILE = 64, 64, 2048
+POINT, PAGE, TILE = 256, 64, 2048
+FULL, COARSE = 255, 64
 #: Size classes of sets grow by this factor.
 GROWTH = 1.3
 SETS = "doc_id long, n long, s1 long, s2 long, point binary"
@@ -76,8 +77,8 @@ def _sets(k: int):
             row, value = shingles(b.column("text"), k)
             n, s1, s2, _ = _sums(row, value, b.num_rows)
             points = np.zeros((b.num_rows, POINT), np.int64)
-            np.add.at(points, (row, (value >> U(58)).astype(np.int64)), 1)
-            points = np.minimum(points, 65535).astype(np.uint16)
+            np.add.at(points, (row, (value >> U(56)).astype(np.int64)), 1)
+            points = np.minimum(points, FULL).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())],
                 ["doc_id", "n", "s1", "s2", "point"],
@@ -193,11 +194,11 @@ def enough(both, a, b, num, den):
 
 
 def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POINT).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POINT).astype(np.int16)
 
 
 def _full(p: np.ndarray) -> np.ndarray:
-    return (p >= 65535).any(-1)
+    return (p >= FULL).any(-1)
 
 
 def _bounded(num: int, den: int):
@@ -206,7 +207,7 @@ def _bounded(num: int, den: int):
     def run(batches):
         for b in batches:
             p, q = _points(b.column("pa")), _points(b.column("pb"))
-            ok = enough(np.minimum(p, q).sum(1), b.column("na").to_numpy(), b.column("nb").to_numpy(), num, den) | (_full(p) & _full(q))
+            ok = enough(np.minimum(p, q).sum(1), b.column("na").to_numpy(), b.column("nb").to_numpy(), num, den) | _full(p) | _full(q)
             yield b.filter(pa.array(ok))
 
     return run
@@ -216,25 +217,28 @@ def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.nd
     """Pairs of different components whose bound allows a link; between two tiles if there are two.
 
     Points are packed into pages by size and leading coordinates (sort-tile-recursive); a page keeps its largest
-    coordinates and sizes, which bound all its pairs with another page at once.
+    coordinates and sizes, which bound all its pairs with another page at once. Pages and pairs are bounded by coordinates
+    added up in fours first, and what is left by all of them.
     """
     if len(n) < 2:
         return np.empty((0, 2), np.int64)
-    spread = np.argsort(-points.var(0), kind="stable")
+    coarse = points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int16)
+    spread = np.argsort(-coarse.var(0), kind="stable")
     strip = max(1, int(np.ceil((len(n) / PAGE) ** 0.5)) * PAGE)
     order = np.argsort(n, kind="stable")
-    order = np.concatenate([s[np.lexsort((points[s, spread[1]], points[s, spread[0]]))] for s in (order[i : i + strip] for i in range(0, len(order), strip))])
+    order = np.concatenate([s[np.lexsort((coarse[s, spread[1]], coarse[s, spread[0]]))] for s in (order[i : i + strip] for i in range(0, len(order), strip))])
     pages = [order[i : i + PAGE] for i in range(0, len(order), PAGE)]
-    top = np.stack([points[p].max(0) for p in pages])
+    top = np.stack([coarse[p].max(0) for p in pages])
     low, high = np.array([n[p].min() for p in pages]), np.array([n[p].max() for p in pages])
     full = _full(points)
+    spill = np.array([full[p].any() for p in pages])
     two = len(np.unique(tile)) > 1
     out = []
     for i, p in enumerate(pages):
         rest = np.arange(i, len(pages))
         bound = np.minimum(top[i], top[rest]).sum(1)
         near = enough(bound, low[i], low[rest], num, den) & (den * high[i] >= num * low[rest]) & (den * high[rest] >= num * low[i])
-        for j in rest[near | full[p].any()]:
+        for j in rest[near | full[p].any() | spill[rest]]:
             q = pages[j]
             allowed = comp[p][:, None] != comp[q][None, :]
             if two:
@@ -243,7 +247,9 @@ def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.nd
             if i == j:
                 a, b = a[a < b], b[a < b]
             a, b = p[a], q[b]
-            ok = enough(np.minimum(points[a], points[b]).sum(1), n[a], n[b], num, den) | (full[a] & full[b])
+            ok = enough(np.minimum(coarse[a], coarse[b]).sum(1), n[a], n[b], num, den) | full[a] | full[b]
+            a, b = a[ok], b[ok]
+            ok = enough(np.minimum(points[a], points[b]).sum(1), n[a], n[b], num, den) | full[a] | full[b]
             out.append(np.stack([a[ok], b[ok]], 1))
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 

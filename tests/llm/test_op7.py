@@ -79,11 +79,14 @@ def test_rtree_pages_lose_no_pair():
     points = np.minimum(rng.poisson(3, (400, op7.POINT)), 9).astype(np.int32)
     points[200:] = points[:200]
     for i in range(200, 400):
-        points[i, rng.integers(0, 64, 6)] += 1
+        points[i, rng.integers(0, op7.POINT, 24)] += 1
     n, comp, tile = points.sum(1), np.arange(400) % 7, np.zeros(400, int)
     want = {(a, b) for a in range(400) for b in range(a) if comp[a] != comp[b] and op7.enough(np.minimum(points[a], points[b]).sum(), n[a], n[b], 90, 100)}
     got = op7.rtree_pairs(points, n, comp, tile, 90, 100)
     assert {(max(a, b), min(a, b)) for a, b in got.tolist()} == want and want
+    points[5, 3] = op7.FULL  # a count that no longer fits bounds nothing
+    got = {(max(a, b), min(a, b)) for a, b in op7.rtree_pairs(points, n, comp, tile, 90, 100).tolist()}
+    assert {(max(5, b), min(5, b)) for b in range(400) if comp[b] != comp[5] and abs(int(n[b]) - int(n[5])) < 30} <= got
 
 
 def test_components(spark):
