@@ -627,8 +627,8 @@ def diff_changed_functions(spark, sf):
     return C.changed_functions(_hunks(spark, sf), D.functions(spark, sf))
 
 
-def _changed(spark, sf) -> DataFrame:
-    some = _hunks(spark, sf).filter("diff_id % 100 = 1")
+def _changed(spark, sf, diffs: str = "diff_id % 100 = 1") -> DataFrame:
+    some = _hunks(spark, sf).filter(diffs)
     return C.changed_functions(some, D.functions(spark, sf)).select("id", "name").distinct()
 
 
@@ -644,6 +644,21 @@ def diff_summary(spark, sf):
     return C.summary(_changed(spark, sf).join(D.functions(spark, sf).select("id", "domain"), "id"), D.members(spark, sf))
 
 
+_SOME = " WHERE diff_id % 100 = 1"
+
+
+@query(ORACLES["detect_changes"].replace(_SOME, ""))
+def detect_changes_all(spark, sf):
+    """detect_changes over the diffs of all orders."""
+    return C.affected(D.functions(spark, sf), D.calls(spark, sf), _changed(spark, sf, "true"), hops=2)
+
+
+@query(ORACLES["diff_summary"].replace(_SOME, ""))
+def diff_summary_all(spark, sf):
+    """diff_summary over the diffs of all orders."""
+    return C.summary(_changed(spark, sf, "true").join(D.functions(spark, sf).select("id", "domain"), "id"), D.members(spark, sf))
+
+
 # --- watching ----------------------------------------------------------------------------------------------------
 
 
