@@ -13,6 +13,9 @@ Documents are sets of distinct word shingles; two link when ``den * intersection
    their largest coordinates; page pairs, then pairs, of different components are bounded, and all survivors verified. No
    link between components is missed, and no pair inside one is made. Large signatures are split into pairs of pages that
    go to different tasks.
+5. With ``links`` every signature is searched for all its pairs, whatever their components. Sets carry their least
+   signatures, so that a pair is left out where both sets meet at a lesser one; each pair is verified once, at the least
+   signature that found it, where each text travels once.
 
 Defined results: null or empty text has the empty set and links with nothing; rows without an id get no component; rows
 that share an id are one document in the graph; extra columns are ignored; an empty table gives an empty result.
@@ -36,6 +39,8 @@ from .words import U, Words, grams, mix, place, whole
 SHINGLE, NUM, DEN = 3, 90, 100
 POINT, PAGE, TILE = 256, 64, 2048
 FULL, COARSE = 255, 64
+#: Where all links are counted: sets of a signature in one tile, and signatures that a set carries.
+LINK_TILE, LOW = 512, 16
 #: Size classes of sets grow by this factor.
 GROWTH = 1.3
 SETS = "doc_id long, n long, s1 long, s2 long, point binary"
@@ -213,9 +218,11 @@ def _bounded(num: int, den: int):
     return run
 
 
-def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, num: int, den: int):
+def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, num: int, den: int, met: np.ndarray | None = None):
     """Pairs of different components whose bound allows a link; between two tiles if there are two.
 
+    Pairs that share a column of ``met`` are left out.
+
     Points are packed into pages by size and leading coordinates (sort-tile-recursive); a page keeps its largest
     coordinates and sizes, which bound all its pairs with another page at once. Pages and pairs are bounded by coordinates
     added up in fours first, and what is left by all of them.
@@ -243,6 +250,8 @@ def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.nd
             allowed = comp[p][:, None] != comp[q][None, :]
             if two:
                 allowed &= tile[p][:, None] != tile[q][None, :]
+            if met is not None:
+                allowed &= met[p] @ met[q].T == 0
             a, b = np.nonzero(allowed)
             if i == j:
                 a, b = a[a < b], b[a < b]
@@ -264,6 +273,63 @@ def _searched(num: int, den: int):
     return run
 
 
+def _met(low: list, gid: int) -> np.ndarray:
+    """Which set has which of the lesser signatures that several of the sets have."""
+    row, value = np.repeat(np.arange(len(low)), [len(x) for x in low]), np.array([g for x in low for g in x], np.int64)
+    row, value = row[value < gid], value[value < gid]
+    _, at, many = np.unique(value, return_inverse=True, return_counts=True)
+    keep = many[at] > 1
+    _, at = np.unique(at[keep], return_inverse=True)
+    out = np.zeros((len(low), int(at.max()) + 1 if len(at) else 1), np.float32)
+    out[row[keep], at] = 1
+    return out
+
+
+def _every(num: int, den: int):
+    def run(t: pa.Table) -> pa.Table:
+        sid, where = t.column("sid").to_numpy(), [t.column(c)[0].as_py() for c in ("gid", "i", "j")]
+        met = _met(t.column("low").to_pylist(), where[0])
+        pairs = rtree_pairs(_points(t.column("point")), t.column("n").to_numpy(), np.arange(len(sid)), t.column("own").to_numpy(), num, den, met)
+        a, b = sid[pairs[:, 0]], sid[pairs[:, 1]]
+        fixed = [pa.array(np.full(len(a), x), kind) for x, kind in zip(where, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *fixed], ["a", "b", "gid", "i", "j"])
+
+    return run
+
+
+def _counted(k: int, num: int, den: int):
+    """For each set the documents of the sets that it is verified to link with."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        undo = zstandard.ZstdDecompressor()
+        sid, copies, blobs = texts.column("sid").to_numpy(), texts.column("n_copies").to_numpy(), texts.column("blob")
+        sets = []
+        for i in range(0, len(sid), 64):
+            some = [undo.decompress(x.as_py()).decode() for x in blobs[i : i + 64]]
+            row, value = shingles(pa.array(some, pa.large_string()), k)
+            at = np.searchsorted(row, np.arange(len(some) + 1))
+            sets += [value[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        n = np.array([len(x) for x in sets])
+        words, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(codes, np.cumsum(n)[:-1])
+        order = np.argsort(sid)
+        a, b = (order[np.searchsorted(sid[order], pairs.column(c).to_numpy())] for c in "ab")
+        total, mark = np.zeros(len(sid), np.int64), np.zeros(len(words), bool)
+        for x in np.unique(a).tolist():
+            mark[codes[x]] = True
+            mine = b[a == x]
+            for i in range(0, len(mine), 256):
+                some = mine[i : i + 256]
+                both = np.add.reduceat(mark[np.concatenate([codes[y] for y in some])].astype(np.int64), np.cumsum(n[some]) - n[some])
+                some = some[enough(both, n[x], n[some], num, den)]
+                total[x] += copies[some].sum()
+                total[some] += copies[x]
+            mark[codes[x]] = False
+        return pa.table({"sid": pa.array(sid), "linked": pa.array(total)})
+
+    return run
+
+
 def _blobs(k: int):
     """Texts that sets are read from again, packed, by set."""
 
@@ -303,10 +369,11 @@ def _verified(k: int, num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies: one row per input row.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies: one row per input row; n_links too with ``links``.
 
-    component_id is the smallest id reachable by links; n_copies counts the documents with an equal set.
+    component_id is the smallest id reachable by links; n_copies counts the documents with an equal set, n_links all other
+    documents that this one links with, copies among them.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -341,8 +408,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = groups.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
     star = sides(star).select("a", "b", "ra", "rb", "na", "nb", "pa", "pb")
     star = star.mapInArrow(_bounded(num, den), star.schema).select("a", "b", "ra", "rb")
-    links = verified(star, "op7-stars")
-    first = connected(links)
+    stars = verified(star, "op7-stars")
+    first = connected(stars)
 
     member = groups.join(points, "sid").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("gid", "sid", "n", "point", F.coalesce("root", "rep").alias("comp"))
@@ -352,14 +419,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct()
     more = verified(sides(found).select("a", "b", "ra", "rb"), "op7-more")
 
-    root = connected(links.unionByName(more)).withColumnRenamed("node", "rep")
+    root = connected(stars.unionByName(more)).withColumnRenamed("node", "rep")
     told = classes.select("s1", "s2", "n", "rep", "n_copies").join(root, "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("least"), "n_copies")
+    extra = []
+    if links:
+        told = told.join(_link_counts(groups, points, blobs, classes, k, num, den).withColumnRenamed("sid", "s1"), "s1", "left")
+        linked = F.coalesce("linked", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1
+        extra = [F.when(F.col("doc_id").isNotNull(), linked).otherwise(0).cast("long").alias("n_links")]
     rows = sets.drop("point").join(told, ["s1", "s2", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), *extra)
+
+
+def _link_counts(groups: DataFrame, points: DataFrame, blobs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """sid, linked: documents of other sets that a set links with."""
+    low = groups.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, LOW).alias("low"))
+    tiles = groups.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / LINK_TILE).cast("int").alias("tiles"))
+    member = groups.select("gid", "sid").join(points.select("sid", "n", "point"), "sid").join(low, "sid").join(tiles, "gid")
+    tiled = member.withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+    tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "own", "low")
+    at = ["gid", "i", "j"]
+    found = tiled.groupBy(at).applyInArrow(_every(num, den), "a long, b long, gid long, i int, j int")
+    pairs = materialize(found.groupBy("a", "b").agg(F.min(F.struct(at)).alias("at")).select("a", "b", "at.*"), "op7-pairs")
+    release(groups.sparkSession)
+    copies = classes.select(F.col("s1").alias("sid"), "n_copies").dropDuplicates(["sid"])
+    to = ["to_gid", "to_i", "to_j"]
+    texts = pairs.select(*[F.col(c).alias(t) for c, t in zip(at, to, strict=True)], F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = texts.join(blobs, "sid").join(copies, "sid").select(*to, "sid", "n_copies", "blob")
+    counted = pairs.groupBy(at).cogroup(texts.groupBy(to)).applyInArrow(_counted(k, num, den), "sid long, linked long")
+    out = materialize(counted.groupBy("sid").agg(F.sum("linked").alias("linked")), "op7-linked")
+    release(groups.sparkSession)
+    return out
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op7_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """op7_jaccard_join with the number of links of each document."""
+    from .common import table
+
+    return jaccard_components(table(spark, sf_dir, "documents"), links=True)
