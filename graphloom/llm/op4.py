@@ -2,9 +2,10 @@
 
 1. A character language model: trigram counts over every text of the corpus, 28 classes (a to z, other letters,
    anything else), so at most 28^3 numbers reach the driver.
-2. Suspicious stretches (look-alike digits and symbols among letters, letters repeated three times or more, letters spaced
-   out) become lattices: each sign may stand for itself, for its look-alikes, or be noise. Viterbi decoding under the
-   language model picks the reading; the restored words join the text's own.
+2. Suspicious stretches (words with a look-alike digit or symbol anywhere, letters repeated three times or more, three or
+   more letters spaced out; of any length) become lattices: each sign may stand for itself, for its look-alikes, or be noise. Viterbi decoding under the
+   language model picks the reading, for spaced letters also one with word breaks, for words that end in punctuation
+   also one without it; the restored words join the text's own.
 3. A logistic regression over words and word beginnings, learned from labelled rows of the training folds only, scores
    the restored text. Features are chosen by class frequencies counted in Spark.
 
@@ -47,11 +48,17 @@ APART = np.ones(256, bool)
 APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Log costs of the channel: a look-alike, a repeated letter kept once, noise between letters; gain for each letter kept.
 SWAP, REPEAT, NOISE, KEPT = -0.7, -0.4, -0.5, 2.2
+#: What may stand between spaced letters, and the log cost of reading it as the end of a word.
+GAPS, BREAK = " ._*-", -1.0
 SUSPECT = re.compile(
-    r"(?<![\w@.-])(?=[a-z0-9@$!|+(]{3,24}(?![\w@]))(?=[^a-z]*[a-z][^a-z\s]*[a-z])(?=[a-z]*[0-9@$!|+(]+[a-z])[a-z0-9@$!|+(]*[a-z]"
-    r"|\b\w*([a-z])\1\1\w*"
-    r"|(?<!\S)(?:[a-z0-9@$!|][ ._*-]){3,}[a-z0-9@$!|](?!\S)"
+    r"(?P<spaced>(?<![\w!|+(])[!|+(]*(?:[a-z0-9@$!|+(][ ._*-]){2,}[a-z0-9@$!|+(](?!\w))"
+    r"|(?<![\w@$!|+(])[^\W0-9]*+[0-9@$!|+(][\w@$!|+(]*+"
+    r"|\b\w*([a-z])\2\2\w*"
 )
+#: Look-alikes that are punctuation at the end of a word as often, and what a stretch must hold.
+EDGE, LETTER, ALIKE = "!|+(", re.compile("[a-z]"), re.compile(r"[0-9@$!|+(]")
+#: Stretches up to this length are kept decoded.
+KNOWN = 64
 #: 1: letter, 2: look-alike, 4: what may stand between spaced letters.
 SIGN = np.zeros(256, np.uint8)
 SIGN[[*range(65, 91), *range(97, 123)]] = 1
@@ -60,17 +67,18 @@ SIGN[[ord(c) for c in " ._*-"]] = 4
 
 
 def suspicious(column: pa.Array) -> np.ndarray:
-    """Which rows can hold a suspicious stretch: a look-alike before a letter, a letter three times, or letters spaced out."""
+    """Which rows can hold a suspicious stretch: a look-alike beside a letter, a letter three times, or letters spaced out."""
     raw, at = buffer(column)
     if len(raw) < 3:
         return np.zeros(len(column), bool)
     kind, low = SIGN[raw], LOWER[raw]
     found = np.zeros(len(raw), bool)
     letter, sign, gap = kind == 1, kind & 3 > 0, kind == 4
-    found[:-1] = (kind[:-1] == 2) & letter[1:]
+    beside = letter | (raw == 95) | (raw >= 128)
+    found[:-1] = ((kind[:-1] == 2) & beside[1:]) | (beside[:-1] & (kind[1:] == 2))
     found[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    if len(raw) > 6:
-        found[:-6] |= sign[:-6] & gap[1:-5] & sign[2:-4] & gap[3:-3] & sign[4:-2] & gap[5:-1] & sign[6:]
+    if len(raw) > 4:
+        found[:-4] |= sign[:-4] & gap[1:-3] & sign[2:-2] & gap[3:-1] & sign[4:]
     seen = np.append(0, np.cumsum(found))
     return seen[at[1:]] > seen[at[:-1]]
 
@@ -123,35 +131,56 @@ def _readings(text: str, i: int) -> list[tuple[str, float]]:
     return [("", NOISE)] if not c.isalpha() else [(c, 0.0)]
 
 
-def decode(text: str, model: np.ndarray) -> str:
-    """The most likely letters of a suspicious stretch: states are the last two classes."""
-    states = {(0, 0): (0.0, "")}
+def decode(text: str, model: np.ndarray, breaks: bool = False) -> str:
+    """The most likely letters of a suspicious stretch: states are the last two classes. With ``breaks`` what stands
+    between letters may be the end of a word."""
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i in range(len(text)):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for letter, cost in _readings(text, i):
-            k = (ord(letter) - 96 if "a" <= letter <= "z" else OTHER) if letter else 0
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        readings = _readings(text, i)
+        if breaks and text[i] in GAPS:
+            readings = [*readings, (" ", BREAK)]
+        for letter, cost in readings:
+            k = (ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else OTHER) if letter else 0
             for (a, b), (score, said) in states.items():
+                if letter == " " and not b:
+                    continue
                 s = score + cost + (float(model[a, b, k]) + KEPT if letter else 0.0)
                 key = (b, k) if letter else (a, b)
                 if key not in after or s > after[key][0]:
-                    after[key] = (s, said + letter)
+                    after[key] = (s, (said, letter) if letter else said)
         states = after
-    return max((s + float(model[a, b, 0]), said) for (a, b), (s, said) in states.items())[1]
+    _, said = max(((s + float(model[a, b, 0]), said) for (a, b), (s, said) in states.items()), key=lambda x: x[0])
+    out = []
+    while said:
+        said, letter = said
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 class Restorer:
     def __init__(self, model: np.ndarray):
-        self.known = lru_cache(50_000)(lambda t: decode(t, model))
-
-    def __call__(self, text: str) -> str:
-        """The restored words of a text, joined by spaces."""
-        return " ".join(self.known(m[0]) if len(m[0]) <= 64 else decode_long(m[0], self.known) for m in SUSPECT.finditer(text.lower()))
+        self.model = model
+        self.known = lru_cache(50_000)(lambda t, breaks: decode(t, model, breaks))
 
+    def read(self, stretch: str, breaks: bool = False) -> str:
+        if len(stretch) > KNOWN:  # repeated letters in it come down to three first
+            stretch = re.sub(r"([a-z])\1{2,}", r"\1\1\1", stretch)
+        return (self.known if len(stretch) <= KNOWN else lambda t, breaks: decode(t, self.model, breaks))(stretch, breaks)
 
-def decode_long(stretch: str, known) -> str:
-    """A long stretch in pieces of 48 signs; repeated signs in it come down to two first."""
-    short = re.sub(r"(.)\1{2,}", r"\1\1\1", stretch)
-    return "".join(known(short[i : i + 48]) for i in range(0, len(short), 48))
+    def __call__(self, text: str) -> str:
+        """The restored words of a text, joined by spaces. A stretch without a letter is a number."""
+        out = []
+        for m in SUSPECT.finditer(text.lower()):
+            if not LETTER.search(m[0]):
+                continue
+            out.append(self.read(m[0]))
+            core = m[0].strip(EDGE + GAPS if m["spaced"] else EDGE)
+            if core != m[0] and ALIKE.search(core) and LETTER.search(core) or m["spaced"] and core != m[0]:
+                out.append(self.read(core))
+            if m["spaced"]:
+                out.append(self.read(core, True))
+        return " ".join(out)
 
 
 # --- features and classifier ---------------------------------------------------------------------------------
