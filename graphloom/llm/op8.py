@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership frequency. DataFrame and SQL functions only.
 
 Every candidate is hashed; hashes are counted by distinct repositories and owners over the whole corpus.
-A value that many owners hold is a widely copied example; one that ``few_owners`` or fewer hold is owner-specific
-and looks live. Spans of the three base kinds always stay. The method adds spans of kind ``owned``: long
+A value that many owners or many repositories hold is a widely copied example; one that ``few_owners`` or fewer hold, in
+``few_repositories`` or fewer, is owner-specific and looks live. Both are numbers and no shares, so that a verdict
+does not hang on the size of the corpus. Spans of the three base kinds always stay. The method adds spans of kind ``owned``: long
 tokens of letters and digits that no base kind covers and that are owner-specific.
 
 Counting goes repository, owner, value, each level with map-side combining, so one value in a third of all
@@ -28,7 +29,7 @@ HEX = r"[0-9a-f]{24,}+"
 #: A whole run with a digit in it.
 OWNED = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"
 KINDS = ("assign", "access", "hex", "owned")
-FEW_OWNERS = 2
+FEW_OWNERS, FEW_REPOSITORIES = 2, 2
 
 
 def _kind(k: int, column: str, value: str, keep: str) -> str:
@@ -66,19 +67,25 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("v").agg(F.sum("r").alias("repositories"), F.count(F.lit(1)).alias("owners"), F.sum("n").alias("seen"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "concat_ws('/', source, lang)", few_owners: int = FEW_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_shared, live: one row per input row.
+def verdicts(counts: DataFrame, few_owners: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
+    """The counts and whether a value is owner-specific."""
+    return counts.withColumn("few", (F.col("owners") <= few_owners) & (F.col("repositories") <= few_repositories))
 
-    ``live`` lists the owner-specific spans, ``n_shared`` counts widely copied ones.
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "concat_ws('/', source, lang)", few_owners: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_shared, live, held: one row per input row.
+
+    ``live`` lists the owner-specific spans, ``n_shared`` counts widely copied ones; ``held`` has the distinct owners and
+    repositories of each candidate.
     """
     found = materialize(candidates(docs, id_col, text_col, owner, repository), "op8-candidates")
-    few = ownership(found).select("v", (F.col("owners") <= few_owners).alias("few"))
+    few = verdicts(ownership(found), few_owners, few_repositories).select("v", "few", "owners", "repositories")
     each = found.filter("size(base) + size(more) > 0").select("doc_id", "key", F.explode(F.concat("base", "more")).alias("x"))
     told = (
         each.withColumn("v", F.col("x.v"))
         .join(few, "v")
         .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct("x.s", "x.k", "x.e", "few")).alias("told"))
+        .agg(F.collect_set(F.struct("x.s", "x.k", "x.e", "few", "owners", "repositories")).alias("told"))
         .select(F.col("doc_id").alias("d"), F.col("key").alias("q"), "told")
     )
     rows = found.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")), "left")
@@ -93,6 +100,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         F.expr("CAST(size(filter(told, x -> x.few)) AS LONG)").alias("n_live"),
         F.expr("CAST(size(filter(told, x -> NOT x.few AND x.k < 3)) AS LONG)").alias("n_shared"),
         F.expr(listed("filter(told, x -> x.few)", KINDS)).alias("live"),
+        F.expr("transform(array_sort(told), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'owners', x.owners, 'repositories', x.repositories))").alias("held"),
         F.expr("transform(filter(told, x -> x.few), x -> named_struct('s', x.s, 'e', x.e))").alias("live_spans"),
         F.col("key").alias("text_key"),
     )
@@ -111,4 +119,4 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return scan(table(spark, sf_dir, "documents")).drop("text_key", "live_spans")
+    return scan(table(spark, sf_dir, "documents")).drop("text_key", "live_spans", "held")
