@@ -28,16 +28,47 @@ VERSION, NAMESPACE, DATE = "WARC/1.1", uuid.NAMESPACE_URL, "2024-01-01T00:00:00Z
 COLUMNS = ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "source_payload_digest", "block_digest", "content_length", "header", "block")
 SCHEMA = "source_id long, " + ", ".join(f"{c} {'long' if c == 'content_length' else 'string'}" for c in COLUMNS)
 
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+CLOSED = re.compile(r"<(/?)(noscript|template)\b[^>]*>", re.I)
+#: The start of a head, what ends it, and what it may hold where its end tag is left out.
+HEAD, HEAD_END = re.compile(r"<head\b[^>]*>", re.I), re.compile(r"<(?:(/head)\s*|body\b[^>]*)>", re.I)
+HEAD_ITEMS = re.compile(r"(?:\s|<(?:meta|link|base|basefont|bgsound)\b[^>]*>|<title\b[^>]*>.*?</title\s*>)*+", re.I | re.S)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 
 
+def visible(page: str) -> str:
+    """A page without comments, scripts, styles, head, and what <noscript> and <template> enclose.
+
+    Scripts and styles without an end tag go to the end of the page. An unclosed <noscript> or <template> is a tag only; a
+    head without its end tag ends at the first thing that no head holds.
+    """
+    page = RAW.sub(" ", page)
+    opened, cut = {"noscript": [], "template": []}, []
+    for m in CLOSED.finditer(page):
+        starts = opened[m[2].lower()]
+        if not m[1]:
+            starts.append(m.start())
+        elif starts:
+            cut.append((starts.pop(), m.end()))
+    out, at = [], 0
+    for i, j in sorted(cut):
+        if j > at:
+            out.append(page[at : max(i, at)])
+            at = j
+    page = " ".join([*out, page[at:]])
+    if head := HEAD.search(page):
+        end = HEAD_END.search(page, head.end())
+        end = end.end() if end and end[1] else HEAD_ITEMS.match(page, head.end()).end()
+        page = page[: head.start()] + " " + page[end:]
+    return page
+
+
 def plain_text(page: str) -> str:
     """The text of a page: hidden parts out, block elements on lines of their own, entities decoded."""
-    text = TAG.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", page)))
+    text = TAG.sub("", BREAKS.sub("\n", visible(page)))
     lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
