@@ -1,9 +1,10 @@
 """Licence scan by canonical digest: equal texts up to case, punctuation, copyright lines and equivalent spellings.
 
 Texts become canonical (lower case; lines that claim copyright out; equivalent words one spelling; punctuation and white space
-one space) and their SHA-256 joins known digests of whole licence texts and notices. The known side is the list below, a few
-dozen rows, so it is broadcast; entire texts are digested, never parts picked by size. Notices within a document are found by
-the digest of each of its lines. Built-in functions only.
+one space) and their SHA-256 joins known digests of whole licence texts and notices. The known side is the list below, the
+texts in the folder ``licenses``, each also without its title and without what follows its terms, and the caller's own
+texts or digests; it is broadcast only if the optimiser finds it small. Entire texts are digested, never parts picked by
+size. Notices within a document are found by the digest of each of its lines. Built-in functions only.
 
 Defined results: null text is empty text, which is no licence; every input row gives one row; extra columns are ignored; an
 empty table gives an empty result.
@@ -11,6 +12,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +54,36 @@ def canonical(text: str) -> str:
     return f"trim(regexp_replace({x}, {quoted(JUNK)}, ' '))"
 
 
+@lru_cache(1)
+def bundled() -> tuple[tuple[str, str], ...]:
+    """Whole licence texts by SPDX identifier: those of ``KNOWN`` and the files of ``licenses``, with their variants."""
+    texts = [(n, t) for n, t in KNOWN if "\n" in t] + [(f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+    out = []
+    for name, text in texts:
+        terms = text.split("END OF TERMS AND CONDITIONS")
+        forms = [text, *([terms[0], terms[0] + "END OF TERMS AND CONDITIONS"] if len(terms) > 1 else [])]
+        for form in forms:
+            title, _, rest = form.strip().partition("\n\n")
+            out += [(name, form), *([(name, rest)] if len(title) < 120 else [])]
+    return tuple(out)
+
+
+def digests(texts: DataFrame) -> DataFrame:
+    """license_id and digest of each text (license_id, body); equal canonical texts once."""
+    return texts.selectExpr("license_id", f"sha2({canonical('body')}, 256) AS digest").dropDuplicates(["digest"])
+
+
 def known(spark) -> DataFrame:
     """license_id and digest of each known text; equal canonical texts once."""
-    return spark.createDataFrame(KNOWN, "license_id string, body string").selectExpr("license_id", f"sha2({canonical('body')}, 256) AS digest").dropDuplicates(["digest"])
+    return digests(spark.createDataFrame(KNOWN, "license_id string, body string"))
+
 
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest, license_id (of the entire text), n_notices, notices (of its lines): one row per input row.
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, license_id (of the entire text), n_notices, notices (of its lines): one row per input row."""
+    ``more`` has further texts (license_id, body) or digests of canonical texts (license_id, digest); a digest that
+    several identifiers have gets the least one, ``KNOWN`` and the bundled texts before all others.
+    """
     spark = docs.sparkSession
     listed = known(spark)
     rows = {r.digest: r.license_id for r in listed.collect()}  # as many as KNOWN
@@ -67,7 +94,13 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     lines = f"filter(split(text, '\\n'), x -> contains(lower(x), 'licen'))"
     notices = f"array_sort(filter(transform({lines}, x -> element_at({table}, sha2({canonical('x')}, 256))), x -> x IS NOT NULL))"
     found = found.select("doc_id", F.expr(f"sha2({canonical('text')}, 256)").alias("digest"), F.expr(notices).alias("own"))
-    out = found.join(F.broadcast(listed), "digest", "left")
+    whole = listed.withColumn("k", F.lit(0)).unionByName(digests(spark.createDataFrame(bundled(), "license_id string, body string")).withColumn("k", F.lit(1)))
+    if more is not None:
+        own = more.select("license_id", "digest") if "digest" in more.columns else digests(more)
+        whole = whole.unionByName(own.withColumn("k", F.lit(2)))
+    # the empty text is no licence
+    whole = whole.filter("digest <> sha2('', 256)").groupBy("digest").agg(F.min(F.struct("k", "license_id"))["license_id"].alias("license_id"))
+    out = found.join(whole, "digest", "left")
     return out.select("doc_id", "digest", "license_id", F.size("own").cast("long").alias("n_notices"), F.array_join("own", ",").alias("notices"))
 
 
