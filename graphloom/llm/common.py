@@ -1,18 +1,21 @@
-"""What the operators share: tables, scratch tables in the shared folder, batch limits."""
+"""What the operators share: tables, buckets, batch limits; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import discard, materialize, shared_dir  # noqa: F401
+
 #: Rows of text an Arrow batch holds; a batch of whole documents stays at a few MB.
 BATCH_ROWS = 512
 #: Bytes of text that one vectorised step takes at once.
 STEP_BYTES = 4 << 20
+#: Bytes of input for a bucket of a packed shuffle, and the most buckets (an input without statistics counts as huge).
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,37 +27,6 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now instead of at some later garbage collection.
-
-    Twice: listeners may still hold the plan that has just ended.
-    """
-    import gc
-    import time
-
-    for _ in range(2):
-        time.sleep(0.4)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
 def fresh(columns: list[str], name: str) -> str:
     """A column name like ``name`` that is not among ``columns``."""
     while name.lower() in {c.lower() for c in columns}:
@@ -66,6 +38,13 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(docs: DataFrame) -> int:
+    """Buckets for what documents send: one for each ``BUCKET_BYTES`` that the optimiser takes the input to have, and at
+    least two for each shuffle partition, so that what a task holds does not grow with the input."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BUCKETS, max(2 * parts(docs.sparkSession), math.ceil(size / BUCKET_BYTES)))
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has at most ``limit`` bytes in each, or one row."""
     import numpy as np

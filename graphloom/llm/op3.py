@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, release, steps, text_batches
+from .common import buckets as buckets_of
+from .common import discard, materialize, steps, text_batches
 from .words import Words, grams, mix, place, whole
 
 WINDOW = 13
@@ -230,24 +231,24 @@ def _kept(window: int, text_out: bool):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text on request), one row per input row."""
-    spark = docs.sparkSession
-    text_batches(spark)
-    block, buckets, back = (window + 1) // 2, parts(spark), parts(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.crc32("text"))
+    text_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    block, buckets = (window + 1) // 2, buckets_of(docs)
+    docs = docs.withColumn("tag", F.crc32("text"))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def merged(found: DataFrame, name: str) -> DataFrame:
-        out = materialize(found.groupBy("bucket").applyInArrow(_merge(block), MERGED), name)
-        release(spark)
-        return out
+        return materialize(found.groupBy("bucket").applyInArrow(_merge(block), MERGED), name)
 
     probes = named.mapInArrow(_probes(block, window, buckets), PACK)
     # hits are by id alone: for rows that share an id they only name more windows to look at
-    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, back), PACK), "op3-hits").drop("tag")
-    near = named.join(hits, "doc_id").select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, buckets), PACK)
-    marks = merged(near.groupBy("bucket").applyInArrow(_owned(back), PACK), "op3-marks")
+    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, buckets), PACK), "op3-hits")
+    # hits and marks grow with the corpus: never broadcast
+    near = named.join(hits.drop("tag").hint("merge"), "doc_id").select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, buckets), PACK)
+    marks = merged(near.groupBy("bucket").applyInArrow(_owned(buckets), PACK), "op3-marks")
+    discard(hits)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text_out
-    return docs.join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "late").mapInArrow(_kept(window, text_out), schema)
+    return docs.join(marks.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "late").mapInArrow(_kept(window, text_out), schema)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

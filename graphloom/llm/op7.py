@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, release, steps, text_batches
+from .common import discard, materialize, parts, steps, text_batches
 from .components import connected
 from .words import U, Words, grams, mix, place, whole
 
@@ -385,13 +385,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = 2 * parts(spark)
     signed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_signed(k, num, den, buckets), "bucket int, sig binary, sid binary")
     groups = materialize(signed.groupBy("bucket").applyInArrow(_shared, "gid long, lead long, sid long"), "op7-groups")
-    release(spark)
 
     points = classes.select(F.col("s1").alias("sid"), "rep", "n", "point")
     needed = groups.select("sid").distinct().join(points, "sid").select("sid", "rep")
     blobs = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("text").mapInArrow(_blobs(k), "sid long, blob binary")
     blobs = materialize(blobs.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "op7-texts")
-    release(spark)
 
     def sides(pairs: DataFrame) -> DataFrame:
         for s in "ab":
@@ -402,7 +400,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for s in "ab":
             pairs = pairs.join(blobs.select(F.col("sid").alias(s), F.col("blob").alias(f"t{s}")), s)
         out = materialize(pairs.select("a", "b", "ra", "rb", "ta", "tb").mapInArrow(_verified(k, num, den), "a long, b long"), name)
-        release(spark)
         return out
 
     star = groups.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
@@ -441,14 +438,12 @@ def _link_counts(groups: DataFrame, points: DataFrame, blobs: DataFrame, classes
     at = ["gid", "i", "j"]
     found = tiled.groupBy(at).applyInArrow(_every(num, den), "a long, b long, gid long, i int, j int")
     pairs = materialize(found.groupBy("a", "b").agg(F.min(F.struct(at)).alias("at")).select("a", "b", "at.*"), "op7-pairs")
-    release(groups.sparkSession)
     copies = classes.select(F.col("s1").alias("sid"), "n_copies").dropDuplicates(["sid"])
     to = ["to_gid", "to_i", "to_j"]
     texts = pairs.select(*[F.col(c).alias(t) for c, t in zip(at, to, strict=True)], F.explode(F.array("a", "b")).alias("sid")).distinct()
     texts = texts.join(blobs, "sid").join(copies, "sid").select(*to, "sid", "n_copies", "blob")
     counted = pairs.groupBy(at).cogroup(texts.groupBy(to)).applyInArrow(_counted(k, num, den), "sid long, linked long")
     out = materialize(counted.groupBy("sid").agg(F.sum("linked").alias("linked")), "op7-linked")
-    release(groups.sparkSession)
     return out
 
 
