@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: each node sends its larger (or its smaller) neighbours to the least of its neighbourhood.
 
-    The least neighbour comes from a map-side combined minimum and is joined back, so no neighbourhood is collected.
+    The least neighbour comes from a map-side combined minimum, is written, and is joined back: no neighbourhood is collected,
+    and a node with many neighbours is a skewed join that adaptive execution splits.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+    joined = both.join(least.hint("merge"), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    out = materialize(out.filter("a <> b").distinct(), "links")
+    discard(least)
+    return out
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,4 +37,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == before or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         before = state
-        now = materialize(_stars(_stars(now, True), False), "links")
+        large = _stars(now, True)
+        small = _stars(large, False)
+        discard(now, large)
+        now = small

@@ -5,17 +5,17 @@ Documents are sets of distinct word shingles; two link when ``den * intersection
 1. Equal sets are one class from here on (128-bit set hash); copies are never compared.
 2. Shingle hashes fall into groups. Two linked sets differ in few shingles; with one more group than that, by size class,
    some group holds the same shingles in both. Each set sends a signature of each group's shingles, so sets that can
-   link meet at a signature. Signatures travel packed in buckets.
-3. Each set is also a point: how many of its shingles fall into each of 256 groups. The sum of coordinate minima bounds the
-   intersection of two sets; pairs whose bound is too low are dropped unseen.
+   link meet at a signature. Signatures travel packed in buckets. They part the points before any tree is built.
+3. Each set is also a point: how many of its shingles fall into each of as many groups as it has shingles, up to a power of
+   two. The sum of coordinate minima bounds the intersection of two sets (the finer point is added up to the coarser one's
+   groups); pairs whose bound is too low are dropped unseen.
 4. At each signature the first set is held against the others (bound, then exact). What this links is one component.
    Where members still lie in different components, their points are packed into an R-tree: pages of near points with
    their largest coordinates; page pairs, then pairs, of different components are bounded, and all survivors verified. No
-   link between components is missed, and no pair inside one is made. Large signatures are split into pairs of pages that
-   go to different tasks.
-5. With ``links`` every signature is searched for all its pairs, whatever their components. Sets carry their least
-   signatures, so that a pair is left out where both sets meet at a lesser one; each pair is verified once, at the least
-   signature that found it, where each text travels once.
+   link between components is missed, and no pair inside one is made. Signatures with the same members are searched once;
+   large ones are split into pairs of tiles that go to different tasks.
+5. Links are counted inside components, where all of them lie: the sets of a component meet in tiles of bounded bytes, and
+   products of their shingle matrices give all intersections. Counts leave a task, never pairs.
 
 Defined results: null or empty text has the empty set and links with nothing; rows without an id get no component; rows
 that share an id are one document in the graph; extra columns are ignored; an empty table gives an empty result.
@@ -32,15 +32,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, parts, steps, text_batches
+from .common import buckets, discard, materialize, steps, text_batches
 from .components import connected
 from .words import U, Words, grams, mix, place, whole
 
 SHINGLE, NUM, DEN = 3, 90, 100
-POINT, PAGE, TILE = 256, 64, 2048
-FULL, COARSE = 255, 64
-#: Where all links are counted: sets of a signature in one tile, and signatures that a set carries.
-LINK_TILE, LOW = 512, 16
+#: Coordinates of a point at least and at most, points of a page, bytes of points in a tile.
+LEAST, MOST, PAGE, TILE = 64, 1 << 15, 64, 2 << 20
+FULL = 255
+#: Bytes of packed texts in a tile where links are counted, columns of a matrix at once, and the most sets of a tile.
+LINK_BYTES, COLUMNS, LINK_SETS = 4 << 20, 2048, 2048
 #: Size classes of sets grow by this factor.
 GROWTH = 1.3
 SETS = "doc_id long, n long, s1 long, s2 long, point binary"
@@ -76,16 +77,37 @@ def _sums(row, value, n_rows):
     return np.diff(at), total(mix(value)), total(mix(value ^ U(0x5BD1E9955BD1E995))), at
 
 
+def coordinates(n: np.ndarray) -> np.ndarray:
+    """How many coordinates the point of a set of n shingles has: the next power of two."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST, MOST)
+
+
+def points(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The point of each set: counts of shingles by the upper bits of their hashes."""
+    size = coordinates(n)
+    first = np.cumsum(size) - size
+    shift = (64 - np.log2(size).astype(np.int64))[row].astype(U)
+    counts = np.bincount(first[row] + (value >> shift).astype(np.int64), minlength=int(size.sum())) if len(row) else np.zeros(int(size.sum()), np.int64)
+    counts = np.minimum(counts, FULL).astype(np.uint8)
+    return [counts[i : i + m].tobytes() for i, m in zip(first, size, strict=True)]
+
+
+def folded(column: list[bytes], size: int) -> np.ndarray:
+    """Points added up to ``size`` coordinates each."""
+    out = np.empty((len(column), size), np.int16)
+    for i, p in enumerate(column):
+        x = np.frombuffer(p, np.uint8)
+        out[i] = x if len(x) == size else x.reshape(size, -1).sum(1)
+    return out
+
+
 def _sets(k: int):
     def run(batches):
         for b in steps(batches):
             row, value = shingles(b.column("text"), k)
             n, s1, s2, _ = _sums(row, value, b.num_rows)
-            points = np.zeros((b.num_rows, POINT), np.int64)
-            np.add.at(points, (row, (value >> U(56)).astype(np.int64)), 1)
-            points = np.minimum(points, FULL).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(points(row, value, n), pa.binary())],
                 ["doc_id", "n", "s1", "s2", "point"],
             )
 
@@ -198,12 +220,9 @@ def enough(both, a, b, num, den):
     return (num + den) * both >= num * (a + b)
 
 
-def _points(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POINT).astype(np.int16)
-
-
-def _full(p: np.ndarray) -> np.ndarray:
-    return (p >= FULL).any(-1)
+def _full(column: list[bytes]) -> np.ndarray:
+    """Points with a count that may be larger than a byte tells: their bound is no bound."""
+    return np.array([255 in p for p in column], bool)
 
 
 def _bounded(num: int, den: int):
@@ -211,25 +230,32 @@ def _bounded(num: int, den: int):
 
     def run(batches):
         for b in batches:
-            p, q = _points(b.column("pa")), _points(b.column("pb"))
-            ok = enough(np.minimum(p, q).sum(1), b.column("na").to_numpy(), b.column("nb").to_numpy(), num, den) | _full(p) | _full(q)
+            p, q = b.column("pa").to_pylist(), b.column("pb").to_pylist()
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            least = np.minimum([len(x) for x in p], [len(x) for x in q])
+            ok = _full(p) | _full(q)
+            for size in np.unique(least):
+                every = np.flatnonzero((least == size) & ~ok)
+                for i in range(0, len(every), step := max(1, (1 << 22) // int(size))):
+                    some = every[i : i + step]
+                    both = np.minimum(folded([p[x] for x in some], int(size)), folded([q[x] for x in some], int(size))).sum(1, dtype=np.int64)
+                    ok[some] = enough(both, na[some], nb[some], num, den)
             yield b.filter(pa.array(ok))
 
     return run
 
 
-def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, num: int, den: int, met: np.ndarray | None = None):
+def rtree_pairs(point: list[bytes], n: np.ndarray, comp: np.ndarray, tile: np.ndarray, num: int, den: int):
     """Pairs of different components whose bound allows a link; between two tiles if there are two.
 
-    Pairs that share a column of ``met`` are left out.
-
     Points are packed into pages by size and leading coordinates (sort-tile-recursive); a page keeps its largest
     coordinates and sizes, which bound all its pairs with another page at once. Pages and pairs are bounded by coordinates
-    added up in fours first, and what is left by all of them.
+    added up to ``LEAST`` first, and what is left by all of them.
     """
     if len(n) < 2:
         return np.empty((0, 2), np.int64)
-    coarse = points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int16)
+    size = min(map(len, point))
+    fine, coarse, full = folded(point, size), folded(point, LEAST), _full(point)
     spread = np.argsort(-coarse.var(0), kind="stable")
     strip = max(1, int(np.ceil((len(n) / PAGE) ** 0.5)) * PAGE)
     order = np.argsort(n, kind="stable")
@@ -237,94 +263,101 @@ def rtree_pairs(points: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.nd
     pages = [order[i : i + PAGE] for i in range(0, len(order), PAGE)]
     top = np.stack([coarse[p].max(0) for p in pages])
     low, high = np.array([n[p].min() for p in pages]), np.array([n[p].max() for p in pages])
-    full = _full(points)
     spill = np.array([full[p].any() for p in pages])
     two = len(np.unique(tile)) > 1
+    step = max(1, (1 << 21) // size)
     out = []
     for i, p in enumerate(pages):
         rest = np.arange(i, len(pages))
-        bound = np.minimum(top[i], top[rest]).sum(1)
+        bound = np.minimum(top[i], top[rest]).sum(1, dtype=np.int64)
         near = enough(bound, low[i], low[rest], num, den) & (den * high[i] >= num * low[rest]) & (den * high[rest] >= num * low[i])
         for j in rest[near | full[p].any() | spill[rest]]:
             q = pages[j]
             allowed = comp[p][:, None] != comp[q][None, :]
             if two:
                 allowed &= tile[p][:, None] != tile[q][None, :]
-            if met is not None:
-                allowed &= met[p] @ met[q].T == 0
             a, b = np.nonzero(allowed)
             if i == j:
                 a, b = a[a < b], b[a < b]
             a, b = p[a], q[b]
-            ok = enough(np.minimum(coarse[a], coarse[b]).sum(1), n[a], n[b], num, den) | full[a] | full[b]
+            ok = enough(np.minimum(coarse[a], coarse[b]).sum(1, dtype=np.int64), n[a], n[b], num, den) | full[a] | full[b]
             a, b = a[ok], b[ok]
-            ok = enough(np.minimum(points[a], points[b]).sum(1), n[a], n[b], num, den) | full[a] | full[b]
-            out.append(np.stack([a[ok], b[ok]], 1))
+            for k in range(0, len(a), step):
+                x, y = a[k : k + step], b[k : k + step]
+                ok = enough(np.minimum(fine[x], fine[y]).sum(1, dtype=np.int64), n[x], n[y], num, den) | full[x] | full[y]
+                out.append(np.stack([x[ok], y[ok]], 1))
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
 def _searched(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
         sid = t.column("sid").to_numpy()
-        pairs = rtree_pairs(_points(t.column("point")), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("own").to_numpy(), num, den)
+        pairs = rtree_pairs(t.column("point").to_pylist(), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("own").to_numpy(), num, den)
         a, b = sid[pairs[:, 0]], sid[pairs[:, 1]]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return run
 
 
-def _met(low: list, gid: int) -> np.ndarray:
-    """Which set has which of the lesser signatures that several of the sets have."""
-    row, value = np.repeat(np.arange(len(low)), [len(x) for x in low]), np.array([g for x in low for g in x], np.int64)
-    row, value = row[value < gid], value[value < gid]
-    _, at, many = np.unique(value, return_inverse=True, return_counts=True)
-    keep = many[at] > 1
-    _, at = np.unique(at[keep], return_inverse=True)
-    out = np.zeros((len(low), int(at.max()) + 1 if len(at) else 1), np.float32)
-    out[row[keep], at] = 1
+# --- links -------------------------------------------------------------------------------------------------------
+
+
+def read_sets(blobs: list[bytes], k: int) -> list[np.ndarray]:
+    """The shingle hashes of packed texts."""
+    undo, out = zstandard.ZstdDecompressor(), []
+    for i in range(0, len(blobs), 64):
+        some = [undo.decompress(x).decode() for x in blobs[i : i + 64]]
+        row, value = shingles(pa.array(some, pa.large_string()), k)
+        at = np.searchsorted(row, np.arange(len(some) + 1))
+        out += [value[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
-def _every(num: int, den: int):
-    def run(t: pa.Table) -> pa.Table:
-        sid, where = t.column("sid").to_numpy(), [t.column(c)[0].as_py() for c in ("gid", "i", "j")]
-        met = _met(t.column("low").to_pylist(), where[0])
-        pairs = rtree_pairs(_points(t.column("point")), t.column("n").to_numpy(), np.arange(len(sid)), t.column("own").to_numpy(), num, den, met)
-        a, b = sid[pairs[:, 0]], sid[pairs[:, 1]]
-        fixed = [pa.array(np.full(len(a), x), kind) for x, kind in zip(where, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *fixed], ["a", "b", "gid", "i", "j"])
+def linked_copies(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the copies of the others that it links with; only between two tiles if there are two.
 
-    return run
+    Shingles that one set alone has meet nothing; the others are columns of 0 and 1, whose products are intersections.
+    """
+    n = np.array([len(x) for x in sets])
+    _, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = many[code] > 1
+    row, code = row[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    tiles = np.unique(own)
+    left = np.flatnonzero(own == tiles[0])
+    right = left if len(tiles) == 1 else np.flatnonzero(own != tiles[0])
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        i, j = np.searchsorted(code, (at, at + COLUMNS))
+        m = np.zeros((len(sets), min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
+        m[row[i:j], code[i:j] - at] = 1
+        both += m[left] @ m[right].T
+    total = np.zeros(len(sets), np.int64)
+    for at in range(0, len(left), 256):
+        some = left[at : at + 256]
+        linked = enough(both[at : at + 256].astype(np.int64), n[some][:, None], n[right][None, :], num, den) & (some[:, None] != right[None, :])
+        total[some] += linked @ copies[right]
+        if len(tiles) > 1:
+            total[right] += copies[some] @ linked
+    return total
 
 
 def _counted(k: int, num: int, den: int):
-    """For each set the documents of the sets that it is verified to link with."""
-
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        undo = zstandard.ZstdDecompressor()
-        sid, copies, blobs = texts.column("sid").to_numpy(), texts.column("n_copies").to_numpy(), texts.column("blob")
-        sets = []
-        for i in range(0, len(sid), 64):
-            some = [undo.decompress(x.as_py()).decode() for x in blobs[i : i + 64]]
-            row, value = shingles(pa.array(some, pa.large_string()), k)
-            at = np.searchsorted(row, np.arange(len(some) + 1))
-            sets += [value[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        n = np.array([len(x) for x in sets])
-        words, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        codes = np.split(codes, np.cumsum(n)[:-1])
-        order = np.argsort(sid)
-        a, b = (order[np.searchsorted(sid[order], pairs.column(c).to_numpy())] for c in "ab")
-        total, mark = np.zeros(len(sid), np.int64), np.zeros(len(words), bool)
-        for x in np.unique(a).tolist():
-            mark[codes[x]] = True
-            mine = b[a == x]
-            for i in range(0, len(mine), 256):
-                some = mine[i : i + 256]
-                both = np.add.reduceat(mark[np.concatenate([codes[y] for y in some])].astype(np.int64), np.cumsum(n[some]) - n[some])
-                some = some[enough(both, n[x], n[some], num, den)]
-                total[x] += copies[some].sum()
-                total[some] += copies[x]
-            mark[codes[x]] = False
+    """Copies that each set of a bucket links with, tile by tile of its components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sid, copies, own = (t.column(c).to_numpy() for c in ("sid", "n_copies", "own"))
+        keys = np.stack([t.column(c).to_numpy() for c in ("root", "i", "j")])
+        order = np.lexsort(keys)
+        keys = keys[:, order]
+        heads = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+        blobs, total = t.column("blob").to_pylist(), np.zeros(len(sid), np.int64)
+        for i, j in zip(heads, np.append(heads[1:], len(order)), strict=True):
+            some = order[i:j]
+            if len(some) > 1:
+                total[some] = linked_copies(read_sets([blobs[x] for x in some.tolist()], k), copies[some], own[some], num, den)
         return pa.table({"sid": pa.array(sid), "linked": pa.array(total)})
 
     return run
@@ -345,7 +378,6 @@ def _blobs(k: int):
 
 def _verified(k: int, num: int, den: int):
     def run(batches):
-        undo = zstandard.ZstdDecompressor()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -355,14 +387,9 @@ def _verified(k: int, num: int, den: int):
                     for j, s in enumerate(ids):
                         if s not in where:
                             where[s] = len(texts)
-                            texts.append(undo.decompress(part.column(blob)[j].as_py()))
+                            texts.append(part.column(blob)[j].as_py())
                     pick.append([where[s] for s in ids])
-                sets = []
-                for j in range(0, len(texts), 64):
-                    some = texts[j : j + 64]
-                    row, value = shingles(pa.array([t.decode() for t in some], pa.large_string()), k)
-                    at = np.searchsorted(row, np.arange(len(some) + 1))
-                    sets += [value[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                sets = read_sets(texts, k)
                 ok = [bool(enough(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y]), num, den)) for x, y in zip(*pick, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("ra"), part.column("rb")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -375,86 +402,84 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest id reachable by links; n_copies counts the documents with an equal set, n_links all other
     documents that this one links with, copies among them.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sent = buckets(docs)
     sets = materialize(docs.mapInArrow(_sets(k), SETS), "op7-sets")
     named = sets.filter("n > 0 AND doc_id IS NOT NULL")
     # copies have equal points: any of them will do
     classes = materialize(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.max("point").alias("point")), "op7-classes")
-    buckets = 2 * parts(spark)
-    signed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_signed(k, num, den, buckets), "bucket int, sig binary, sid binary")
+    signed = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_signed(k, num, den, sent), "bucket int, sig binary, sid binary")
     groups = materialize(signed.groupBy("bucket").applyInArrow(_shared, "gid long, lead long, sid long"), "op7-groups")
 
-    points = classes.select(F.col("s1").alias("sid"), "rep", "n", "point")
-    needed = groups.select("sid").distinct().join(points, "sid").select("sid", "rep")
-    blobs = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("text").mapInArrow(_blobs(k), "sid long, blob binary")
-    blobs = materialize(blobs.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "op7-texts")
-
-    def sides(pairs: DataFrame) -> DataFrame:
-        for s in "ab":
-            pairs = pairs.join(points.select(F.col("sid").alias(s), F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")), s)
-        return pairs
+    at = classes.select(F.col("s1").alias("sid"), "rep", "n", "point")
+    needed = groups.select("sid").distinct().join(at.select("sid", "rep").hint("merge"), "sid")
+    needed = materialize(needed, "op7-needed")
+    blobs = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select("text").mapInArrow(_blobs(k), "sid long, blob binary")
+    # rows that share an id have other texts too
+    blobs = materialize(blobs.join(needed.select("sid").hint("merge"), "sid", "left_semi").dropDuplicates(["sid"]), "op7-texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         for s in "ab":
-            pairs = pairs.join(blobs.select(F.col("sid").alias(s), F.col("blob").alias(f"t{s}")), s)
-        out = materialize(pairs.select("a", "b", "ra", "rb", "ta", "tb").mapInArrow(_verified(k, num, den), "a long, b long"), name)
-        return out
+            pairs = pairs.join(blobs.select(F.col("sid").alias(s), F.col("blob").alias(f"t{s}")).hint("merge"), s)
+        return materialize(pairs.select("a", "b", "ra", "rb", "ta", "tb").mapInArrow(_verified(k, num, den), "a long, b long"), name)
 
     star = groups.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    star = sides(star).select("a", "b", "ra", "rb", "na", "nb", "pa", "pb")
-    star = star.mapInArrow(_bounded(num, den), star.schema).select("a", "b", "ra", "rb")
+    for s in "ab":
+        star = star.join(at.select(F.col("sid").alias(s), F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}")).hint("merge"), s)
+    star = star.select("a", "b", "ra", "rb", "na", "nb", "pa", "pb")
+    star = materialize(star.mapInArrow(_bounded(num, den), star.schema).select("a", "b", "ra", "rb"), "op7-near")
     stars = verified(star, "op7-stars")
     first = connected(stars)
 
-    member = groups.join(points, "sid").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    member = member.select("gid", "sid", "n", "point", F.coalesce("root", "rep").alias("comp"))
-    mixed = member.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("gid", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    tiled = member.join(mixed, "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+    # groups whose members lie in several components, once for equal members; points join what is left of them
+    comp = needed.join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("sid", "rep", F.coalesce("root", "rep").alias("comp"))
+    member = materialize(groups.select("gid", "sid").join(comp.select("sid", "comp").hint("merge"), "sid"), "op7-members")
+    mixed = member.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.expr("bit_xor(xxhash64(sid))").alias("h"), F.expr("bit_xor(xxhash64(sid, 1))").alias("i"))
+    mixed = mixed.filter("x < y").groupBy("m", "h", "i").agg(F.min("gid").alias("gid")).select("gid")
+    member = materialize(member.join(mixed.hint("merge"), "gid", "left_semi"), "op7-mixed")
+    weighed = member.join(at.select("sid", "n", "point").hint("merge"), "sid")
+    tiles = member.join(at.select("sid", F.length("point").alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
+    tiled = weighed.join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
     tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
-    found = tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct()
-    more = verified(sides(found).select("a", "b", "ra", "rb"), "op7-more")
-
-    root = connected(stars.unionByName(more)).withColumnRenamed("node", "rep")
-    told = classes.select("s1", "s2", "n", "rep", "n_copies").join(root, "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("least"), "n_copies")
+    found = materialize(tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct(), "op7-found")
+    for s in "ab":
+        found = found.join(needed.select(F.col("sid").alias(s), F.col("rep").alias(f"r{s}")).hint("merge"), s)
+    more = verified(found, "op7-more")
+
+    # rows that share an id are one document, whatever their texts
+    again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
+    again = named.select("doc_id", "s1", "s2", "n").join(again.hint("merge"), "doc_id").join(classes.select("s1", "s2", "n", "rep").hint("merge"), ["s1", "s2", "n"])
+    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    root = materialize(connected(edges).withColumnRenamed("node", "rep"), "op7-roots")
+    told = classes.select("s1", "s2", "n", "rep", "n_copies").join(root.hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("least"), "n_copies")
     extra = []
     if links:
-        told = told.join(_link_counts(groups, points, blobs, classes, k, num, den).withColumnRenamed("sid", "s1"), "s1", "left")
+        alone = stars.unionByName(more).filter("a = b").select(F.col("a").alias("rep"), F.col("a").alias("root"))
+        told = told.join(_link_counts(root.unionByName(alone).groupBy("rep").agg(F.min("root").alias("root")), classes, blobs, k, num, den, sent).withColumnRenamed("sid", "s1").hint("merge"), "s1", "left")
         linked = F.coalesce("linked", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1
         extra = [F.when(F.col("doc_id").isNotNull(), linked).otherwise(0).cast("long").alias("n_links")]
-    rows = sets.drop("point").join(told, ["s1", "s2", "n"], "left")
+    discard(groups, needed, blobs, stars, member, more)
+    rows = sets.drop("point").join(told.hint("merge"), ["s1", "s2", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), *extra)
 
 
-def _link_counts(groups: DataFrame, points: DataFrame, blobs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """sid, linked: documents of other sets that a set links with."""
-    low = groups.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("gid")), 1, LOW).alias("low"))
-    tiles = groups.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / LINK_TILE).cast("int").alias("tiles"))
-    member = groups.select("gid", "sid").join(points.select("sid", "n", "point"), "sid").join(low, "sid").join(tiles, "gid")
-    tiled = member.withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
-    tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "own", "low")
-    at = ["gid", "i", "j"]
-    found = tiled.groupBy(at).applyInArrow(_every(num, den), "a long, b long, gid long, i int, j int")
-    pairs = materialize(found.groupBy("a", "b").agg(F.min(F.struct(at)).alias("at")).select("a", "b", "at.*"), "op7-pairs")
-    copies = classes.select(F.col("s1").alias("sid"), "n_copies").dropDuplicates(["sid"])
-    to = ["to_gid", "to_i", "to_j"]
-    texts = pairs.select(*[F.col(c).alias(t) for c, t in zip(at, to, strict=True)], F.explode(F.array("a", "b")).alias("sid")).distinct()
-    texts = texts.join(blobs, "sid").join(copies, "sid").select(*to, "sid", "n_copies", "blob")
-    counted = pairs.groupBy(at).cogroup(texts.groupBy(to)).applyInArrow(_counted(k, num, den), "sid long, linked long")
-    out = materialize(counted.groupBy("sid").agg(F.sum("linked").alias("linked")), "op7-linked")
-    return out
-
+def _link_counts(root: DataFrame, classes: DataFrame, blobs: DataFrame, k: int, num: int, den: int, sent: int) -> DataFrame:
+    """sid, linked: documents of other sets that a set links with, from the sets of its component.
 
-def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    Components of one tile share buckets; larger ones go to a task for each pair of tiles.
+    """
+    sid = classes.select(F.col("s1").alias("sid"), "rep", "n_copies").join(root.hint("merge"), "rep").select("sid", "n_copies", "root")
+    member = materialize(sid.join(blobs.hint("merge"), "sid"), "op7-linked")
+    tiles = member.groupBy("root").agg(F.ceil(F.greatest(F.sum(F.length("blob")) / LINK_BYTES, F.count(F.lit(1)) / LINK_SETS)).cast("int").alias("tiles"))
+    tiled = member.join(tiles.hint("merge"), "root").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n_copies", "own", "blob", F.when(F.col("tiles") > 1, F.col("root")).otherwise(F.expr(f"pmod(xxhash64(root), {8 * sent})")).alias("bucket"), (F.col("tiles") > 1).alias("large"))
+    counted = tiled.groupBy("large", "bucket", "i", "j").applyInArrow(_counted(k, num, den), "sid long, linked long")
+    return materialize(counted.groupBy("sid").agg(F.sum("linked").alias("linked")), "op7-counts")
 
 
-def op7_jaccard_links(spark, sf_dir: str) -> DataFrame:
-    """op7_jaccard_join with the number of links of each document."""
+def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return jaccard_components(table(spark, sf_dir, "documents"), links=True)

@@ -24,8 +24,8 @@ pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a
 ln AS (SELECT a, b, c = x.n AND c = y.n AS same FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
 r AS (SELECT doc_id AS o, doc_id AS z FROM d UNION SELECT r.o, ln.b FROM r JOIN ln ON ln.a = r.z),
 q AS (SELECT o, min(z) AS least FROM r GROUP BY o)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least AS component_id, (1 + coalesce(e.k, 0))::BIGINT AS n_copies
-FROM d LEFT JOIN n USING (doc_id) JOIN q ON q.o = d.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM ln WHERE same GROUP BY a) e ON e.a = d.doc_id"""
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least AS component_id, (1 + coalesce(e.k, 0))::BIGINT AS n_copies, coalesce(e.l, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN q ON q.o = d.doc_id LEFT JOIN (SELECT a, count(*) FILTER (WHERE same) AS k, count(*) AS l FROM ln GROUP BY a) e ON e.a = d.doc_id"""
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 

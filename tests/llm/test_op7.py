@@ -51,9 +51,10 @@ def test_five_words_and_four_fifths(spark):
 def test_awkward_rows(spark):
     rows = family(2)[:60] + [(900, None), (901, ""), (902, " \n"), (903, "One"), (904, "one"), (905, "one two"), (906, "two one"), (None, "one"), (907, "É b c d"), (908, "é b c d"), (909, "a " * 90_000), (910, "a " * 70_000), (911, "z"), (911, "z")]
     rows += [(1000 + i, "an exact copy of the same text") for i in range(40)]
+    rows += [(1100, "one id with two texts, the first"), (1100, "quite another text of one id"), (1050, "quite another text of one id")]
     got = op7.jaccard_components(awkward(spark, rows)).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    want = [(d, n, None if d is None else c) for d, n, c in plain(rows)]
+    want = [(d, n, None if d is None else 1050 if d == 1100 else c) for d, n, c in plain(rows)]
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(want, key=key)
     assert op7.jaccard_components(awkward(spark, rows).limit(0)).collect() == []
 
@@ -76,19 +77,31 @@ def test_signatures_meet_for_every_linked_pair():
 
 def test_rtree_pages_lose_no_pair():
     rng = np.random.default_rng(1)
-    points = np.minimum(rng.poisson(3, (400, op7.POINT)), 9).astype(np.int32)
+    points = np.minimum(rng.poisson(3, (400, 256)), 9).astype(np.uint8)
     points[200:] = points[:200]
     for i in range(200, 400):
-        points[i, rng.integers(0, op7.POINT, 24)] += 1
+        points[i, rng.integers(0, 256, 24)] += 1
     n, comp, tile = points.sum(1), np.arange(400) % 7, np.zeros(400, int)
     want = {(a, b) for a in range(400) for b in range(a) if comp[a] != comp[b] and op7.enough(np.minimum(points[a], points[b]).sum(), n[a], n[b], 90, 100)}
-    got = op7.rtree_pairs(points, n, comp, tile, 90, 100)
+    got = op7.rtree_pairs([p.tobytes() for p in points], n, comp, tile, 90, 100)
     assert {(max(a, b), min(a, b)) for a, b in got.tolist()} == want and want
     points[5, 3] = op7.FULL  # a count that no longer fits bounds nothing
-    got = {(max(a, b), min(a, b)) for a, b in op7.rtree_pairs(points, n, comp, tile, 90, 100).tolist()}
+    got = {(max(a, b), min(a, b)) for a, b in op7.rtree_pairs([p.tobytes() for p in points], n, comp, tile, 90, 100).tolist()}
     assert {(max(5, b), min(5, b)) for b in range(400) if comp[b] != comp[5] and abs(int(n[b]) - int(n[5])) < 30} <= got
 
 
+def test_points_bound_intersections_at_every_size():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 64, 65, 130, 1000, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.r_[a[: n - n // 5], rng.integers(0, 1 << 63, n, dtype=np.uint64)])
+        row, value = np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[a, b]
+        p, q = op7.points(row, value, np.array([len(a), len(b)]))
+        assert len(p) == max(64, 1 << (len(a) - 1).bit_length())
+        x, y = (op7.folded([z], min(len(p), len(q)))[0] for z in (p, q))
+        assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (200, 100), (300, 300)] + [(500, i) for i in range(501, 560)]
     got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -27,18 +27,21 @@ def same(got, want):
 
 
 def test_links_equal_brute_force(spark, sf, monkeypatch):
-    same(op7.op7_jaccard_links(spark, sf).collect(), links([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]))
+    same(op7.op7_jaccard_join(spark, sf).collect(), links([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]))
     rows = family(1) + [(900, None), (901, ""), (902, "One"), (903, "one"), (None, "one")] + [(1000 + i, "an exact copy of the same text") for i in range(40)]
-    monkeypatch.setattr(op7, "LINK_TILE", 5)  # several tiles
+    rows += [(2000, rows[7][1]), (2000, rows[7][1] + " more")]  # two near texts of one id
     got = op7.jaccard_components(awkward(spark, rows), links=True).collect()
     same(got, links(rows))
+    monkeypatch.setattr(op7, "LINK_BYTES", 2000)  # several tiles of a component
+    same(op7.jaccard_components(awkward(spark, rows), links=True).collect(), links(rows))
+    few = op7.linked_copies
+    sets = [np.arange(i, i + 40, dtype=np.uint64) for i in (0, 1, 2, 30, 31, 100)]
+    copies, one = np.array([1, 2, 3, 4, 5, 6]), np.zeros(6, int)
+    whole = few(sets, copies, one, 90, 100)
+    assert whole.tolist() == [2 + 3, 1 + 3, 1 + 2, 5, 4, 0]
+    for i, j in ((2, 3), (1, 4)):  # in two tiles: what is within one is counted there
+        own = (np.arange(6) >= i).astype(int)
+        within = np.r_[few(sets[:i], copies[:i], one[:i], 90, 100), few(sets[i:], copies[i:], one[i:], 90, 100)]
+        assert (few(sets, copies, own, 90, 100) + within).tolist() == whole.tolist()
     # links between different texts of one component, which a search between components leaves out
     assert any(r.n_links >= r.n_copies for r in got) and op7.jaccard_components(awkward(spark, rows).limit(0), links=True).collect() == []
-
-
-def test_pairs_that_met_at_a_lesser_signature_are_left_out():
-    met = op7._met([[1, 2], [2, 9], [9], [3]], 5)
-    assert (met @ met.T > 0).tolist() == [[i in (0, 1) and j in (0, 1) for j in range(4)] for i in range(4)]
-    points = np.ones((4, op7.POINT), np.int16)
-    got = op7.rtree_pairs(points, points.sum(1), np.arange(4), np.zeros(4, int), 90, 100, met)
-    assert {(min(p), max(p)) for p in got.tolist()} == {(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
