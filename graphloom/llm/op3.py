@@ -234,6 +234,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     block, buckets = (window + 1) // 2, buckets_of(docs)
+    back = max(1, buckets // 2)  # a bucket answers with a row for each of these
     docs = docs.withColumn("tag", F.crc32("text"))
     named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
@@ -242,10 +243,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     probes = named.mapInArrow(_probes(block, window, buckets), PACK)
     # hits are by id alone: for rows that share an id they only name more windows to look at
-    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, buckets), PACK), "op3-hits")
+    hits = merged(probes.groupBy("bucket").applyInArrow(_meet(block, back), PACK), "op3-hits")
     # hits and marks grow with the corpus: never broadcast
-    near = named.join(hits.drop("tag").hint("merge"), "doc_id").select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, buckets), PACK)
-    marks = merged(near.groupBy("bucket").applyInArrow(_owned(buckets), PACK), "op3-marks")
+    near = named.join(hits.drop("tag").hint("merge"), "doc_id").select("doc_id", "tag", "text", "late", "ref").mapInArrow(_windows(block, window, back), PACK)
+    marks = merged(near.groupBy("bucket").applyInArrow(_owned(back), PACK), "op3-marks")
     discard(hits)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * text_out
     return docs.join(marks.hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "text", "late").mapInArrow(_kept(window, text_out), schema)
