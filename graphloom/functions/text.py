@@ -70,6 +70,6 @@ def search_doc(*parts: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in doubles."""
+    """Cosine of two arrays of numbers, in doubles; null if one is null, holds a null or is all zeros, or lengths differ."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

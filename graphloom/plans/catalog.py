@@ -19,7 +19,7 @@ from ..sources import extract as X
 from ..sources.tables import read
 from ..streaming import watch as S
 from . import fixture as D
-from .oracles import BM, ED, FN, FUSED, HUB, MEM, UN, VEC, reach, terms, trails
+from .oracles import BM, ED, FN, FUSED, HUB, MEM, THIN, UN, VEC, reach, terms, trails
 from .oracles import G as GR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,7 +219,7 @@ def delete_overlay(spark, sf):
 def raw_sql(spark, sf):
     from ..api import Engine
 
-    return Engine(D.functions(spark, sf), D.calls(spark, sf)).sql("SELECT f.domain, count(*) AS calls FROM calls e JOIN functions f ON f.id = e.src WHERE e.confidence >= :least GROUP BY f.domain", least=80)
+    return Engine(D.functions(spark, sf), D.calls(spark, sf), branch=None).sql("SELECT f.domain, count(*) AS calls FROM calls e JOIN functions f ON f.id = e.src WHERE e.confidence >= :least GROUP BY f.domain", least=80)
 
 
 # --- resolution --------------------------------------------------------------------------------------------------
@@ -337,25 +337,35 @@ def build_search_doc(spark, sf):
 # --- traversal ---------------------------------------------------------------------------------------------------
 
 
-@query(GR + trails("top", 3) + " SELECT array_to_string(path, '>') AS path, depth, node FROM tr WHERE depth = 3 OR node NOT IN (SELECT src FROM ed) ORDER BY depth, path LIMIT 20")
+@query(THIN + trails("top", 10) + " SELECT array_to_string(path, '>') AS path, depth, node FROM tr WHERE depth = 10 OR node NOT IN (SELECT src FROM ed) ORDER BY depth, path LIMIT 20")
 def call_chain(spark, sf):
-    return G.call_chain(D.calls(spark, sf), D.caller(spark, sf), 3).select(_path("path").alias("path"), "depth", "node")
+    return G.call_chain(D.calls(spark, sf, True), D.caller(spark, sf, True), 10).select(_path("path").alias("path"), "depth", "node")
 
 
-@query(GR + trails("top", 3) + " SELECT array_to_string(path, '>') AS path, depth FROM tr WHERE node NOT IN (SELECT src FROM ed)")
+@query(
+    THIN + trails("top", 10) + """, ch AS (SELECT path, depth FROM tr WHERE depth = 10 OR node NOT IN (SELECT src FROM ed) ORDER BY depth, array_to_string(path, '>') LIMIT 20), st AS (SELECT path, unnest(range(1, len(path))) AS k FROM ch)
+    SELECT array_to_string(st.path, '>') AS path, string_agg(e.confidence || '@' || e.callSite, ',' ORDER BY k) AS edges FROM st JOIN ed e ON e.src = st.path[k] AND e.dst = st.path[k + 1] GROUP BY st.path"""
+)
+def call_chain_edges(spark, sf):
+    c = D.calls(spark, sf, True)
+    got = G.with_call_sites(G.call_chain(c, D.caller(spark, sf, True), 10), c)
+    return got.select(_path("path").alias("path"), F.array_join(F.transform("edges", lambda e: F.concat_ws("@", e["confidence"], e["callSite"])), ",").alias("edges"))
+
+
+@query(THIN + trails("top", 3) + " SELECT array_to_string(path, '>') AS path, depth FROM tr WHERE node NOT IN (SELECT src FROM ed)")
 def call_chain_leaf(spark, sf):
-    c = D.calls(spark, sf)
-    return G.trails(c, D.caller(spark, sf), 3).join(c.select(F.col("src").alias("node")), "node", "left_anti").select(_path("path").alias("path"), "depth")
+    c = D.calls(spark, sf, True)
+    return G.trails(c, D.caller(spark, sf, True), 3).join(c.select(F.col("src").alias("node")), "node", "left_anti").select(_path("path").alias("path"), "depth")
 
 
-@query(f"WITH {ED} SELECT id FROM fn WHERE id NOT IN (SELECT src FROM ed)")
+@query(THIN + " SELECT id FROM fn WHERE id NOT IN (SELECT src FROM ed)")
 def leaf_functions_anti(spark, sf):
-    return G.leaves(D.calls(spark, sf), D.functions(spark, sf).select("id"))
+    return G.leaves(D.calls(spark, sf, True), D.functions(spark, sf).select("id"))
 
 
-@query(GR + trails("hub", 3, back=True) + " SELECT array_to_string(list_reverse(path), '>') AS call_path, depth, node AS caller FROM tr ORDER BY depth, call_path LIMIT 50")
+@query(THIN + trails("hub", 5, back=True) + " SELECT array_to_string(list_reverse(path), '>') AS call_path, depth, node AS caller FROM tr ORDER BY depth, call_path LIMIT 50")
 def impact_scope(spark, sf):
-    return G.impact_scope(D.calls(spark, sf), D.hub(spark, sf), 3).select(_path("call_path").alias("call_path"), "depth", "caller")
+    return G.impact_scope(D.calls(spark, sf, True), D.hub(spark, sf, True), 5).select(_path("call_path").alias("call_path"), "depth", "caller")
 
 
 @query(GR + reach("rc", "hub", 4, back=True) + " SELECT start AS target, node AS caller, depth FROM rc WHERE node <> start")
@@ -425,10 +435,10 @@ def entry_points(spark, sf):
     return G.entry_points(D.functions(spark, sf), ["red", "steel"], "feature").select("id")
 
 
-@query(GR + reach("rc", "top", 5) + """, r AS (SELECT start, node, depth, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS r FROM rc WHERE node <> start)
+@query(GR + reach("rc", "top", 15) + """, r AS (SELECT start, node, depth, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS r FROM rc WHERE node <> start)
     SELECT start, node, depth FROM r WHERE r < 50 UNION ALL SELECT DISTINCT start, start, 0 FROM r""")
 def process_trace(spark, sf):
-    return G.process_trace(D.calls(spark, sf), D.functions(spark, sf), D.caller(spark, sf), 5, branch="feature")
+    return G.process_trace(D.calls(spark, sf), D.functions(spark, sf), D.caller(spark, sf), 15, branch="feature")
 
 
 # --- counts ------------------------------------------------------------------------------------------------------
@@ -627,38 +637,34 @@ def diff_changed_functions(spark, sf):
     return C.changed_functions(_hunks(spark, sf), D.functions(spark, sf))
 
 
-def _changed(spark, sf, diffs: str = "diff_id % 100 = 1") -> DataFrame:
-    some = _hunks(spark, sf).filter(diffs)
-    return C.changed_functions(some, D.functions(spark, sf)).select("id", "name").distinct()
+def _changed(spark, sf) -> DataFrame:
+    return C.changed_functions(_hunks(spark, sf), D.functions(spark, sf)).select("id", "name").distinct()
 
 
-@query(GR + f", {_DIFF_SQL}, {_CH}, cg AS (SELECT DISTINCT id, name FROM ch WHERE diff_id % 100 = 1)" + reach("rc", "cg", 2, back=True) + " SELECT cg.id, cg.name, least(10, count(rc.node)) AS callers FROM cg LEFT JOIN rc ON rc.start = cg.id GROUP BY ALL")
+# callers within three calls, counted up to ten: only functions with fewer direct callers are followed further
+_NEAR = """, cg AS (SELECT DISTINCT id, name FROM ch), c1 AS (SELECT cg.id, cg.name, count(DISTINCT e.src) AS n FROM cg LEFT JOIN ed e ON e.dst = cg.id GROUP BY ALL), few AS (SELECT id FROM c1 WHERE n < 10)""" + reach("rc", "few", 3, back=True)
+
+
+@query(GR + f", {_DIFF_SQL}, {_CH}" + _NEAR + " SELECT id, name, CASE WHEN n >= 10 THEN 10 ELSE least(10, (SELECT count(*) FROM rc WHERE rc.start = c1.id)) END AS callers FROM c1")
 def detect_changes(spark, sf):
-    return C.affected(D.functions(spark, sf), D.calls(spark, sf), _changed(spark, sf), hops=2)
+    return C.affected(D.functions(spark, sf), D.calls(spark, sf), _changed(spark, sf))
+
 
+@query(THIN + f""", {_DIFF_SQL}, {_CH}, cg AS (SELECT DISTINCT id, name FROM ch)""" + reach("rc", "cg", 3, back=True) + """, nr AS (SELECT rc.start, rc.node, rc.depth, f.name, row_number() OVER (PARTITION BY rc.start ORDER BY rc.depth, f.name, rc.node) AS r FROM rc JOIN fn f ON f.id = rc.node)
+    SELECT cg.id, cg.name, least(10, (SELECT count(*) FROM nr WHERE start = cg.id)) AS callers, coalesce((SELECT string_agg(name, ',' ORDER BY r) FROM nr WHERE start = cg.id AND r <= 5), '') AS shown,
+    coalesce((SELECT string_agg(process, ',' ORDER BY process) FROM mem WHERE mem.id = cg.id), '') AS processes FROM cg""")
+def detect_changes_report(spark, sf):
+    got = C.report(D.functions(spark, sf), D.calls(spark, sf, True), _changed(spark, sf), D.members(spark, sf, True))
+    return got.select("id", "name", "callers", F.array_join("shown", ",").alias("shown"), F.array_join("processes", ",").alias("processes"))
 
-@query(GR + f""", {_DIFF_SQL}, {_CH}, cg AS (SELECT DISTINCT fn.id, fn.name, fn.domain FROM ch JOIN fn USING (id) WHERE diff_id % 100 = 1), pr AS (SELECT DISTINCT process FROM cg JOIN mem USING (id))
+
+@query(GR + f""", {_DIFF_SQL}, {_CH}, cg AS (SELECT DISTINCT fn.id, fn.name, fn.domain FROM ch JOIN fn USING (id)), pr AS (SELECT DISTINCT process FROM cg JOIN mem USING (id))
     SELECT (SELECT count(*) FROM cg) AS n_changed, (SELECT count(*) FROM pr) AS n_processes, (SELECT string_agg(name, ', ' ORDER BY id) FROM (SELECT * FROM cg ORDER BY id LIMIT 5)) AS names,
     coalesce((SELECT string_agg(process, ', ' ORDER BY process) FROM (SELECT * FROM pr ORDER BY process LIMIT 5)), '') AS processes, (SELECT string_agg(domain, ', ' ORDER BY domain) FROM (SELECT DISTINCT domain FROM cg)) AS domains""")
 def diff_summary(spark, sf):
     return C.summary(_changed(spark, sf).join(D.functions(spark, sf).select("id", "domain"), "id"), D.members(spark, sf))
 
 
-_SOME = " WHERE diff_id % 100 = 1"
-
-
-@query(ORACLES["detect_changes"].replace(_SOME, ""))
-def detect_changes_all(spark, sf):
-    """detect_changes over the diffs of all orders."""
-    return C.affected(D.functions(spark, sf), D.calls(spark, sf), _changed(spark, sf, "true"), hops=2)
-
-
-@query(ORACLES["diff_summary"].replace(_SOME, ""))
-def diff_summary_all(spark, sf):
-    """diff_summary over the diffs of all orders."""
-    return C.summary(_changed(spark, sf, "true").join(D.functions(spark, sf).select("id", "domain"), "id"), D.members(spark, sf))
-
-
 # --- watching ----------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """The star tables read as a property graph, so that every graph operator runs over whole tables.
 
-Parts are functions, brands files, types domains; a call leads from each line item of quantity 40 or more to the next one of
-its order. Derived tables are written once per session and folder.
+Parts are functions, brands files, types domains; a call leads from each line item to the next one of its order. Trails and
+leaves are asked of a thinner graph, of line items of quantity 40 or more: the whole one has no leaf, and too many trails for
+another engine to list them all. Derived tables are written once per session and folder.
 """
 
 from __future__ import annotations
@@ -46,12 +47,12 @@ def functions(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "functions", make)
 
 
-def calls(spark: SparkSession, sf: str) -> DataFrame:
+def calls(spark: SparkSession, sf: str, thin: bool = False) -> DataFrame:
     """src, dst, confidence, callSite, calleeRaw: the call graph."""
 
     def make():
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-        line = read(spark, sf, "lineitem").filter("l_quantity >= 40").select(F.col("l_partkey").alias("s"), F.lead("l_partkey").over(w).alias("d"))
+        line = read(spark, sf, "lineitem").filter("l_quantity >= 40" if thin else "true").select(F.col("l_partkey").alias("s"), F.lead("l_partkey").over(w).alias("d"))
         pairs = line.filter("d IS NOT NULL").distinct()
         f = functions(spark, sf)
         return (
@@ -60,7 +61,7 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
             .select("src", "dst", F.expr("CAST(50 + (s * 7 + d * 3) % 50 AS INT)").alias("confidence"), F.expr("CAST(a + d % 9 AS INT)").alias("callSite"), "calleeRaw")
         )
 
-    return _once(spark, sf, "calls", make)
+    return _once(spark, sf, "thin" if thin else "calls", make)
 
 
 def unresolved(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,19 +70,19 @@ def unresolved(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("src", F.concat(F.lit("func:unresolved::"), "calleeRaw").alias("dst"), "calleeRaw", F.when(F.col("confidence") % 10 == 0, 0).otherwise(F.col("confidence")).alias("confidence"), F.lit(False).alias("resolved"))
 
 
-def hub(spark: SparkSession, sf: str) -> DataFrame:
+def hub(spark: SparkSession, sf: str, thin: bool = False) -> DataFrame:
     """id of the most called function, the least id on ties."""
-    return calls(spark, sf).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+    return calls(spark, sf, thin).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
-def caller(spark: SparkSession, sf: str) -> DataFrame:
+def caller(spark: SparkSession, sf: str, thin: bool = False) -> DataFrame:
     """id of the function with most callees, the least id on ties."""
-    return calls(spark, sf).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+    return calls(spark, sf, thin).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
-def members(spark: SparkSession, sf: str) -> DataFrame:
+def members(spark: SparkSession, sf: str, thin: bool = False) -> DataFrame:
     """id, process: a process per domain and entry brand, of the functions that its files' public functions call."""
     f = functions(spark, sf)
     entry = f.filter("isPublic").select(F.col("id").alias("src"), F.concat(F.lit("process:"), "filePath").alias("process"))
-    out = calls(spark, sf).join(entry, "src").select(F.col("dst").alias("id"), "process")
+    out = calls(spark, sf, thin).join(entry, "src").select(F.col("dst").alias("id"), "process")
     return out.unionByName(entry.select(F.col("src").alias("id"), "process")).distinct()
