@@ -436,10 +436,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = needed.join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("sid", "rep", F.coalesce("root", "rep").alias("comp"))
     member = materialize(groups.select("gid", "sid").join(comp.select("sid", "comp").hint("merge"), "sid"), "op7-members")
     mixed = member.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.expr("bit_xor(xxhash64(sid))").alias("h"), F.expr("bit_xor(xxhash64(sid, 1))").alias("i"))
-    mixed = mixed.filter("x < y").groupBy("m", "h", "i").agg(F.min("gid").alias("gid")).select("gid")
+    # what is joined is written first: a join of two scans is split where a key is skewed
+    mixed = materialize(mixed.filter("x < y").groupBy("m", "h", "i").agg(F.min("gid").alias("gid")).select("gid"), "op7-gids")
     member = materialize(member.join(mixed.hint("merge"), "gid", "left_semi"), "op7-mixed")
     weighed = member.join(at.select("sid", "n", "point").hint("merge"), "sid")
     tiles = member.join(at.select("sid", F.length("point").alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
+    tiles = materialize(tiles, "op7-tiles")
     tiled = weighed.join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
     tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
     found = materialize(tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct(), "op7-found")
@@ -473,6 +475,7 @@ def _link_counts(root: DataFrame, classes: DataFrame, blobs: DataFrame, k: int,
     sid = classes.select(F.col("s1").alias("sid"), "rep", "n_copies").join(root.hint("merge"), "rep").select("sid", "n_copies", "root")
     member = materialize(sid.join(blobs.hint("merge"), "sid"), "op7-linked")
     tiles = member.groupBy("root").agg(F.ceil(F.greatest(F.sum(F.length("blob")) / LINK_BYTES, F.count(F.lit(1)) / LINK_SETS)).cast("int").alias("tiles"))
+    tiles = materialize(tiles, "op7-link-tiles")
     tiled = member.join(tiles.hint("merge"), "root").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
     tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n_copies", "own", "blob", F.when(F.col("tiles") > 1, F.col("root")).otherwise(F.expr(f"pmod(xxhash64(root), {8 * sent})")).alias("bucket"), (F.col("tiles") > 1).alias("large"))
     counted = tiled.groupBy("large", "bucket", "i", "j").applyInArrow(_counted(k, num, den), "sid long, linked long")
