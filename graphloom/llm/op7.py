@@ -6,8 +6,8 @@ Documents are sets of distinct word shingles; two link when ``den * intersection
 2. Shingle hashes fall into groups. Two linked sets differ in few shingles; with one more group than that, by size class,
    some group holds the same shingles in both. Each set sends a signature of each group's shingles, so sets that can
    link meet at a signature. Signatures travel packed in buckets. They part the points before any tree is built.
-3. Each set is also a point: how many of its shingles fall into each of as many groups as it has shingles, up to a power of
-   two. The sum of coordinate minima bounds the intersection of two sets (the finer point is added up to the coarser one's
+3. Each set is also a point: how many of its shingles fall into each of four times as many groups as it has shingles, up to
+   a power of two. The sum of coordinate minima bounds the intersection of two sets (the finer point is added up to the coarser one's
    groups); pairs whose bound is too low are dropped unseen.
 4. At each signature the first set is held against the others (bound, then exact). What this links is one component.
    Where members still lie in different components, their points are packed into an R-tree: pages of near points with
@@ -38,8 +38,10 @@ from .words import U, Words, grams, mix, place, whole
 
 SHINGLE, NUM, DEN = 3, 90, 100
 #: Coordinates of a point at least and at most, points of a page, bytes of points in a tile.
-LEAST, MOST, PAGE, TILE = 64, 1 << 15, 64, 2 << 20
-FULL = 255
+LEAST, MOST, PAGE, TILE = 64, 1 << 17, 64, 8 << 20
+#: Coordinates for each shingle at least: with few shingles to a group, shingles that differ seldom meet.
+FINE = 4
+FULL, MANY = 255, 65535
 #: Bytes of packed texts in a tile where links are counted, columns of a matrix at once, and the most sets of a tile.
 LINK_BYTES, COLUMNS, LINK_SETS = 4 << 20, 2048, 2048
 #: Size classes of sets grow by this factor.
@@ -78,8 +80,8 @@ def _sums(row, value, n_rows):
 
 
 def coordinates(n: np.ndarray) -> np.ndarray:
-    """How many coordinates the point of a set of n shingles has: the next power of two."""
-    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST, MOST)
+    """How many coordinates the point of a set of n shingles has: a power of two."""
+    return np.clip(FINE * 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST, MOST)
 
 
 def points(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -94,10 +96,10 @@ def points(row: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 def folded(column: list[bytes], size: int) -> np.ndarray:
     """Points added up to ``size`` coordinates each."""
-    out = np.empty((len(column), size), np.int16)
+    out = np.empty((len(column), size), np.uint16)
     for i, p in enumerate(column):
         x = np.frombuffer(p, np.uint8)
-        out[i] = x if len(x) == size else x.reshape(size, -1).sum(1)
+        out[i] = x if len(x) == size else np.minimum(x.reshape(size, -1).sum(1), MANY)
     return out
 
 
@@ -222,7 +224,11 @@ def enough(both, a, b, num, den):
 
 def _full(column: list[bytes]) -> np.ndarray:
     """Points with a count that may be larger than a byte tells: their bound is no bound."""
-    return np.array([255 in p for p in column], bool)
+    return np.array([FULL in p for p in column], bool)
+
+
+def _minima(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.minimum(p, q).sum(-1, dtype=np.int32)
 
 
 def _bounded(num: int, den: int):
@@ -238,8 +244,8 @@ def _bounded(num: int, den: int):
                 every = np.flatnonzero((least == size) & ~ok)
                 for i in range(0, len(every), step := max(1, (1 << 22) // int(size))):
                     some = every[i : i + step]
-                    both = np.minimum(folded([p[x] for x in some], int(size)), folded([q[x] for x in some], int(size))).sum(1, dtype=np.int64)
-                    ok[some] = enough(both, na[some], nb[some], num, den)
+                    x, y = (folded([z[j] for j in some], int(size)) for z in (p, q))
+                    ok[some] = enough(_minima(x, y).astype(np.int64), na[some], nb[some], num, den)
             yield b.filter(pa.array(ok))
 
     return run
@@ -250,12 +256,14 @@ def rtree_pairs(point: list[bytes], n: np.ndarray, comp: np.ndarray, tile: np.nd
 
     Points are packed into pages by size and leading coordinates (sort-tile-recursive); a page keeps its largest
     coordinates and sizes, which bound all its pairs with another page at once. Pages and pairs are bounded by coordinates
-    added up to ``LEAST`` first, and what is left by all of them.
+    added up to ``LEAST`` first, and what is left by more of them, at last by all.
     """
     if len(n) < 2:
         return np.empty((0, 2), np.int64)
     size = min(map(len, point))
-    fine, coarse, full = folded(point, size), folded(point, LEAST), _full(point)
+    levels = [folded(point, s) for s in sorted({LEAST, max(LEAST, size // FINE), size})]
+    coarse = levels[0].astype(np.int32)
+    full = _full(point) | (coarse >= MANY).any(1)
     spread = np.argsort(-coarse.var(0), kind="stable")
     strip = max(1, int(np.ceil((len(n) / PAGE) ** 0.5)) * PAGE)
     order = np.argsort(n, kind="stable")
@@ -265,7 +273,6 @@ def rtree_pairs(point: list[bytes], n: np.ndarray, comp: np.ndarray, tile: np.nd
     low, high = np.array([n[p].min() for p in pages]), np.array([n[p].max() for p in pages])
     spill = np.array([full[p].any() for p in pages])
     two = len(np.unique(tile)) > 1
-    step = max(1, (1 << 21) // size)
     out = []
     for i, p in enumerate(pages):
         rest = np.arange(i, len(pages))
@@ -280,12 +287,13 @@ def rtree_pairs(point: list[bytes], n: np.ndarray, comp: np.ndarray, tile: np.nd
             if i == j:
                 a, b = a[a < b], b[a < b]
             a, b = p[a], q[b]
-            ok = enough(np.minimum(coarse[a], coarse[b]).sum(1, dtype=np.int64), n[a], n[b], num, den) | full[a] | full[b]
-            a, b = a[ok], b[ok]
-            for k in range(0, len(a), step):
-                x, y = a[k : k + step], b[k : k + step]
-                ok = enough(np.minimum(fine[x], fine[y]).sum(1, dtype=np.int64), n[x], n[y], num, den) | full[x] | full[y]
-                out.append(np.stack([x[ok], y[ok]], 1))
+            for x in levels:
+                step, keep = max(1, (1 << 21) // x.shape[1]), np.empty(len(a), bool)
+                for k in range(0, len(a), step):
+                    c, d = a[k : k + step], b[k : k + step]
+                    keep[k : k + step] = enough(_minima(x[c], x[d]).astype(np.int64), n[c], n[d], num, den) | full[c] | full[d]
+                a, b = a[keep], b[keep]
+            out.append(np.stack([a, b], 1))
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 

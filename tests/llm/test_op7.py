@@ -97,9 +97,9 @@ def test_points_bound_intersections_at_every_size():
         b = np.unique(np.r_[a[: n - n // 5], rng.integers(0, 1 << 63, n, dtype=np.uint64)])
         row, value = np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[a, b]
         p, q = op7.points(row, value, np.array([len(a), len(b)]))
-        assert len(p) == max(64, 1 << (len(a) - 1).bit_length())
+        assert len(p) == max(64, op7.FINE << (len(a) - 1).bit_length())
         x, y = (op7.folded([z], min(len(p), len(q)))[0] for z in (p, q))
-        assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+        assert x.sum() == len(a) and op7._minima(x, y) >= len(np.intersect1d(a, b))
 
 
 def test_components(spark):
