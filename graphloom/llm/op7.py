@@ -103,13 +103,19 @@ def folded(column: list[bytes], size: int) -> np.ndarray:
     return out
 
 
+def _unpacked(column: pa.Array) -> list[bytes]:
+    undo = zstandard.ZstdDecompressor()
+    return [undo.decompress(x) for x in column.to_pylist()]
+
+
 def _sets(k: int):
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)  # most counts are 0 or 1: about a bit each
         for b in steps(batches):
             row, value = shingles(b.column("text"), k)
             n, s1, s2, _ = _sums(row, value, b.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(points(row, value, n), pa.binary())],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([pack.compress(p) for p in points(row, value, n)], pa.binary())],
                 ["doc_id", "n", "s1", "s2", "point"],
             )
 
@@ -236,7 +242,7 @@ def _bounded(num: int, den: int):
 
     def run(batches):
         for b in batches:
-            p, q = b.column("pa").to_pylist(), b.column("pb").to_pylist()
+            p, q = _unpacked(b.column("pa")), _unpacked(b.column("pb"))
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             least = np.minimum([len(x) for x in p], [len(x) for x in q])
             ok = _full(p) | _full(q)
@@ -300,7 +306,7 @@ def rtree_pairs(point: list[bytes], n: np.ndarray, comp: np.ndarray, tile: np.nd
 def _searched(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
         sid = t.column("sid").to_numpy()
-        pairs = rtree_pairs(t.column("point").to_pylist(), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("own").to_numpy(), num, den)
+        pairs = rtree_pairs(_unpacked(t.column("point")), t.column("n").to_numpy(), t.column("comp").to_numpy(), t.column("own").to_numpy(), num, den)
         a, b = sid[pairs[:, 0]], sid[pairs[:, 1]]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
@@ -448,7 +454,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = materialize(mixed.filter("x < y").groupBy("m", "h", "i").agg(F.min("gid").alias("gid")).select("gid"), "op7-gids")
     member = materialize(member.join(mixed.hint("merge"), "gid", "left_semi"), "op7-mixed")
     weighed = member.join(at.select("sid", "n", "point").hint("merge"), "sid")
-    tiles = member.join(at.select("sid", F.length("point").alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
+    # a point unpacked has up to twice FINE coordinates a shingle
+    weight = F.greatest(F.lit(LEAST), 2 * FINE * F.col("n"))
+    tiles = member.join(at.select("sid", weight.alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
     tiles = materialize(tiles, "op7-tiles")
     tiled = weighed.join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
     tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
