@@ -1,20 +1,30 @@
 """Benchmark decontamination: training passages query a BM25 index of test items with block-max WAND.
 
 The index holds the test items: postings with the BM25 impact of each term in each item as a share of the item's own
-score (the item as its own query), in blocks of ``BLOCK`` items with the largest impact of each term in each block.
-Every passage of every document is a query. Its list bound (sum of each term's largest impact anywhere) comes
-first, then the bound of each block; only blocks that can reach the threshold are scored, and all items at or above it are
-retrieved. A retrieved pair counts if ``overlap`` of the five-word sequences of the question and of the answer occur in
+score (the item as its own query), in blocks of ``BLOCK`` items, and for each term the blocks that it occurs in with its
+largest impact there. All of it is sparse: it grows with the words of the items, not with terms times blocks. Every passage
+of every document is a query:
+
+1. Its list bound, the sum of each term's largest impact anywhere, drops most passages.
+2. Pivot: of the others' terms, in order of their largest impact, those before the pivot could not reach the threshold
+   without one after it. Only blocks in the lists of the terms up to the pivot are looked at; all others are skipped.
+3. The bound of each such block is the sum of the passage's largest impacts in it. Only blocks that can reach the threshold
+   are scored, and all items at or above it are retrieved.
+
+A retrieved pair counts if ``overlap`` of the five-word sequences of the question and of the answer occur in
 the passage; an item text without columns for them is split before its last sentence.
 
-Passages are ``2 * stride`` words long every ``stride`` words, with a stride of one and a half times the longest item: an
-item, also with half as many words again put in between, lies whole in one passage.
+Passages depend on the length of the item alone. Items of up to 64 words, up to 256, and so on by fours are classes, each
+with passages ``2 * stride`` words long every ``stride`` words, with a stride of one and a half times the class: an item,
+also with half as many words again put in between, lies whole in one passage.
 
-The index travels as a broadcast of at most ``INDEX_BYTES`` of item text; more items are taken in several such blocks,
-one pass over the documents each. Item statistics are those of all items. No shuffle of the documents.
+The index travels as a broadcast of at most ``INDEX_BYTES`` of item text; more items are taken in several such parts,
+one pass over the documents each. Item statistics are those of all items, so the parts make no difference. No shuffle of the
+documents.
 
 Defined results: null or empty texts and items match nothing; rows that repeat a document give a row each; items with
-equal text all match; a null id stays null; extra columns are ignored; empty tables give an empty result.
+equal text all match; a null id stays null; extra columns are ignored; long items and long texts are taken whole; empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +42,8 @@ from .words import U, Words, grams
 
 SHINGLE, OVERLAP, SHARE, K1, B = 5, 0.8, 0.5, 1.2, 0.75
 BLOCK, INDEX_BYTES = 16, 8 << 20
+#: Words of the items of the first class, and list entries that a step looks at.
+CLASS, STEP = 64, 1 << 20
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passages int"
 
 
@@ -51,15 +63,30 @@ def _sequences(words: np.ndarray) -> np.ndarray:
     return np.unique(grams(words, min(SHINGLE, len(words)))) if len(words) else np.empty(0, U)
 
 
+def strides(sizes: np.ndarray) -> np.ndarray:
+    """The stride of the passages that items of these many words are looked for in."""
+    least = CLASS * 4 ** np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / CLASS) / 2)).astype(np.int64)
+    return 3 * least // 2
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places first, first + 1, ... of each run, and which run each is of."""
+    run = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + first[run], run
+
+
 class Index:
-    """Items of one block of the benchmark. ``df``: items with each term, ``total`` and ``mean``: of all items."""
+    """Items of one part of the benchmark. ``df``: items with each term, ``total`` and ``mean``: of all items."""
 
     def __init__(self, items: list[tuple], df: dict[int, int], total: int, mean: float):
         words = _terms([f"{q}\n{a}" for _, q, a in items])
+        # items of a class share blocks
+        step = strides(np.array([len(w) for w in words]))
+        order = np.argsort(step, kind="stable")
+        items, words, self.stride = [items[i] for i in order], [words[i] for i in order], step[order]
         self.ids = np.array([i for i, _, _ in items], np.int64)
         self.question, self.answer = ([_sequences(w) for w in _terms([x[k] for x in items])] for k in (1, 2))
         self.sizes = [(len(q), len(a)) for q, a in zip(_terms([x[1] for x in items]), _terms([x[2] for x in items]), strict=True)]
-        self.stride = max(32, int(1.5 * max(map(len, words))))
         terms, impact, item, self.own = [], [], [], np.zeros(len(items))
         for i, w in enumerate(words):
             t, tf = np.unique(w, return_counts=True)
@@ -71,81 +98,115 @@ class Index:
             item.append(np.full(len(t), i))
         terms, impact, item = np.concatenate(terms), np.concatenate(impact), np.concatenate(item)
         self.vocabulary, tid = np.unique(terms, return_inverse=True)
-        self.most = np.zeros(len(self.vocabulary))
-        np.maximum.at(self.most, tid, impact)
-        self.blocks = -(-len(items) // BLOCK)
-        self.top = np.zeros((len(self.vocabulary), self.blocks), np.float32)
-        np.maximum.at(self.top, (tid, item // BLOCK), impact * (1 + 1e-6))
-        self.postings = []
-        for b in range(self.blocks):
-            pick = item // BLOCK == b
-            own, at = np.unique(tid[pick], return_inverse=True)
-            rows = np.zeros((len(own) + 1, BLOCK))
-            rows[at, item[pick] % BLOCK] = impact[pick]
-            self.postings.append((own, rows))
+        self.parts = [Postings(s, tid[keep], impact[keep], item[keep], len(self.vocabulary)) for s in np.unique(self.stride) if (keep := self.stride[item] == s).any()]
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
-def retrieve(index: Index, window: np.ndarray, tid: np.ndarray, share: float) -> list[tuple[int, int, float]]:
+class Postings:
+    """Postings of the items of one class: an entry for each term and block with its largest impact, in order of both."""
+
+    def __init__(self, stride: int, tid: np.ndarray, impact: np.ndarray, item: np.ndarray, width: int):
+        order = np.lexsort((item, tid))
+        self.stride, self.item, self.impact = int(stride), item[order], impact[order]
+        self.blocks = int(item.max()) // BLOCK + 1
+        key = tid[order] * self.blocks + self.item // BLOCK
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        self.key, self.at, self.end = key[at], at, np.append(at[1:], len(key))
+        # sums of bounds may come out a little low
+        self.top = np.maximum.reduceat(self.impact, at) * (1 + 1e-9)
+        self.most = np.zeros(width)
+        np.maximum.at(self.most, tid, impact)
+        self.first = np.searchsorted(self.key, np.arange(width) * self.blocks)
+        self.lists = np.searchsorted(self.key, (np.arange(width) + 1) * self.blocks) - self.first
+
+    def entries(self, tid: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The entry of each term and block, -1 where there is none."""
+        key = tid * self.blocks + block
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+
+def retrieve(index: Postings, window: np.ndarray, tid: np.ndarray, share: float) -> list[tuple[int, int, float]]:
     """(window, item, share of the item's own score) at or above ``share``, for distinct (window, term) pairs by window."""
+    least, out = share - 1e-9, []
     if not len(window):
-        return []
+        return out
     heads = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
     size = np.diff(np.append(heads, len(window)))
-    keep = np.add.reduceat(index.most[tid], heads) >= share - 1e-9
+    keep = np.add.reduceat(index.most[tid], heads) >= least
     inside = np.repeat(keep, size)
     window, tid, size = window[inside], tid[inside], size[keep]
-    out = []
-    for lo in range(0, len(size), 4096):  # windows a step
-        n = size[lo : lo + 4096]
-        a = int(size[:lo].sum())
-        t, w = tid[a : a + n.sum()], window[a : a + n.sum()]
-        at = np.cumsum(n) - n
-        for first in range(0, index.blocks, 32):
-            bound = np.add.reduceat(index.top[t, first : first + 32], at, axis=0)
-            for b in np.flatnonzero((bound >= share - 1e-4).any(0)):
-                good = bound[:, b] >= share - 1e-4
-                pick = np.repeat(good, n)
-                own, rows = index.postings[first + b]
-                place = np.minimum(np.searchsorted(own, t[pick]), len(own) - 1)
-                row = np.where(own[place] == t[pick], place, len(own))
-                begin = np.cumsum(n[good]) - n[good]
-                score = np.add.reduceat(rows[row], begin, axis=0)
-                for i, j in zip(*np.nonzero(score >= share - 1e-9), strict=True):
-                    out.append((int(w[at[good][i]]), int((first + b) * BLOCK + j), float(score[i, j])))
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):  # some windows a step, so that what their lists spread to stays bounded
+        a = int(ends[lo] - size[lo])
+        spread = np.cumsum(index.lists[tid[a:]])
+        hi = max(lo + 1, int(np.searchsorted(ends, a + np.searchsorted(spread, STEP, side="right"), side="right")))
+        b = int(ends[hi - 1])
+        out += _retrieved(index, window[a:b], tid[a:b], size[lo:hi], least)
+        lo = hi
     return out
 
 
+def _retrieved(index: Postings, window, tid, size, least) -> list[tuple[int, int, float]]:
+    n = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((index.most[tid], n))  # within a window by largest impact, the pivot's side last
+    window, tid = window[order], tid[order]
+    first = np.cumsum(size) - size
+    below = np.cumsum(index.most[tid])
+    below = below - np.repeat((below - index.most[tid])[first], size)
+    lead = below >= least  # all terms before the pivot together stay under the threshold
+    place, run = _spread(index.first[tid[lead]], index.lists[tid[lead]])
+    pair = np.unique(n[lead][run] * index.blocks + index.key[place] % index.blocks)
+    own, block = pair // index.blocks, pair % index.blocks
+    # every term of the window in every block that is left
+    term, which = _spread(first[own], size[own])
+    entry = index.entries(tid[term], block[which])
+    there = entry >= 0
+    entry, which = entry[there], which[there]
+    good = np.bincount(which, weights=index.top[entry], minlength=len(pair)) >= least
+    entry, which = entry[good[which]], which[good[which]]
+    place, run = _spread(index.at[entry], index.end[entry] - index.at[entry])
+    if not len(place):
+        return []
+    width = int(index.item.max()) + 1
+    key, at = np.unique(own[which[run]] * width + index.item[place], return_inverse=True)
+    score = np.bincount(at, weights=index.impact[place])
+    hit = score >= least
+    return [(int(w), int(i), float(s)) for w, i, s in zip(window[first[key[hit] // width]], key[hit] % width, score[hit], strict=True)]
+
+
 def found_in(index: Index, column: pa.Array, overlap: float, share: float) -> dict[tuple[int, int], list]:
     """(row, item) of each verified leak: largest score and overlaps, and how many passages."""
-    stride = index.stride
     w = Words(column, lower=True, space=APART)
     h = w.hashes()
     tid = index.look_up(h)
-    last = np.maximum(0, -(-w.counts // stride) - 2)  # of each row's passages
-    base = np.cumsum(last + 1) - (last + 1)
     row = w.rows()
     at = np.flatnonzero(tid >= 0)
-    k = np.minimum((at - w.first[row[at]]) // stride, last[row[at]])
-    early = (k > 0) & ((at - w.first[row[at]]) < (k + 1) * stride)
-    key = np.concatenate([base[row[at]] + k, (base[row[at]] + k - 1)[early]]) * len(index.vocabulary) + np.concatenate([tid[at], tid[at][early]])
-    key = np.unique(key)
     found: dict[tuple[int, int], list] = {}
-    seen: dict[int, np.ndarray] = {}
-    for win, item, ratio in retrieve(index, key // len(index.vocabulary), key % len(index.vocabulary), share):
-        r = int(np.searchsorted(base, win, side="right")) - 1
-        if win not in seen:
-            begin = w.first[r] + (win - base[r]) * stride
-            seen[win] = h[begin : min(w.first[r + 1], begin + 2 * stride)]
-        got = []
-        for sequences, n in ((index.question[item], index.sizes[item][0]), (index.answer[item], index.sizes[item][1])):
-            got.append(1.0 if not n else float(np.isin(sequences, grams(seen[win], min(SHINGLE, n))).mean()))
-        if min(got) >= overlap:
-            old = found.setdefault((r, item), [0.0, 0.0, 0.0, 0])
-            found[r, item] = [max(old[0], ratio * index.own[item]), max(old[1], got[0]), max(old[2], got[1]), old[3] + 1]
+    for part in index.parts:
+        stride = part.stride
+        last = np.maximum(0, -(-w.counts // stride) - 2)  # of each row's passages
+        base = np.cumsum(last + 1) - (last + 1)
+        k = np.minimum((at - w.first[row[at]]) // stride, last[row[at]])
+        early = (k > 0) & ((at - w.first[row[at]]) < (k + 1) * stride)
+        key = np.concatenate([base[row[at]] + k, (base[row[at]] + k - 1)[early]]) * len(index.vocabulary) + np.concatenate([tid[at], tid[at][early]])
+        key = np.unique(key)
+        seen: dict[int, np.ndarray] = {}
+        for win, item, ratio in retrieve(part, key // len(index.vocabulary), key % len(index.vocabulary), share):
+            r = int(np.searchsorted(base, win, side="right")) - 1
+            if win not in seen:
+                begin = w.first[r] + (win - base[r]) * stride
+                seen[win] = h[begin : min(w.first[r + 1], begin + 2 * stride)]
+            got = []
+            for sequences, n in ((index.question[item], index.sizes[item][0]), (index.answer[item], index.sizes[item][1])):
+                got.append(1.0 if not n else float(np.isin(sequences, grams(seen[win], min(SHINGLE, n))).mean()))
+            if min(got) >= overlap:
+                old = found.setdefault((r, item), [0.0, 0.0, 0.0, 0])
+                found[r, item] = [max(old[0], round(ratio * index.own[item], 9)), max(old[1], got[0]), max(old[2], got[1]), old[3] + 1]
     return found
 
 

@@ -21,14 +21,16 @@ def runs(w, k):
 def plain(rows, items):
     """Pairs whose question and answer overlap some passage, over all pairs."""
     items = [(i, *op1.parted(t)) for i, t in items if t and words(t)]
-    stride = max(32, int(1.5 * max((len(words(q + "\n" + a)) for _, q, a in items), default=0)))
     out = set()
     for d, t in rows:
         w = words(t)
-        last = max(0, -(-len(w) // stride) - 2)
-        for k in range(last + 1):
-            own = w[k * stride : (k + 2) * stride]
-            for i, q, a in items:
+        for i, q, a in items:
+            stride = 96
+            while stride < 1.5 * len(words(q + "\n" + a)):
+                stride *= 4
+            last = max(0, -(-len(w) // stride) - 2)
+            for k in range(last + 1):
+                own = w[k * stride : (k + 2) * stride]
                 ok = True
                 for x in (words(q), words(a)):
                     n = min(5, len(x))
@@ -48,11 +50,11 @@ def test_equals_brute_force_on_the_tables(spark, sf):
     assert all(r.question_overlap >= 0.8 and r.answer_overlap >= 0.8 and r.score > 0 for r in got)
 
 
-def test_awkward_rows(spark):
+def test_awkward_rows(spark, monkeypatch):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(300)]
     some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, some(rng.randrange(20, 50)) + ". " + some(rng.randrange(1, 9)) + ".") for i in range(60)] + [(70, "tiny"), (71, None), (72, ""), (73, "two parts. ok"), (73, "two parts. ok")]
+    items = [(i, some(rng.randrange(20, 50)) + ". " + some(rng.randrange(1, 9)) + ".") for i in range(60)] + [(70, "tiny"), (71, None), (72, ""), (73, "two parts. ok"), (73, "two parts. ok"), (80, some(400) + ". " + some(5) + "."), (81, some(120) + ". yes")]
     rows = []
     for i in range(120):
         text = some(rng.randrange(0, 400)).split()
@@ -64,20 +66,21 @@ def test_awkward_rows(spark):
             text[at:at] = leak
         rows.append((i, " ".join(text)))
     rows += [(500, None), (501, ""), (None, items[3][1]), (502, items[4][1]), (502, items[4][1]), (503, "x " * 100_000 + items[5][1])]
+    rows += [(504, some(90) + " " + next(t for i, t in items if i == 80)), (505, next(t for i, t in items if i == 81) + " " + some(300))]
     docs, bench = awkward(spark, rows), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     got = op1.leaks(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == plain(rows, items)
     assert len([r for r in got if r.doc_id == 502 and r.item_id == 4]) == 2
     assert op1.leaks(docs.limit(0), bench).collect() == [] and op1.leaks(docs, bench.limit(0)).collect() == []
-    old, op1.INDEX_BYTES = op1.INDEX_BYTES, 3000
-    try:
-        many = {(r.doc_id, r.item_id) for r in op1.leaks(docs, bench).collect()}
-    finally:
-        op1.INDEX_BYTES = old
-    assert {(d, i) for d, i in many if d not in (0, 3)} >= {(502, 4), (None, 3), (503, 5)}
+    assert len({i for _, i in plain(rows, items)} & {80, 81}) == 2
+    want = sorted(map(str, got))
+    for size in (700, 3000, 20_000):  # many parts, some, and one
+        monkeypatch.setattr(op1, "INDEX_BYTES", size)
+        assert sorted(map(str, op1.leaks(docs, bench).collect())) == want
+        assert op1.without_leaks(docs, bench).count() == len(rows) - len({str((r.doc_id)) for r in got}) - 1
 
 
-def test_block_bounds_lose_no_item():
+def test_block_bounds_lose_no_item(monkeypatch):
     rng = np.random.default_rng(0)
     text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 200, n))
     items = [(i, text(30), text(5)) for i in range(70)]
@@ -86,7 +89,8 @@ def test_block_bounds_lose_no_item():
     for w in terms:
         for t in np.unique(w).view(np.int64).tolist():
             df[t] = df.get(t, 0) + 1
-    index = op1.Index(items, df, 70, np.mean([len(w) for w in terms]))
+    mean = np.mean([len(w) for w in terms])
+    index = op1.Index(items, df, 70, mean)
     win, tid = [], []
     for k in range(50):
         w = np.unique(index.look_up(op1._terms([text(90) + " " + items[k][1]])[0]))
@@ -98,9 +102,15 @@ def test_block_bounds_lose_no_item():
     for k in range(50):
         mine = set(tid[win == k].tolist())
         for i in range(70):
-            own, rows = index.postings[i // op1.BLOCK]
-            score = sum(rows[j, i % op1.BLOCK] for j, t in enumerate(own.tolist()) if t in mine)
+            w = terms[i]
+            t, tf = np.unique(w, return_counts=True)
+            n = np.array([df[x] for x in t.view(np.int64).tolist()], float)
+            one = np.log(1 + (70 - n + 0.5) / (n + 0.5)) * tf * (op1.K1 + 1) / (tf + op1.K1 * (1 - op1.B + op1.B * len(w) / mean))
+            score = sum(x for j, x in zip(index.look_up(t).tolist(), one, strict=True) if j in mine) / one.sum()
             if score >= 0.5:
                 want.add((k, i))
-    got = op1.retrieve(index, win, tid, 0.5)
-    assert {(k, i) for k, i, _ in got} == want and len(want) >= 50
+    (part,) = index.parts
+    for step in (1 << 20, 50, 1):
+        monkeypatch.setattr(op1, "STEP", step)
+        got = op1.retrieve(part, win, tid, 0.5)
+        assert {(k, i) for k, i, _ in got} == want and len(want) >= 50 and len(got) == len(want)
