@@ -3,7 +3,8 @@
 1. A character language model: trigram counts over every text of the corpus, 28 classes (a to z, other letters,
    anything else), so at most 28^3 numbers reach the driver.
 2. Suspicious stretches (words with a look-alike digit or symbol anywhere, letters repeated three times or more, three or
-   more letters spaced out; of any length) become lattices: each sign may stand for itself, for its look-alikes, or be noise. Viterbi decoding under the
+   more letters spaced out by any number of signs, words parted or masked by a sign inside; of any length) become lattices:
+   each sign may stand for itself, for its look-alikes, be noise, or hide any letter. Viterbi decoding under the
    language model picks the reading, for spaced letters also one with word breaks, for words that end in punctuation
    also one without it; the restored words join the text's own.
 3. A logistic regression over words and word beginnings, learned from labelled rows of the training folds only, scores
@@ -48,11 +49,14 @@ APART = np.ones(256, bool)
 APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: Log costs of the channel: a look-alike, a repeated letter kept once, noise between letters; gain for each letter kept.
 SWAP, REPEAT, NOISE, KEPT = -0.7, -0.4, -0.5, 2.2
+#: Signs that may hide a letter inside a word, and the log cost of each letter that they may hide.
+MASKS, HIDDEN = "*#", -2.5
 #: What may stand between spaced letters, and the log cost of reading it as the end of a word.
 GAPS, BREAK = " ._*-", -1.0
 SUSPECT = re.compile(
-    r"(?P<spaced>(?<![\w!|+(])[!|+(]*(?:[a-z0-9@$!|+(][ ._*-]){2,}[a-z0-9@$!|+(](?!\w))"
-    r"|(?<![\w@$!|+(])[^\W0-9]*+[0-9@$!|+(][\w@$!|+(]*+"
+    r"(?P<spaced>(?<![\w!|+(])[!|+(]*(?:[a-z0-9@$!|+(][ ._*-]++){2,}[a-z0-9@$!|+(](?!\w))"
+    r"|(?<![\w@$!|+(])[^\W0-9]*+[0-9@$!|+(][\w@$!|+(]*+(?:[-*#]++[\w@$!|+(]++)*+"
+    r"|(?<!\w)[^\W0-9_]++(?:[-*#]++[\w@$!|+(]++)++"
     r"|\b\w*([a-z])\2\2\w*"
 )
 #: Look-alikes that are punctuation at the end of a word as often, and what a stretch must hold.
@@ -63,7 +67,7 @@ KNOWN = 64
 SIGN = np.zeros(256, np.uint8)
 SIGN[[*range(65, 91), *range(97, 123)]] = 1
 SIGN[[ord(c) for c in LEET]] = 2
-SIGN[[ord(c) for c in " ._*-"]] = 4
+SIGN[[ord(c) for c in " ._*-#"]] = 4
 
 
 def suspicious(column: pa.Array) -> np.ndarray:
@@ -73,12 +77,18 @@ def suspicious(column: pa.Array) -> np.ndarray:
         return np.zeros(len(column), bool)
     kind, low = SIGN[raw], LOWER[raw]
     found = np.zeros(len(raw), bool)
-    letter, sign, gap = kind == 1, kind & 3 > 0, kind == 4
+    letter = kind == 1
     beside = letter | (raw == 95) | (raw >= 128)
     found[:-1] = ((kind[:-1] == 2) & beside[1:]) | (beside[:-1] & (kind[1:] == 2))
     found[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    if len(raw) > 4:
-        found[:-4] |= sign[:-4] & gap[1:-3] & sign[2:-2] & gap[3:-1] & sign[4:]
+    # runs of gaps count as one
+    once = np.flatnonzero(np.append(True, (kind[1:] != 4) | (kind[:-1] != 4)))
+    kind, raw, beside = kind[once], raw[once], beside[once]
+    sign, gap = kind & 3 > 0, kind == 4
+    inner = gap & (raw != 32) & (raw != 46) & (raw != 95)
+    found[once[:-2]] |= beside[:-2] & inner[1:-1] & (beside[2:] | sign[2:])
+    if len(once) > 4:
+        found[once[:-4]] |= sign[:-4] & gap[1:-3] & sign[2:-2] & gap[3:-1] & sign[4:]
     seen = np.append(0, np.cumsum(found))
     return seen[at[1:]] > seen[at[:-1]]
 
@@ -128,6 +138,8 @@ def _readings(text: str, i: int) -> list[tuple[str, float]]:
         return out
     if c in LEET:
         return [(x, SWAP) for x in LEET[c]] + [("", NOISE - 6.0)]
+    if c in MASKS:
+        return [(chr(x), HIDDEN) for x in range(97, 123)] + [("", NOISE)]
     return [("", NOISE)] if not c.isalpha() else [(c, 0.0)]
 
 
@@ -294,10 +306,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = told.filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD).groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the sample has at most ``sample`` rows of two numbers
-    some = materialize(docs.join(F.broadcast(told), "doc_id").select("text", "toxic"), "op4-sample")
+    some = docs.join(F.broadcast(told), "doc_id")
+    # an id that several rows have is one example, the least of its texts
+    some = materialize(some.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "op4-sample")
     n, yes = some.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") >= 0.5, 1).otherwise(0))).first()
     yes = yes or 0
-    nothing = Model(lm, np.empty(0, np.uint64), float(np.clip(np.log((yes + 1e-9) / (n - yes + 1e-9)), -30, 30)), np.empty(0))
+    share_only = float(np.clip(np.log((yes + 1e-9) / (n - yes + 1e-9)), -30, 30)) if n else -30.0
+    nothing = Model(lm, np.empty(0, np.uint64), share_only, np.empty(0))
     if not n or not yes or yes == n:
         return nothing
     counts = some.mapInArrow(_class_counts(lm), "f long, yes long, n long").groupBy("f").agg(F.sum("yes").alias("yes"), F.sum("n").alias("n"))
