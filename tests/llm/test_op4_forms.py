@@ -4,7 +4,7 @@ from test_op4 import lm  # noqa: F401
 
 from graphloom.llm import op4
 
-FORMS = [("idio7", "idiot"), ("a$$", "as"), ("h473", "hate"), ("w0rthl355", "worthless"), ("idio7!", "idiot"), ("s c u m.", "scum"), ("(m o r o n)", "moron"), ("i-d-i-o-t!", "idiot"), ("i d i o t,", "idiot"), ("d i e", "die"), ("1 d 1 0 t", "idiot"), ("y o u a r e a n i d i o t", "idiot"), ("idi-ot", "idiot"), ("st*pid", "stupid"), ("m#ron", "moron"), ("i  d  i  o  t", "idiot"), ("i - d - i - o - t", "idiot"), ("1d-10t", "idiot"), ("supercalifragilisticexpia1idocious", "supercalifragilisticexpialidocious"), ("x" + "!" * 100_000 + " 1d10t", "idiot")]
+FORMS = [("idio7", "idiot"), ("a$$", "as"), ("h473", "hate"), ("w0rthl355", "worthless"), ("idio7!", "idiot"), ("s c u m.", "scum"), ("(m o r o n)", "moron"), ("i-d-i-o-t!", "idiot"), ("i d i o t,", "idiot"), ("d i e", "die"), ("1 d 1 0 t", "idiot"), ("y o u a r e a n i d i o t", "idiot"), ("idi-ot", "idiot"), ("st*pid", "stupid"), ("m#ron", "moron"), ("i  d  i  o  t", "idiot"), ("i - d - i - o - t", "idiot"), ("1d-10t", "idiot"), ("antidisestablishm3ntarianism", "antidisestablishmentarianism"), ("x" + "!" * 100_000 + " 1d10t", "idiot")]
 
 
 @pytest.mark.parametrize("noisy, word", FORMS)
@@ -55,6 +55,6 @@ def test_viterbi_equals_enumeration(lm, breaks):  # noqa: F811
 
 def test_an_id_with_many_rows_is_one_example(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
-    rows = [(i, f"word{i % 2} text") for i in range(40)]
+    rows = [(i, ("nasty", "kind")[i % 2] + " text") for i in range(40)]
     once, often = (op4.train(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows + [rows[1]] * 500))
-    assert abs(once.bias - often.bias) < 1e-9 and (once.weights == often.weights).all()
+    assert len(once.weights) and abs(once.bias - often.bias) < 1e-6 and abs(once.weights - often.weights).max() < 1e-6
