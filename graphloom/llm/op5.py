@@ -4,7 +4,7 @@ Texts become canonical (lower case; lines that claim copyright out; equivalent w
 one space) and their SHA-256 joins known digests of whole licence texts and notices. The known side is the list below, the
 texts in the folder ``licenses``, each also without its title and without what follows its terms, and the caller's own
 texts or digests; it is broadcast only if the optimiser finds it small. Entire texts are digested, never parts picked by
-size. Notices within a document are found by the digest of each of its lines. Built-in functions only.
+size. Notices within a document are found by the digest of each of its lines, whatever it says. Built-in functions only.
 
 Defined results: null text is empty text, which is no licence; every input row gives one row; extra columns are ignored; an
 empty table gives an empty result.
@@ -46,12 +46,22 @@ CLAIM = r"(^|\n)[ \t*#/;-]*copyright[ \t:]*(\(c\)|©|[0-9]{4})[^\n]*"
 JUNK = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
-def canonical(text: str) -> str:
-    """SQL of the canonical form of the SQL expression ``text``."""
+def spelled(text: str) -> str:
+    """SQL of the SQL expression ``text`` in lower case, without claims, equivalent words alike; lines stay lines."""
     x = f"regexp_replace(lower({text}), {quoted(CLAIM)}, '\\n')"
     for a, b in SPELLINGS:
         x = f"replace({x}, '{a}', '{b}')"
-    return f"trim(regexp_replace({x}, {quoted(JUNK)}, ' '))"
+    return x
+
+
+def bare(text: str) -> str:
+    """SQL of a spelled text with one space for punctuation and white space."""
+    return f"trim(regexp_replace({text}, {quoted(JUNK)}, ' '))"
+
+
+def canonical(text: str) -> str:
+    """SQL of the canonical form of the SQL expression ``text``."""
+    return bare(spelled(text))
 
 
 @lru_cache(1)
@@ -78,6 +88,12 @@ def known(spark) -> DataFrame:
     return digests(spark.createDataFrame(KNOWN, "license_id string, body string"))
 
 
+def listed_sizes(spark) -> tuple[int, int]:
+    """The least and the largest length of the canonical forms of ``KNOWN``."""
+    size = F.length(F.expr(canonical("body")))
+    return tuple(spark.createDataFrame(KNOWN, "license_id string, body string").agg(F.min(size), F.max(size)).first())
+
+
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the entire text), n_notices, notices (of its lines): one row per input row.
 
@@ -90,10 +106,13 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     table = "map(" + ", ".join(f"'{d}', {quoted(n)}" for d, n in sorted(rows.items())) + ")"
     text = f"coalesce(CAST({text_col} AS STRING), '')"
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(text).alias("text"))
-    # every known notice says "licen", so lines without it need no digest
-    lines = f"filter(split(text, '\\n'), x -> contains(lower(x), 'licen'))"
-    notices = f"array_sort(filter(transform({lines}, x -> element_at({table}, sha2({canonical('x')}, 256))), x -> x IS NOT NULL))"
-    found = found.select("doc_id", F.expr(f"sha2({canonical('text')}, 256)").alias("digest"), F.expr(notices).alias("own"))
+    # claims and spellings never reach over lines, so one pass serves the whole text and its lines; a line longer or
+    # shorter than all known notices is none of them
+    sizes = listed_sizes(spark)
+    found = found.select("doc_id", F.expr(spelled("text")).alias("text"))
+    lines = f"filter(transform(split(text, '\\n'), x -> {bare('x')}), x -> length(x) BETWEEN {sizes[0]} AND {sizes[1]})"
+    notices = f"array_sort(filter(transform({lines}, x -> element_at({table}, sha2(x, 256))), x -> x IS NOT NULL))"
+    found = found.select("doc_id", F.expr(f"sha2({bare('text')}, 256)").alias("digest"), F.expr(notices).alias("own"))
     whole = listed.withColumn("k", F.lit(0)).unionByName(digests(spark.createDataFrame(bundled(), "license_id string, body string")).withColumn("k", F.lit(1)))
     if more is not None:
         own = more.select("license_id", "digest") if "digest" in more.columns else digests(more)

@@ -23,3 +23,10 @@ def test_equal_up_to_spelling(spark):
     assert all(by[i][0].license_id == "MIT" for i in (1, 2, 3, 4, None)) and all(by[i][0].license_id is None for i in (5, 6, 7))
     assert by[8][0].notices == "CC-BY-NC-4.0 notice,MIT notice" and sorted(r.n_notices for r in by[9]) == [0, 1]
     assert op5.licenses(awkward(spark, rows).limit(0)).collect() == []
+
+
+def test_a_notice_needs_no_certain_word(spark, monkeypatch):
+    monkeypatch.setattr(op5, "KNOWN", (*op5.KNOWN, ("WTFPL notice", "Do what you want to.")))
+    rows = [(1, "a\nDO WHAT you want, to!\nb"), (2, "Do what you want"), (3, "line\rnot split"), (4, "Copyright (c) 2020 X\nReleased under the MIT License.\ncopyright 2021 Y")]
+    got = {r.doc_id: r.notices for r in op5.licenses(awkward(spark, rows)).collect()}
+    assert got == {1: "WTFPL notice", 2: "", 3: "", 4: "MIT notice"}
