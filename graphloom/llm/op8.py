@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import materialize
 from .native import listed, quoted, spans
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,15 +36,19 @@ def _kind(k: int, column: str, value: str, keep: str) -> str:
     return f"transform(filter({column}, x -> {keep}), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e, 'v', md5({value})))"
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, owner: str, repository: str) -> DataFrame:
-    """One row per document: id, key of its text, owner, repository, base spans and other candidates."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner: str, repository: str, whole: bool = False) -> DataFrame:
+    """One row per document: id, key of its text, owner, repository, base spans and other candidates; and ``row``, all
+    columns of the document, if it is wanted whole."""
     group = f"regexp_extract(x.v, {quoted(ASSIGN)}, 1)"
+    kept = ["row"] if whole else []
     found = docs.select(
+        *([F.struct("*").alias("row")] if whole else []),
         F.col(id_col).cast("long").alias("doc_id"),
         F.expr(f"coalesce(CAST({text_col} AS STRING), '')").alias("text"),
         F.expr(f"coalesce(CAST({owner} AS STRING), '')").alias("owner"),
         F.expr(f"coalesce(CAST({repository} AS STRING), '')").alias("repository"),
     ).select(
+        *kept,
         "doc_id",
         "owner",
         "repository",
@@ -56,7 +60,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: str, reposito
     )
     base = f"concat({_kind(0, 'a', group, f'length({group}) >= 6')}, {_kind(1, 'b', 'x.v', 'true')}, {_kind(2, 'c', 'x.v', 'true')})"
     mixed = "x.v RLIKE '[0-9]' AND x.v RLIKE '[A-Za-z]' AND NOT exists(base, y -> y.s < x.e AND x.s < y.e)"
-    return found.withColumn("base", F.expr(base)).select("doc_id", "owner", "repository", "key", "base", F.expr(_kind(3, "d", "x.v", mixed)).alias("more"))
+    return found.withColumn("base", F.expr(base)).select(*kept, "doc_id", "owner", "repository", "key", "base", F.expr(_kind(3, "d", "x.v", mixed)).alias("more"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -101,22 +105,31 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         F.expr("CAST(size(filter(told, x -> NOT x.few AND x.k < 3)) AS LONG)").alias("n_shared"),
         F.expr(listed("filter(told, x -> x.few)", KINDS)).alias("live"),
         F.expr("transform(array_sort(told), x -> named_struct('s', x.s, 'k', x.k, 'e', x.e, 'owners', x.owners, 'repositories', x.repositories))").alias("held"),
-        F.expr("transform(filter(told, x -> x.few), x -> named_struct('s', x.s, 'e', x.e))").alias("live_spans"),
-        F.col("key").alias("text_key"),
     )
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, and stars in place of owner-specific secrets. Widely copied ones stay."""
-    who, key, spans_ = (fresh(docs.columns, f"_{n}") for n in ("id", "key", "live"))
-    live = scan(docs, id_col, text_col, **options).filter("size(live_spans) > 0").select(F.col("doc_id").alias(who), F.col("text_key").alias(key), F.col("live_spans").alias(spans_)).dropDuplicates([who, key])
-    # rows with secrets grow with the corpus: never broadcast
-    same = F.col(who).eqNullSafe(F.col(id_col).cast("long")) & (F.col(key) == F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    starred = F.expr(f"CASE WHEN {spans_} IS NULL THEN {text_col} ELSE aggregate({spans_}, {text_col}, (t, x) -> overlay(t PLACING repeat('*', x.e - x.s) FROM x.s + 1 FOR x.e - x.s)) END")
-    return docs.join(live.hint("merge"), same, "left").select(*[starred.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "concat_ws('/', source, lang)", few_owners: int = FEW_OWNERS, few_repositories: int = FEW_REPOSITORIES) -> DataFrame:
+    """The documents, with all their columns, and stars in place of owner-specific secrets. Widely copied ones stay.
+
+    Documents are written once with their candidates. Those without any pass as they are; only the others meet verdicts. Rows
+    without an id, and rows that share one, are starred by their texts; null text stays null.
+    """
+    found = materialize(candidates(docs, id_col, text_col, owner, repository, whole=True), "op8-documents")
+    few = materialize(verdicts(ownership(found), few_owners, few_repositories).filter("few").select("v"), "op8-live")
+    some = "size(base) + size(more) > 0"
+    each = found.filter(some).select("doc_id", "key", F.explode(F.concat("base", "more")).alias("x")).select("doc_id", "key", "x.s", "x.e", "x.v")
+    # values that grow with the corpus: never broadcast
+    live = each.join(few.hint("merge"), "v").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("live"))
+    live = live.select(F.col("doc_id").alias("d"), F.col("key").alias("q"), "live")
+    rows = found.filter(some).join(live.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")), "left")
+    at = docs.columns.index(text_col)
+    text = F.expr(f"CASE WHEN live IS NULL THEN row.`{text_col}` ELSE aggregate(live, row.`{text_col}`, (t, x) -> overlay(t PLACING repeat('*', x.e - x.s) FROM x.s + 1 FOR x.e - x.s)) END")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    starred = [*own[:at], text.alias(text_col), *own[at + 1 :]]
+    return found.filter(f"NOT ({some})").select(own).unionByName(rows.select(starred))
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return scan(table(spark, sf_dir, "documents")).drop("text_key", "live_spans", "held")
+    return scan(table(spark, sf_dir, "documents")).drop("held")
