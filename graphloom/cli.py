@@ -8,44 +8,34 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import build as graph
 from .api import Engine
-from .operators import resolve, stats, traverse
-from .operators.store import last_wins
+from .operators import search
 from .plans import fixture
-from .server import rows, serve
-from .sources import extract
-
-EXCLUDE = ["Pods/", ".build/", "DerivedData/"]
+from .server import http_server, rows, serve
+from .sources import extract, workspace
 
 
 def build(spark: SparkSession, path: str, out: str, branch: str = "master", mapping: dict[str, str] | None = None) -> dict[str, int]:
-    """Scan, extract, resolve, group and trace; each table is written under ``out``. Counts of what was written."""
-    files = extract.scan(spark, path, EXCLUDE)
-    swift = extract.swift(files.filter(F.col("path").endswith(".swift")))
-    objc = extract.objc(files.filter(~F.col("path").endswith(".swift")))
-    pairs = spark.createDataFrame(list((mapping or {}).items()), "prefix string, domain string")
-    parts = [extract.graph_rows(swift, extract.swift_calls(swift), pairs, branch), extract.graph_rows(objc.drop("messages"), extract.objc_calls(objc), pairs, branch)]
-    got = {k: parts[0][k].unionByName(parts[1][k]) for k in parts[0]}
-    for k in ("files", "classes", "functions", "edges_raw", "edges"):
-        got[k].write.mode("overwrite").parquet(f"{out}/{k}")
-    functions, edges = spark.read.parquet(f"{out}/functions"), spark.read.parquet(f"{out}/edges").filter("rel = 'CALLS'")
-    found = resolve.resolve(edges, functions, branch)
-    told = edges.join(found.select("src", "calleeRaw", "newDst", F.col("confidence").alias("c")), ["src", "calleeRaw"], "left")
-    calls = told.select("src", F.coalesce("newDst", "dst").alias("dst"), F.coalesce("c", "confidence").alias("confidence"), "callSite", "calleeRaw", F.col("newDst").isNotNull().alias("resolved"))
-    last_wins(calls, ["src", "dst"], [F.col("callSite"), F.col("calleeRaw")]).write.mode("overwrite").parquet(f"{out}/calls")
-    calls = spark.read.parquet(f"{out}/calls")
-    stats.domain_communities(functions, branch).write.mode("overwrite").parquet(f"{out}/communities")
-    entries = traverse.entry_points(functions, ["viewDidLoad", "viewDidAppear", "viewWillAppear", "application:didFinishLaunchingWithOptions", "applicationDidBecomeActive", "scene:willConnectTo", "didReceiveRemoteNotification", "handleDeepLink"], branch)
-    trace = traverse.process_trace(calls, functions, entries, branch=branch)
-    trace.select(F.col("node").alias("id"), F.concat(F.lit("process:"), "start").alias("process")).write.mode("overwrite").parquet(f"{out}/members")
-    return {k: spark.read.parquet(f"{out}/{k}").count() for k in ("files", "classes", "functions", "calls", "communities", "members")}
+    """Scan, extract, resolve, group, trace and index; each table is written under ``out``. Counts of what was written."""
+    return graph.build(extract.scan(spark, path, graph.EXCLUDE), out, branch, mapping)
+
+
+def update(spark: SparkSession, files: list[str], out: str, branch: str = "master", mapping: dict[str, str] | None = None) -> dict[str, int]:
+    """The graph under ``out`` with these files as they are now; those that are no longer there go."""
+    import os
+
+    there = [f for f in files if os.path.exists(f)]
+    found = extract.scan(spark, there, graph.EXCLUDE) if there else spark.createDataFrame([], "path string, source string, error string")
+    return graph.update(found, out, branch, mapping, removed=[f for f in files if f not in there])
 
 
 def load(spark: SparkSession, args) -> Engine:
     if args.tables:
         return Engine(fixture.functions(spark, args.tables), fixture.calls(spark, args.tables), fixture.members(spark, args.tables))
-    read = lambda k: spark.read.parquet(f"{args.graph}/{k}")
-    return Engine(read("functions"), read("calls"), read("members"), branch=args.branch)
+    at = graph.current(spark, args.graph)
+    read = lambda k: spark.read.parquet(f"{at}/{k}")
+    return Engine(read("functions"), read("calls"), read("members"), read("belongs"), branch=args.branch, classes=read("classes"), index=search.Index(spark, f"{at}/index"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -55,20 +45,39 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     b.add_argument("--path", required=True)
     b.add_argument("--out", required=True)
     b.add_argument("--branch", default="master")
-    for name in ("call-chain", "impact", "context", "search", "process", "detect-changes", "sql", "stats", "serve"):
+    b.add_argument("--mapping", help="YAML file of path prefixes and their domains")
+    u = sub.add_parser("update", help="take changed files into a graph")
+    u.add_argument("files", nargs="+")
+    u.add_argument("--graph", default="graph")
+    u.add_argument("--branch", default="master")
+    u.add_argument("--mapping")
+    m = sub.add_parser("mapping", help="propose a mapping of folders to domains")
+    m.add_argument("--path", required=True)
+    m.add_argument("--out", required=True)
+    for name in ("call-chain", "impact", "context", "search", "process", "detect-changes", "sql", "stats", "serve", "http"):
         q = sub.add_parser(name)
-        if name not in ("stats", "serve"):
+        if name not in ("stats", "serve", "http"):
             q.add_argument("what")
+        if name == "http":
+            q.add_argument("--port", type=int, default=8080)
         q.add_argument("--depth", type=int, default=5)
         q.add_argument("--graph", default="graph")
         q.add_argument("--tables", help="folder of star tables to read as a graph")
         q.add_argument("--branch", default="master")
     args = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("graphloom").getOrCreate()
-    if args.command == "build":
-        print(json.dumps(build(spark, args.path, args.out, args.branch)))
+    if args.command == "mapping":
+        workspace.write_mapping(workspace.generate_mapping(workspace.listing(spark, args.path), args.path), args.out)
+        return 0
+    mapping = workspace.load_mapping(args.mapping) if getattr(args, "mapping", None) else None
+    if args.command in ("build", "update"):
+        got = build(spark, args.path, args.out, args.branch, mapping) if args.command == "build" else update(spark, args.files, args.graph, args.branch, mapping)
+        print(json.dumps(got))
         return 0
     engine = load(spark, args)
+    if args.command == "http":
+        http_server(engine, args.port, rebuild=None if args.tables else lambda path, branch: update(spark, [path], args.graph, branch), reload=None if args.tables else lambda: load(spark, args)).serve_forever()
+        return 0
     if args.command == "serve":
         serve(engine)
         return 0

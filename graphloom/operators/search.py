@@ -122,12 +122,12 @@ class Index:
     def build(docs: DataFrame, id_col: str, text_col: str, folder: str) -> Index:
         return Index._write(postings(docs, id_col, text_col), folder, 1)
 
-    def update(self, changed: DataFrame, id_col: str, text_col: str, removed: DataFrame | None = None) -> Index:
-        """The index with documents that come anew (by id) and without ``removed`` (id)."""
+    def update(self, changed: DataFrame, id_col: str, text_col: str, removed: DataFrame | None = None, folder: str | None = None) -> Index:
+        """The index with documents that come anew (by id) and without ``removed`` (id), as a new version or in another folder."""
         gone = changed.select(F.col(id_col).alias("id"))
         gone = gone.unionByName(removed.select("id")) if removed is not None else gone
         kept = self.entries.join(gone.distinct(), "id", "left_anti")
-        return Index._write(kept.unionByName(postings(changed, id_col, text_col).select(kept.columns)), self.folder, self.version + 1)
+        return Index._write(kept.unionByName(postings(changed, id_col, text_col).select(kept.columns)), folder or self.folder, self.version + 1)
 
     def search(self, query: str, k: int = 10) -> DataFrame:
         words = asked(self.spark, query)

@@ -77,5 +77,76 @@ def label_propagation(calls: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
+def undirected(calls: DataFrame) -> DataFrame:
+    """src, dst, w: each pair of nodes in both directions with the confidence of its calls; a call to oneself once."""
+    e = calls.select("src", "dst", F.coalesce(F.col("confidence"), F.lit(0)).cast("double").alias("w")).filter("w > 0")
+    return e.unionByName(e.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def _quality(edges: DataFrame, labels: DataFrame, total: float) -> float:
+    """Modularity of labels (id, c) of symmetric edges (src, dst, w); a loop has its weight once in each end's degree."""
+    own = edges.join(labels.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst")
+    by = own.groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("i"), F.sum("w").alias("d"))
+    return float(by.agg(F.sum(F.col("i") / total - (F.col("d") / total) ** 2)).first()[0] or 0.0)
+
+
+def louvain(calls: DataFrame, rounds: int = 10, levels: int = 5, least: float = 1e-4) -> DataFrame:
+    """id, communityId by Louvain's method on the undirected graph weighted by confidence; a community is named by its least id.
+
+    In a round all nodes weigh their neighbours' communities by the gain in modularity from counts by (node, community), so a
+    hub is a row per community around it. Those whose hash is on turn move to the best, the least on ties: neighbours that
+    swap places every time don't. A round counts only if modularity rises by ``least``; then communities become the
+    nodes of the next level. Rounds and levels are bounded; modularity never falls.
+    """
+    from ..sources.tables import discard, materialize
+
+    edges = materialize(undirected(calls), "louvain-edges")
+    total = edges.agg(F.sum("w")).first()[0]
+    nodes = edges.select(F.col("src").alias("id")).distinct()
+    told = materialize(nodes.select("id", F.col("id").alias("c")), "louvain")
+    if not total:
+        return told.select("id", F.col("c").alias("communityId"))
+    for level in range(levels):
+        degree = materialize(edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "louvain-degrees")
+        labels = materialize(degree.select("id", F.col("id").alias("c")), "louvain-labels")
+        quality, moved, idle = _quality(edges, labels, total), False, 0
+        for r in range(rounds):
+            sums = labels.join(degree, "id").groupBy("c").agg(F.sum("k").alias("s"))
+            around = edges.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
+            own = labels.select("id", F.col("c").alias("own")).join(degree, "id")
+            stay = labels.select("id", "c", F.lit(0.0).alias("w"))
+            weighed = around.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(own, "id")
+            gain = F.col("w") - F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+            best = weighed.groupBy("id").agg(F.min(F.struct(F.round(-gain, 9).alias("g"), (F.col("c") != F.col("own")).cast("int").alias("o"), "c")).alias("b"), F.first("own").alias("own"))
+            turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+            new = materialize(best.select("id", F.when(turn, F.col("b.c")).otherwise(F.col("own")).alias("c")), "louvain-labels")
+            now = _quality(edges, new, total)
+            if now < quality + least:
+                discard(new)
+                idle += 1
+                if idle == 2:
+                    break
+                continue
+            discard(labels)
+            labels, quality, moved, idle = new, now, True, 0
+        if not moved:
+            break
+        told = materialize(told.join(labels.select(F.col("id").alias("c"), F.col("c").alias("_c")), "c").select("id", F.col("_c").alias("c")), "louvain")
+        edges = edges.join(labels.select(F.col("id").alias("src"), F.col("c").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("c").alias("b")), "dst")
+        edges = materialize(edges.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "louvain-edges")
+    names = told.groupBy("c").agg(F.min("id").alias("communityId"))
+    return told.join(names, "c").select("id", "communityId")
+
+
+def communities(functions: DataFrame, members: DataFrame, branch: str, source: str = "louvain") -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, communityId, domain, memberCount, branch, source) of communities (id, communityId) of a branch's functions,
+    with the domain most of them have, and their links (id, communityId) to those nodes."""
+    own = functions.filter(F.col("branch") == branch).select("id", F.coalesce("domain", F.lit("unknown")).alias("domain")).join(members, "id")
+    count = own.groupBy("communityId").agg(F.count(F.lit(1)).alias("memberCount"))
+    name = F.concat(F.lit(f"community:{branch}:"), F.col("communityId"))
+    nodes = count.join(top_domains(own).select("communityId", "domain"), "communityId")
+    return nodes.select(name.alias("id"), "communityId", "domain", "memberCount", F.lit(branch).alias("branch"), F.lit(source).alias("source")), own.select("id", name.alias("communityId"))
+
+
 def top_per_group(rows: DataFrame, group: str, order: list, n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")

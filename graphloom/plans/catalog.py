@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..api import Engine
 from ..functions import text as T
 from ..model import STUB
 from ..operators import changes as C
@@ -16,10 +18,11 @@ from ..operators import stats as A
 from ..operators import store as W
 from ..operators import traverse as G
 from ..sources import extract as X
-from ..sources.tables import read
+from ..sources import workspace as P
+from ..sources.tables import materialize, read, shared_dir
 from ..streaming import watch as S
 from . import fixture as D
-from .oracles import BM, ED, FN, FUSED, HUB, MEM, THIN, UN, VEC, reach, terms, trails
+from .oracles import BM, ED, FN, FUSED, HUB, MEM, SRC, THIN, UN, VEC, reach, terms, trails
 from .oracles import G as GR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,10 +53,20 @@ def scan_exclude_filter(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.col("url").alias("path")).filter(~T.excluded(F.col("path"), EXCLUDE))
 
 
-@query("SELECT event_id, (props->>'k')::INT AS k, NOT json_valid(props) AS failed FROM events")
+def _parsed(spark, sf) -> DataFrame:
+    return X.swift(D.sources(spark, sf))
+
+
+@query("WITH " + SRC + """ SELECT path AS "filePath", count(*) AS functions, max(b)::BIGINT AS lines, 1::BIGINT AS imports, 0::BIGINT AS errors FROM fs WHERE g::INT % 5 <> 0 GROUP BY path
+    UNION ALL SELECT NULL, 0, 0, 0, count(DISTINCT path) FROM fs WHERE g::INT % 5 = 0 HAVING count(*) > 0""")
 def parse_json_records(spark, sf):
-    got = read(spark, sf, "events").select("event_id", F.from_json("props", "k INT").alias("r"))
-    return got.select("event_id", "r.k", F.col("r.k").isNull().alias("failed"))
+    """Parser output as JSON, one line a file; the lines of every fifth brand are cut off."""
+    d = _parsed(spark, sf).select("path", F.to_json(F.struct(F.col("path").alias("filePath"), "classes", "functions", "imports", F.expr("array()").alias("calls"), F.expr("array()").alias("errors"))).alias("j"))
+    cut = F.regexp_extract("path", "([0-9]+)[.]swift$", 1).cast("int") % 5 == 0
+    got = X.parsed_json(d.select(F.when(cut, F.left("j", F.lit(40))).otherwise(F.col("j")).alias("value")))
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    some = got.select("filePath", n("functions").alias("functions"), F.array_max(F.transform("functions", lambda x: x["lineEnd"])).cast("long").alias("lines"), n("imports").alias("imports"), n("errors").alias("errors"))
+    return some.groupBy("filePath").agg(*[F.sum(F.greatest(c, F.lit(0))).alias(c) for c in ("functions", "lines", "imports", "errors")])
 
 
 @query(
@@ -61,44 +74,38 @@ def parse_json_records(spark, sf):
     FROM (SELECT l_partkey AS usr, l_quantity::BIGINT AS r, l_suppkey * 10 + l_linenumber AS place FROM lineitem) WHERE r & 34 <> 0 GROUP BY usr"""
 )
 def indexstore_roles_filter(spark, sf):
-    o = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("usr"), F.col("l_quantity").cast("long").alias("r"), F.expr("l_suppkey * 10 + l_linenumber").alias("at"))
-    kept = o.filter(F.col("r").bitwiseAND(34) != 0).groupBy("usr", "at").agg(F.bit_or("r").alias("r"))
-    is_def, is_call = F.col("r").bitwiseAND(2) != 0, F.col("r").bitwiseAND(32) != 0
-    return kept.groupBy("usr").agg(F.min(F.when(is_def, F.col("at"))).alias("first_definition"), F.count(F.when(is_call, 1)).alias("call_sites"))
+    o = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("usr"), F.lit("n").alias("name"), F.lit("f").alias("filePath"), F.expr("l_suppkey * 10 + l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("roles"))
+    definitions, sites = X.index_store(o)
+    called = sites.groupBy("usr").agg(F.count(F.lit(1)).alias("call_sites"))
+    return definitions.join(called, "usr", "full").select("usr", F.col("line").alias("first_definition"), F.coalesce("call_sites", F.lit(0)).alias("call_sites"))
 
 
-@query("SELECT page_id, (unnest(range(len(m))) + 1)::BIGINT AS n, unnest(m) AS module FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS m FROM pages)")
+@query("WITH " + SRC + " SELECT DISTINCT path, 'Kit' || g AS module, 1 AS line FROM fs")
 def extract_imports(spark, sf):
-    found = read(spark, sf, "pages").select("page_id", F.posexplode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("n", "module"))
-    return found.select("page_id", (F.col("n") + 1).cast("long").alias("n"), "module")
+    return _parsed(spark, sf).select("path", F.explode("imports").alias("x")).select("path", "x.module", F.col("x.lineNo").alias("line"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS name, length(html) - length(replace(html, chr(10), '')) + 1 AS lines FROM pages WHERE regexp_matches(html, '<h1>[^<]*</h1>')")
+@query("""WITH f AS (SELECT DISTINCT replace(p_brand, 'Brand#', '') AS g FROM part) SELECT 'app/Modules/M' || g || '/Brand' || g || '.swift' AS path, 'Brand' || g AS name, 'class' AS kind, 2 AS "lineStart", 52 AS "lineEnd", true AS "isPublic", 'Base' AS inherits, 'Loading' AS implements FROM f""")
 def extract_classes(spark, sf):
-    p = read(spark, sf, "pages").filter(F.col("html").rlike("<h1>[^<]*</h1>"))
-    return p.select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("name"), (F.length("html") - F.length(F.replace("html", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("lines"))
+    k = _parsed(spark, sf).select("path", F.explode("classes").alias("x"))
+    return k.select("path", "x.name", "x.kind", "x.lineStart", "x.lineEnd", "x.isPublic", F.array_join("x.inherits", ",").alias("inherits"), F.array_join("x.implements", ",").alias("implements"))
 
 
-CALLS_SQL = "(SELECT page_id, regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)[ ]*[(]', 1) AS m FROM pages)"
+@query("WITH " + SRC + """ SELECT path, q AS "qualifiedName", a::INT AS "lineStart", b::INT AS "lineEnd", isPublic AS "isPublic", size % 2 = 0 AS "isStatic",
+    CASE WHEN isPublic THEN 'public ' ELSE '' END || CASE WHEN size % 2 = 0 THEN 'static ' ELSE '' END || 'func f' || pk || '(' AS signature FROM fs""")
+def extract_functions(spark, sf):
+    return _parsed(spark, sf).select("path", F.explode("functions").alias("x")).select("path", *[f"x.{c}" for c in ("qualifiedName", "lineStart", "lineEnd", "isPublic", "isStatic", "signature")])
 
 
-@query(f"SELECT page_id, callee, min(n)::BIGINT AS first_at FROM (SELECT page_id, unnest(range(len(m))) + 1 AS n, unnest(m) AS callee FROM {CALLS_SQL}) WHERE callee NOT IN ({', '.join(repr(w) for w in X.SWIFT_KEYWORDS)}) GROUP BY ALL")
+@query("WITH " + SRC + " SELECT path, q AS caller, callee, receiver, line::INT AS line, 70 AS confidence FROM cs")
 def extract_calls(spark, sf):
-    found = read(spark, sf, "pages").select("page_id", F.posexplode(F.expr("regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)[ ]*[(]', 1)")).alias("n", "callee"))
-    return found.filter(~F.col("callee").isin(X.SWIFT_KEYWORDS)).groupBy("page_id", "callee").agg((F.min("n") + 1).cast("long").alias("first_at"))
+    c = X.swift_calls(_parsed(spark, sf))
+    return c.select("path", F.col("callerQualified").alias("caller"), F.col("calleeName").alias("callee"), F.col("calleeReceiver").alias("receiver"), F.col("lineNo").alias("line"), "confidence")
 
 
-@query(
-    "WITH " + FN + """, nt AS (SELECT filePath, (lineStart - 1 - pk % 8)::INT AS line, 'CIGTerms: ' || name || ', ' || domain || ' */' AS text FROM fn)
-    SELECT f.id, string_agg(DISTINCT trim(u.t), ',' ORDER BY trim(u.t)) AS terms FROM fn f JOIN nt n ON n.filePath = f.filePath AND n.line BETWEEN f.lineStart - 5 AND f.lineStart - 1,
-    unnest(string_split(trim(rtrim(trim(split_part(n.text, 'CIGTerms:', 2)), '*/')), ',')) u(t) GROUP BY f.id"""
-)
+@query("WITH " + SRC + " SELECT q AS id, domain || ',b' || g AS terms FROM fs")
 def annotation_terms(spark, sf):
-    f = D.functions(spark, sf)
-    notes = f.select("filePath", F.expr("CAST(lineStart - 1 - pk % 8 AS INT)").alias("line"), F.concat(F.lit("CIGTerms: "), "name", F.lit(", "), "domain", F.lit(" */")).alias("text"))
-    near = f.select("id", "filePath", F.explode(F.expr("sequence(lineStart - 5, lineStart - 1)")).alias("line")).join(notes, ["filePath", "line"])
-    raw = F.expr("transform(split(trim(TRAILING '*/' FROM trim(element_at(split(text, 'CIGTerms:'), -1))), ','), s -> trim(s))")
-    return near.select("id", F.explode(raw).alias("t")).filter("t <> ''").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("terms"))
+    return _parsed(spark, sf).select(F.explode("functions").alias("x")).select(F.col("x.qualifiedName").alias("id"), F.array_join("x.cigTerms", ",").alias("terms"))
 
 
 @query("WITH " + FN + " SELECT id, lineStart, (coalesce(lead(lineStart) OVER (PARTITION BY filePath ORDER BY lineStart) - 1, max(lineEnd) OVER (PARTITION BY filePath)))::INT AS lineEnd FROM fn")
@@ -125,12 +132,14 @@ def objc_message_interval_join(spark, sf):
     return R.containing(points, f.select(F.col("id").alias("holder"), "filePath", "lineStart", "lineEnd")).select("src", "dst", "holder")
 
 
-@query(f"WITH {ED} SELECT e.src, 'func:unresolved::' || e.calleeRaw AS dst, count(*) AS sites FROM ed e JOIN fn f ON f.id = e.src AND f.isPublic WHERE e.calleeRaw NOT IN ('misty lace', 'red tin', 'blue steel') GROUP BY ALL")
+@query("WITH " + SRC + """, k AS (SELECT DISTINCT path, g FROM fs) SELECT src, dst, rel, confidence::INT AS confidence, site::INT AS "callSite" FROM (
+    SELECT 'file:' || path AS src, 'class:' || path || '::Brand' || g AS dst, 'CONTAINS' AS rel, 100 AS confidence, NULL AS site FROM k UNION ALL SELECT 'class:' || path || '::Brand' || g, 'func:' || path || '::' || q, 'CONTAINS', 100, NULL FROM fs
+    UNION ALL SELECT 'class:' || path || '::Brand' || g, 'class:unresolved::Base', 'INHERITS', 90, NULL FROM k UNION ALL SELECT 'class:' || path || '::Brand' || g, 'class:unresolved::Loading', 'IMPLEMENTS', 85, NULL FROM k
+    UNION ALL SELECT 'file:' || path, 'module:Kit' || g, 'IMPORTS', 100, 1 FROM k UNION ALL SELECT 'func:' || path || '::' || q, 'func:unresolved::' || callee, 'CALLS', 70, line FROM cs)""")
 def extract_graph_rows(spark, sf):
-    known = D.functions(spark, sf).filter("isPublic").select(F.col("id").alias("src"))
-    skip = spark.createDataFrame([("misty lace",), ("red tin",), ("blue steel",)], "calleeRaw string")
-    rows = D.calls(spark, sf).join(known, "src", "left_semi").join(skip, "calleeRaw", "left_anti")
-    return rows.groupBy("src", F.concat(F.lit(STUB), "calleeRaw").alias("dst")).agg(F.count(F.lit(1)).alias("sites"))
+    swift = _parsed(spark, sf)
+    mapping = spark.createDataFrame([("M1", "first"), ("M", "rest")], "prefix string, domain string")
+    return X.graph_rows(swift, X.swift_calls(swift), mapping, "main")["edges_raw"].select("src", "dst", "rel", "confidence", "callSite")
 
 
 MAPPING = [("/de/", "german"), ("/en/", "english"), ("example.org", "org"), ("www.", "web"), ("/fr/1", "french one"), ("/fr/", "french")]
@@ -168,10 +177,11 @@ def heuristic_domain(spark, sf):
     return names.select("name", T.heuristic_domain(F.col("name")).alias("domain"))
 
 
-@query(f"SELECT prefix, CASE {_CASES} ELSE replace(lower(x), ' ', '_') END AS domain FROM (SELECT DISTINCT split_part(url, '/', 3) || '/' || split_part(url, '/', 4) || '/' AS prefix, split_part(url, '/', 4) AS x FROM pages WHERE len(string_split(url, '/')) >= 5)")
+@query(f"""SELECT prefix, CASE {_CASES} ELSE replace(lower(x), ' ', '_') END AS domain FROM (SELECT DISTINCT array_to_string(d, '/') || '/' AS prefix, d[-1] AS x FROM (SELECT string_split(split_part(url, '//', 2), '/')[:-2] AS d FROM pages)
+    WHERE len(d) BETWEEN 1 AND 3 AND len(list_filter(d, lambda y: list_contains([{", ".join(repr(x) for x in P.SKIP)}], y) OR starts_with(y, '.'))) = 0)""")
 def generate_mapping(spark, sf):
-    parts = read(spark, sf, "pages").select(F.split("url", "/").alias("p")).filter("size(p) >= 5").select(F.expr("concat(p[2], '/', p[3], '/')").alias("prefix"), F.expr("p[3]").alias("x")).distinct()
-    return parts.select("prefix", T.heuristic_domain(F.col("x")).alias("domain"))
+    files = read(spark, sf, "pages").select(F.concat(F.lit("/ws/"), F.expr("element_at(split(url, '//'), 2)")).alias("path"))
+    return P.generate_mapping(files, "/ws")
 
 
 # --- writes ------------------------------------------------------------------------------------------------------
@@ -217,8 +227,6 @@ def delete_overlay(spark, sf):
 
 @query(f"WITH {ED} SELECT f.domain, count(*) AS calls FROM ed e JOIN fn f ON f.id = e.src WHERE e.confidence >= 80 GROUP BY f.domain")
 def raw_sql(spark, sf):
-    from ..api import Engine
-
     return Engine(D.functions(spark, sf), D.calls(spark, sf), branch=None).sql("SELECT f.domain, count(*) AS calls FROM calls e JOIN functions f ON f.id = e.src WHERE e.confidence >= :least GROUP BY f.domain", least=80)
 
 
@@ -286,12 +294,54 @@ def stub_edges(spark, sf):
     return D.unresolved(spark, sf).filter(F.col("dst").startswith("func:unresolved")).select("src", "dst")
 
 
-@query(f"WITH {ED} {UN}, o AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM fn s, fn c WHERE s.id = un.src AND c.filePath = s.filePath AND c.name = un.calleeRaw) THEN 'same file' WHEN confidence = 0 THEN 'no confidence' ELSE 'elsewhere' END AS outcome FROM un) SELECT outcome, count(*) AS n FROM o GROUP BY outcome")
+# An index of call sites made from the calls: most lines are one off, some symbols have no definition, some definitions no function.
+_INDEX = """, sb AS (SELECT e.src, 'func:unresolved::' || e.calleeRaw || '@' || e.dst AS dst, s.filePath AS "srcFile", (e.callSite + e.confidence % 4 - 1)::INT AS "callSite", CASE WHEN e.confidence % 11 = 0 THEN '' ELSE upper(e.calleeRaw) END AS "calleeRaw" FROM ed e JOIN fn s ON s.id = e.src),
+  si AS (SELECT DISTINCT s.filePath AS f, e.callSite AS line, e.dst AS usr FROM ed e JOIN fn s ON s.id = e.src WHERE (e.confidence * 7 + e.callSite) % 5 <> 0),
+  de AS (SELECT id AS usr, name, filePath AS f, lineStart + pk % 3 - 1 + CASE WHEN pk % 17 = 0 THEN 3 ELSE 0 END AS line FROM fn WHERE pk % 13 <> 0),
+  kn AS (SELECT usr, id FROM (SELECT de.usr, fn.id, row_number() OVER (PARTITION BY de.usr ORDER BY o, fn.id) AS r FROM de, (VALUES (0, 0), (1, 1), (2, -1)) v(o, d), fn WHERE fn.filePath = de.f AND fn.lineStart = de.line + v.d) WHERE r = 1),
+  hi AS (SELECT sb.src, sb.dst, o, si.usr, sb."calleeRaw" = '' OR contains(lower(coalesce(de.name, '')), lower(sb."calleeRaw")) AS fit, de.usr IS NOT NULL AS def, kn.id FROM sb, (VALUES (0, 0), (1, 1), (2, -1)) v(o, d), si LEFT JOIN de ON de.usr = si.usr LEFT JOIN kn ON kn.usr = si.usr WHERE si.f = sb."srcFile" AND si.line = sb."callSite" + v.d),
+  fo AS (SELECT src, dst, min(o) AS o FROM hi GROUP BY ALL), re AS (SELECT src, dst, bool_or(fit) AS fit, bool_and(def) FILTER (WHERE fit) AS def, arg_min(id, usr) FILTER (WHERE fit AND id IS NOT NULL) AS id FROM hi JOIN fo USING (src, dst, o) GROUP BY ALL),
+  rs AS (SELECT sb.src, sb.dst, re.id AS "newDst", CASE WHEN re.src IS NULL THEN 'no_call_site_in_indexstore' WHEN re.id IS NOT NULL THEN 'resolved' WHEN re.fit AND re.def THEN 'callee_not_in_our_graph' ELSE 'callee_in_sdk_or_external' END AS outcome FROM sb LEFT JOIN re USING (src, dst))"""
+
+
+def _stubs(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f, c = D.functions(spark, sf), D.calls(spark, sf)
+    c = c.join(f.select(F.col("id").alias("src"), F.col("filePath").alias("srcFile")), "src")
+    stubs = c.select("src", F.concat(F.lit(STUB), "calleeRaw", F.lit("@"), "dst").alias("dst"), "srcFile", F.expr("CAST(callSite + confidence % 4 - 1 AS INT)").alias("callSite"), F.when(F.col("confidence") % 11 == 0, "").otherwise(F.upper("calleeRaw")).alias("calleeRaw"), "confidence")
+    sites = c.filter("(confidence * 7 + callSite) % 5 <> 0").select(F.lit("").alias("name"), F.col("srcFile").alias("filePath"), F.col("callSite").alias("line"), F.col("dst").alias("usr"), F.lit(32).alias("roles"))
+    places = f.filter("pk % 13 <> 0").select("name", "filePath", F.expr("CAST(lineStart + pk % 3 - 1 + IF(pk % 17 = 0, 3, 0) AS INT)").alias("line"), F.col("id").alias("usr"), F.lit(2).alias("roles"))
+    return stubs, *X.index_store(sites.unionByName(places))
+
+
+def _from_index(spark, sf) -> tuple[DataFrame, DataFrame]:
+    stubs, definitions, sites = _stubs(spark, sf)
+    return stubs, R.from_index(stubs, sites, definitions, D.functions(spark, sf))
+
+
+@query(f"WITH {ED} {_INDEX} SELECT * FROM rs")
+def resolve_stubs_index(spark, sf):
+    return _from_index(spark, sf)[1]
+
+
+@query(f"WITH {ED} {_INDEX} SELECT outcome, count(*) AS n FROM rs GROUP BY outcome")
 def stub_resolution_outcomes(spark, sf):
-    u = D.unresolved(spark, sf)
-    own = R.same_file(u, D.functions(spark, sf)).select("src", "calleeRaw", F.lit(True).alias("own"))
-    outcome = F.when(F.col("own"), "same file").when(F.col("confidence") == 0, "no confidence").otherwise("elsewhere")
-    return u.join(own, ["src", "calleeRaw"], "left").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return _from_index(spark, sf)[1].groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {ED} {_INDEX}, mv AS (SELECT sb.src, coalesce(rs."newDst", sb.dst) AS dst, rs."newDst" IS NOT NULL AS n, sb."callSite", sb."calleeRaw", e.confidence FROM sb JOIN rs USING (src, dst) JOIN ed e ON e.src = sb.src AND e.dst = string_split(sb.dst, '@')[-1])
+    SELECT src, dst, (CASE WHEN bool_or(n) THEN 99 ELSE max(confidence) END)::INT AS confidence, arg_max("callSite", ("callSite", "calleeRaw")) AS "callSite", bool_or(n) AS resolved FROM mv GROUP BY src, dst""")
+def redirect_stubs(spark, sf):
+    stubs, found = _from_index(spark, sf)
+    calls = stubs.select("src", "dst", "confidence", "callSite", "calleeRaw", F.lit(False).alias("resolved"))
+    return R.redirected(calls, found).select("src", "dst", "confidence", "callSite", "resolved")
+
+
+_DISPATCH = ORACLES["protocol_dispatch_edges"]
+
+
+@query(f"WITH RECURSIVE dp AS ({_DISPATCH.replace('WITH ', 'WITH ', 1)}), {ED} SELECT coalesce(e.src, dp.src) AS src, coalesce(e.dst, dp.dst) AS dst, greatest(coalesce(e.confidence, 0), coalesce(dp.confidence, 0))::INT AS confidence, dp.via FROM ed e FULL JOIN dp ON dp.src = e.src AND dp.dst = e.dst")
+def merge_dispatch(spark, sf):
+    return R.with_dispatch(D.calls(spark, sf), protocol_dispatch_edges(spark, sf)).select("src", "dst", "confidence", "via")
 
 
 # --- lookups -----------------------------------------------------------------------------------------------------
@@ -300,15 +350,14 @@ def stub_resolution_outcomes(spark, sf):
 @query("WITH " + FN + " SELECT id, name, branch FROM fn WHERE name = (SELECT min(p_name) FROM part) ORDER BY CASE WHEN branch = 'feature' THEN 0 ELSE 1 END, id LIMIT 1")
 def find_function(spark, sf):
     f = D.functions(spark, sf)
-    name = f.agg(F.min("name")).first()[0]
-    return f.filter((F.col("name") == name) | (F.col("qualifiedName") == name)).orderBy(F.when(F.col("branch") == "feature", 0).otherwise(1), "id").limit(1).select("id", "name", "branch")
+    return Engine(f, D.calls(spark, sf), branch="feature").find(f.agg(F.min("name")).first()[0]).select("id", "name", "branch")
 
 
 @query("SELECT p_brand || '/' || lower(p_type) AS id, lower(p_type) AS name FROM part WHERE lower(p_type) = (SELECT max(lower(p_type)) FROM part) GROUP BY ALL ORDER BY id LIMIT 1")
 def find_class(spark, sf):
     f = D.functions(spark, sf)
-    name = f.agg(F.max("domain")).first()[0]
-    return f.filter(F.col("domain") == name).select(F.concat("filePath", F.lit("/"), "domain").alias("id"), F.col("domain").alias("name")).distinct().orderBy("id").limit(1)
+    classes = f.select(F.concat("filePath", F.lit("/"), "domain").alias("id"), F.col("domain").alias("name"), F.lit("master").alias("branch")).distinct()
+    return Engine(f, D.calls(spark, sf), classes=classes).symbol(f.agg(F.max("domain")).first()[0]).select("id", "name")
 
 
 @query(f"WITH {ED} {MEM} SELECT DISTINCT process FROM mem WHERE contains(process, 'Brand#1') ORDER BY process LIMIT 5")
@@ -384,7 +433,8 @@ def impact_by_depth(spark, sf):
 
 @query(GR + " SELECT process FROM mem WHERE id IN (SELECT id FROM hub)")
 def affected_processes(spark, sf):
-    return D.members(spark, sf).join(D.hub(spark, sf), "id").select("process")
+    f = D.functions(spark, sf)
+    return Engine(f, D.calls(spark, sf), D.members(spark, sf), branch=None).affected_processes(f.join(D.hub(spark, sf), "id").first().qualifiedName)
 
 
 @query(GR + " SELECT e.dst AS id, f.name, e.confidence, e.callSite FROM ed e JOIN fn f ON f.id = e.dst WHERE e.src IN (SELECT id FROM top) ORDER BY e.confidence DESC, e.callSite, e.dst LIMIT 200")
@@ -496,9 +546,23 @@ def community_top_domain(spark, sf):
     return A.top_domains(D.functions(spark, sf).select(F.col("filePath").alias("communityId"), "domain"))
 
 
-@query("WITH " + FN + " SELECT id, 'community:master:' || domain AS communityId FROM fn WHERE branch = 'master' AND domain <> 'unknown'")
+_GROUPS = "WITH " + FN + ", m AS (SELECT id, domain, filePath AS c FROM fn WHERE branch = 'master')"
+
+
+def _communities(spark, sf):
+    f = D.functions(spark, sf)
+    return A.communities(f, f.select("id", F.col("filePath").alias("communityId")), "master")
+
+
+@query(_GROUPS + """, t AS (SELECT c, domain, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, domain) AS r FROM m GROUP BY c, domain)
+    SELECT 'community:master:' || c AS id, c AS "communityId", t.domain, (SELECT count(*) FROM m WHERE m.c = t.c) AS "memberCount", 'master' AS branch, 'louvain' AS source FROM t WHERE r = 1""")
+def community_nodes(spark, sf):
+    return _communities(spark, sf)[0]
+
+
+@query(_GROUPS + """ SELECT id, 'community:master:' || c AS "communityId" FROM m""")
 def community_members(spark, sf):
-    return D.functions(spark, sf).filter("branch = 'master' AND domain <> 'unknown'").select("id", F.concat(F.lit("community:master:"), "domain").alias("communityId"))
+    return _communities(spark, sf)[1]
 
 
 @query(
@@ -514,6 +578,11 @@ def communities_lpa(spark, sf):
     return A.label_propagation(D.calls(spark, sf), rounds=4)
 
 
+@query()
+def communities_louvain(spark, sf):
+    return A.louvain(D.calls(spark, sf, True))
+
+
 # --- overlays ----------------------------------------------------------------------------------------------------
 
 @query("WITH " + FN + ", k AS (SELECT 'x' || pk % 500 AS id, branch, min(name) AS name FROM fn GROUP BY ALL) SELECT id, branch, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN branch = 'feature' THEN 0 ELSE 1 END) AS r FROM k) WHERE r = 1")
@@ -529,13 +598,40 @@ def overlay_anti_join(spark, sf):
 
 
 @query("WITH " + FN + " SELECT id, branch, CASE WHEN filePath = (SELECT min(filePath) FROM fn) AND branch = 'master' THEN upper(name) ELSE name END AS name FROM fn")
-def incremental_equals_full(spark, sf):
+def replace_files(spark, sf):
     f = D.functions(spark, sf).select("id", "branch", "filePath", "name")
     first = f.agg(F.min("filePath")).first()[0]
     new = f.filter((F.col("filePath") == first) & (F.col("branch") == "master")).withColumn("name", F.upper("name"))
     return W.replace_files(f, new).select("id", "branch", "name")
 
 
+@query("WITH " + SRC + """, k AS (SELECT max(path) AS gone, min(path) AS first FROM fs), c AS (SELECT path, q, CASE WHEN path = k.first AND callee = (SELECT 'f' || min(pk) FROM fs WHERE path = k.first) THEN 'g' || callee ELSE callee END AS callee FROM cs, k WHERE path <> gone)
+    SELECT 'functions' AS "table", count(*) AS full, 0::BIGINT AS only_full, 0::BIGINT AS only_updated FROM fs, k WHERE path <> gone UNION ALL SELECT 'classes', count(DISTINCT path), 0, 0 FROM fs, k WHERE path <> gone
+    UNION ALL SELECT 'files', count(DISTINCT path), 0, 0 FROM fs, k WHERE path <> gone UNION ALL SELECT 'edges_raw', (SELECT count(*) FROM c) + (SELECT count(*) FROM fs, k WHERE path <> gone) + (SELECT 4 * count(DISTINCT path) FROM fs, k WHERE path <> gone), 0, 0
+    UNION ALL SELECT 'calls', count(*), 0, 0 FROM c""")
+def incremental_equals_full(spark, sf):
+    """Two real builds: all files as they are now, and an update of the old graph with one file that changed and one that went."""
+    from .. import build as N
+
+    old = D.sources(spark, sf)
+    first, last = old.agg(F.min("path"), F.max("path")).first()
+    name = _parsed(spark, sf).filter(F.col("path") == first).select(F.explode("functions.name").alias("n")).agg(F.min(F.substring("n", 2, 20).cast("long"))).first()[0]
+    new = old.filter(F.col("path") == first).withColumn("source", F.regexp_replace("source", f"(?<![A-Za-z0-9])f{name}\\(", f"gf{name}("))
+    now = old.filter(~F.col("path").isin(first, last)).unionByName(new)
+    at = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    N.build(old, f"{at}/a", "main", grouping="domain")
+    N.update(new, f"{at}/a", "main", removed=[last], grouping="domain")
+    N.build(now, f"{at}/b", "main", grouping="domain")
+    out = None
+    for k in ("functions", "classes", "files", "edges_raw", "calls"):
+        a, b = (spark.read.parquet(f"{N.current(spark, f'{at}/{x}')}/{k}") for x in "ab")
+        a, b = (x.select(F.xxhash64(*b.columns).alias("h")) for x in (a, b))
+        one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+        row = one(b, "full").crossJoin(one(b.exceptAll(a), "only_full")).crossJoin(one(a.exceptAll(b), "only_updated")).select(F.lit(k).alias("table"), "*")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return materialize(out, "builds")
+
+
 # --- search ------------------------------------------------------------------------------------------------------
 
 
@@ -565,8 +661,15 @@ def bm25_topk(spark, sf):
 def bm25_incremental(spark, sf):
     d, ask = read(spark, sf, "documents").select("doc_id", "text"), _ask(spark, sf)
     changed = d.filter("doc_id % 50 = 0").withColumn("text", F.lit(ask))
-    now = d.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed)
-    return H.bm25(now, "doc_id", "text", ask, 10)
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    return H.Index.build(d, "doc_id", "text", folder).update(changed, "doc_id", "text").search(ask, 10)
+
+
+@query(BM + " SELECT * FROM bm WHERE rank <= 10")
+def bm25_stored(spark, sf):
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    H.Index.build(read(spark, sf, "documents"), "doc_id", "text", folder)
+    return H.Index(spark, folder).search(_ask(spark, sf), 10)
 
 
 @query("SELECT doc_id AS id, 1.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'worthless') ORDER BY id LIMIT 10")

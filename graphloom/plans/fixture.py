@@ -86,3 +86,23 @@ def members(spark: SparkSession, sf: str, thin: bool = False) -> DataFrame:
     entry = f.filter("isPublic").select(F.col("id").alias("src"), F.concat(F.lit("process:"), "filePath").alias("process"))
     out = calls(spark, sf, thin).join(entry, "src").select(F.col("dst").alias("id"), "process")
     return out.unionByName(entry.select(F.col("src").alias("id"), "process")).distinct()
+
+
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """path, source: a Swift file per brand with a class, and a function per part that calls the parts that its line items lead to.
+
+    A function takes six lines: annotation, head, body, calls, return, brace; every third callee is called on a receiver.
+    """
+
+    def make():
+        digits = "replace(filePath, 'Brand#', '')"
+        to = calls(spark, sf).select(F.col("src").alias("id"), F.regexp_extract("dst", "([0-9]+)$", 1).cast("long").alias("d"))
+        said = to.groupBy("id").agg(F.expr("array_join(transform(array_sort(collect_set(d)), d -> concat(IF(d % 3 = 0, 'obj.', ''), 'f', d, '(x)')), '; ')").alias("said"))
+        f = functions(spark, sf).join(said, "id", "left")
+        head = "concat('    ', IF(isPublic, 'public ', ''), IF(size % 2 = 0, 'static ', ''), 'func f', pk, '(x: Int) {')"
+        body = f"concat_ws('\\n', concat('    // CIGTerms: ', domain, ', b', {digits}, ' */'), {head}, '        let y = x', concat('        ', coalesce(said, '_ = y')), '        return', '    }}')"
+        text = f.groupBy("filePath").agg(F.array_sort(F.collect_list(F.struct("pk", F.expr(body).alias("t")))).alias("b"))
+        start = f"concat('import Kit', {digits}, '\\npublic class Brand', {digits}, ': Base, Loading {{\\n')"
+        return text.select(F.expr(f"concat('app/Modules/M', {digits}, '/Brand', {digits}, '.swift')").alias("path"), F.expr(f"concat({start}, array_join(transform(b, x -> x.t), '\\n'), '\\n}}')").alias("source"))
+
+    return _once(spark, sf, "sources", make)

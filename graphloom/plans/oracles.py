@@ -51,3 +51,14 @@ VEC = """, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id
 FUSED = """SELECT coalesce(b.id, v.id) AS id, b.rank AS bm25_rank, v.rank AS vec_rank, round(coalesce(1 / (60 + b.rank), 0) + coalesce(1 / (60 + v.rank), 0), 9) AS score
   FROM (SELECT * FROM bm WHERE rank <= 30) b FULL JOIN {right} v ON b.id = v.id ORDER BY score DESC, id LIMIT 10"""
 DOMAIN_SQL = "CASE {cases} ELSE replace(lower(x), ' ', '_') END"
+
+#: The records of the source files that the tables are written as: fs functions, cs calls in their bodies.
+SRC = (
+    ED
+    + """, fs AS (SELECT *, replace(filePath, 'Brand#', '') AS g, 'app/Modules/M' || replace(filePath, 'Brand#', '') || '/Brand' || replace(filePath, 'Brand#', '') || '.swift' AS path,
+  'Brand' || replace(filePath, 'Brand#', '') || '.f' || pk AS q, 4 + 6 * (lineStart // 10 - 1) AS a, 3 + 6 * (lineStart // 10) AS b FROM fn),
+  cd AS (SELECT DISTINCT s.path, s.q, s.a, s.pk, d.pk AS d FROM ed e JOIN fs s ON s.id = e.src JOIN fs d ON d.id = e.dst),
+  cs AS (SELECT path, q, 'f' || d AS callee, 'obj' AS receiver, a + 2 AS line FROM cd WHERE d % 3 = 0
+    UNION ALL SELECT path, q, 'f' || d, NULL, min(line) FROM (SELECT path, q, pk AS d, a AS line FROM fs UNION ALL SELECT path, q, d, a + 2 FROM cd WHERE d % 3 <> 0) x
+      WHERE NOT EXISTS (SELECT 1 FROM cd WHERE cd.q = x.q AND cd.d = x.d AND cd.d % 3 = 0) GROUP BY path, q, d)"""
+)

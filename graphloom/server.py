@@ -24,6 +24,8 @@ TOOLS = [
     _tool("impact", "Callers of a symbol by depth.", "symbol", depth=5),
     _tool("call_chain", "Call chains from a symbol.", "symbol", depth=5),
     _tool("process", "Members of the first process whose name holds a text.", "query"),
+    _tool("detect_changes", "Functions that a diff touches, their callers and processes, and a summary.", "diff_hunks"),
+    _tool("subgraph", "Nodes and links around a symbol.", "symbol", depth=2),
     _tool("sql", "Read-only SQL over functions and calls.", "query"),
     _tool("stats", "Counts, coverage and most called functions."),
 ]
@@ -45,6 +47,15 @@ def call(engine: Engine, name: str, args: dict[str, Any]) -> Any:
         return rows(engine.call_chain(args["symbol"], int(args.get("depth", 5))))
     if name == "process":
         return rows(engine.process(args["query"]))
+    if name == "detect_changes":
+        lines = [(1, i, x) for i, x in enumerate(args["diff_hunks"].split("\n"))]
+        diff = engine.spark.createDataFrame(lines, "diff_id int, n int, line string")
+        return {"functions": rows(engine.detect_changes(diff).orderBy("id")), "summary": rows(engine.change_summary(diff))[0]}
+    if name == "subgraph":
+        nodes, links = engine.subgraph(args["symbol"], int(args.get("depth", 2)))
+        center = [r["id"] for r in rows(engine.find(args["symbol"]).select("id"))]
+        named = nodes.join(engine.functions.select("id", "name", "qualifiedName", "domain", "filePath", "lineStart"), "id", "left")
+        return {"nodes": [r | {"isCenter": r["id"] in center} for r in rows(named)], "links": [{"source": r["src"], "target": r["dst"], "confidence": r["confidence"]} for r in rows(links, 2000)], "center": center[0] if center else None}
     if name == "sql":
         return rows(engine.sql(args["query"]))
     if name == "stats":
@@ -78,9 +89,58 @@ def serve(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
             print(json.dumps(reply), file=out, flush=True)
 
 
-def http_server(engine: Engine, port: int = 8080, host: str = "127.0.0.1"):
-    """The same tools over HTTP: POST /api/mcp/<tool> with its arguments, GET /health. The caller runs and closes it."""
+def http_server(engine: Engine, port: int = 8080, host: str = "127.0.0.1", rebuild=None, reload=None):
+    """The same tools over HTTP, what watchers report, and counts. The caller runs and closes it.
+
+    POST /api/mcp/<tool> with its arguments; POST /api/watcher/file-changed (filePath, branch), which runs ``rebuild`` in the
+    background and then ``reload`` for a new engine, branch-switch (branch) and heartbeat (repo, branch); GET /health,
+    /api/stats/health, /api/stats/risk, /api/graph/subgraph?name=&depth=.
+    """
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+    from datetime import datetime, timezone
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    now = lambda: datetime.now(timezone.utc).isoformat()
+    state = {"engine": engine, "watchers": {}, "overlays": {}, "jobs": [], "failed": []}
+    lock, work = threading.Lock(), ThreadPoolExecutor(1)  # builds of one graph come one after another
+
+    def changed(path: str, branch: str) -> None:
+        try:
+            rebuild(path, branch)
+            if reload is not None:
+                state["engine"] = reload()
+        except Exception as e:  # told by the counts
+            with lock:
+                state["failed"].append({"file": path, "error": f"{type(e).__name__}: {e}"})
+
+    def watcher(what: str, args: dict) -> dict:
+        branch = args.get("branch") or "master"
+        if what == "file-changed":
+            if rebuild is None:
+                return {"status": "ignored", "file": args["filePath"]}
+            with lock:
+                state["jobs"] = [j for j in state["jobs"] if not j.done()] + [work.submit(changed, args["filePath"], branch)]
+            return {"status": "queued", "file": args["filePath"]}
+        with lock:
+            if what == "branch-switch":
+                state["overlays"][branch] = {"branch": branch, "commitHash": "unknown", "lastUpdated": now()}
+                return {"status": "ok", "branch": branch}
+            if what == "heartbeat":
+                state["watchers"][args.get("repo") or "unknown"] = {"branch": args.get("branch"), "lastSeen": now()}
+                return {"status": "ok"}
+        raise KeyError(what)
+
+    def counted(what: str) -> dict:
+        e = state["engine"]
+        if what == "risk":
+            return {k: rows(v) for k, v in e.risk().items()}
+        if what == "health":
+            with lock:
+                lists = {"watchers": [{"repo": k, **v} for k, v in state["watchers"].items()], "overlays": list(state["overlays"].values()), "failed": state["failed"][-20:], "building": sum(not j.done() for j in state["jobs"])}
+            return {"totals": rows(e.stats())[0], **lists}
+        raise KeyError(what)
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body: Any) -> None:
@@ -91,18 +151,37 @@ def http_server(engine: Engine, port: int = 8080, host: str = "127.0.0.1"):
             self.end_headers()
             self.wfile.write(data)
 
+        def _answer(self, said) -> None:
+            try:
+                self._send(200, said())
+            except KeyError as e:
+                self._send(404, {"error": f"unknown {e}"})
+            except Exception as e:  # told to the caller
+                self._send(400, {"error": f"{type(e).__name__}: {e}"})
+
         def do_GET(self) -> None:
-            self._send(200, {"status": "ok"}) if self.path == "/health" else self._send(404, {"error": "not found"})
+            url = urlsplit(self.path)
+            asked = {k: v[0] for k, v in parse_qs(url.query).items()}
+            if url.path == "/health":
+                self._send(200, {"status": "ok"})
+            elif url.path.startswith("/api/stats/"):
+                self._answer(lambda: counted(url.path.removeprefix("/api/stats/")))
+            elif url.path == "/api/graph/subgraph":
+                self._answer(lambda: call(state["engine"], "subgraph", {"symbol": asked["name"], "depth": asked.get("depth", 2)}))
+            else:
+                self._send(404, {"error": "not found"})
 
         def do_POST(self) -> None:
-            name = self.path.removeprefix("/api/mcp/").replace("-", "_").replace("impact_scope", "impact")
             try:
                 args = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)) or b"{}")
-                self._send(200, call(engine, name, args))
-            except KeyError as e:
-                self._send(404, {"error": f"unknown {e}"})
-            except Exception as e:  # told to the caller
+            except ValueError as e:
                 self._send(400, {"error": f"{type(e).__name__}: {e}"})
+                return
+            if self.path.startswith("/api/watcher/"):
+                self._answer(lambda: watcher(self.path.removeprefix("/api/watcher/"), args))
+            else:
+                name = self.path.removeprefix("/api/mcp/").replace("-", "_").replace("impact_scope", "impact")
+                self._answer(lambda: call(state["engine"], name, args))
 
         def log_message(self, *args) -> None:
             pass

@@ -49,3 +49,31 @@ def replace_each_batch(stream: DataFrame, checkpoint: str, apply: Callable[[Data
 def heartbeats(stream: DataFrame, lateness: str = "10 minutes", window: str = "1 minute") -> DataFrame:
     """Beats per repository and minute with the last one, late ones dropped past the watermark (repo, branch, ts)."""
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", window), "repo").agg(F.count(F.lit(1)).alias("beats"), F.max("ts").alias("lastSeen"), F.max_by("branch", "ts").alias("branch"))
+
+
+class Watcher:
+    """Snapshots of a folder's listing in a table: each poll tells what has changed since the last one.
+
+    A stream of files sees new ones only; a poll also sees files that were written again (path, modificationTime later) and
+    those that are gone.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, snapshot: str, listing: Callable[[SparkSession, str], DataFrame]):
+        self.spark, self.folder, self.snapshot, self.listing = spark, folder, snapshot.rstrip("/"), listing
+
+    def poll(self) -> DataFrame:
+        """path, change: 'new', 'changed' or 'gone'. The first poll tells nothing; what it tells is known from then on."""
+        from ..sources.tables import materialize
+
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = fs_path(self.snapshot)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        now = materialize(self.listing(self.spark, self.folder).select("path", F.col("modificationTime").alias("mtime")), "listing")
+        old = self.spark.read.parquet(self.snapshot) if fs.exists(at) else now
+        both = now.alias("n").join(old.alias("o"), "path", "full")
+        change = F.when(F.col("o.mtime").isNull(), "new").when(F.col("n.mtime").isNull(), "gone").when(F.col("n.mtime") > F.col("o.mtime"), "changed")
+        told = materialize(both.select("path", change.alias("change")).filter("change IS NOT NULL"), "changes")
+        now.write.mode("overwrite").parquet(f"{self.snapshot}.next")
+        fs.delete(at, True)
+        fs.rename(fs_path(f"{self.snapshot}.next"), at)
+        return told
