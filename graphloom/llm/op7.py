@@ -12,8 +12,9 @@ Documents are sets of distinct word shingles; two link when ``den * intersection
 4. At each signature the first set is held against the others (bound, then exact). What this links is one component.
    Where members still lie in different components, their points are packed into an R-tree: pages of near points with
    their largest coordinates; page pairs, then pairs, of different components are bounded, and all survivors verified. No
-   link between components is missed, and no pair inside one is made. Signatures with the same members are searched once;
-   large ones are split into pairs of tiles that go to different tasks.
+   link between components is missed, and no pair inside one is made. One signature in ``SCOUT`` is searched first, the others
+   with the components that these make, so that sets which meet at many signatures are paired at few. Signatures with the
+   same members are searched once; large ones are split into pairs of tiles that go to different tasks.
 5. Links are counted inside components, where all of them lie: the sets of a component meet in tiles of bounded bytes, and
    products of their shingle matrices give all intersections. Counts leave a task, never pairs.
 
@@ -39,6 +40,8 @@ from .words import U, Words, grams, mix, place, whole
 SHINGLE, NUM, DEN = 3, 90, 100
 #: Coordinates of a point at least and at most, points of a page, bytes of points in a tile.
 LEAST, MOST, PAGE, TILE = 64, 1 << 17, 64, 8 << 20
+#: One group of signatures in so many is searched first.
+SCOUT = 16
 #: Coordinates for each shingle at least: with few shingles to a group, shingles that differ seldom meet.
 FINE = 4
 FULL, MANY = 255, 65535
@@ -446,29 +449,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = verified(star, "op7-stars")
     first = connected(stars)
 
-    # groups whose members lie in several components, once for equal members; points join what is left of them
-    comp = needed.join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("sid", "rep", F.coalesce("root", "rep").alias("comp"))
-    member = materialize(groups.select("gid", "sid").join(comp.select("sid", "comp").hint("merge"), "sid"), "op7-members")
-    mixed = member.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.expr("bit_xor(xxhash64(sid))").alias("h"), F.expr("bit_xor(xxhash64(sid, 1))").alias("i"))
-    # what is joined is written first: a join of two scans is split where a key is skewed
-    mixed = materialize(mixed.filter("x < y").groupBy("m", "h", "i").agg(F.min("gid").alias("gid")).select("gid"), "op7-gids")
-    member = materialize(member.join(mixed.hint("merge"), "gid", "left_semi"), "op7-mixed")
-    weighed = member.join(at.select("sid", "n", "point").hint("merge"), "sid")
-    # a point unpacked has up to twice FINE coordinates a shingle
-    weight = F.greatest(F.lit(LEAST), 2 * FINE * F.col("n"))
-    tiles = member.join(at.select("sid", weight.alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
-    tiles = materialize(tiles, "op7-tiles")
-    tiled = weighed.join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
-    tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
-    found = materialize(tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct(), "op7-found")
-    for s in "ab":
-        found = found.join(needed.select(F.col("sid").alias(s), F.col("rep").alias(f"r{s}")).hint("merge"), s)
-    more = verified(found, "op7-more")
+    def searched(root: DataFrame, which: str) -> DataFrame:
+        """Verified pairs of different components among the groups ``which``."""
+        # groups whose members lie in several components, once for equal members; points join what is left of them
+        comp = needed.join(root.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("sid", "rep", F.coalesce("root", "rep").alias("comp"))
+        member = materialize(groups.filter(which).select("gid", "sid").join(comp.select("sid", "comp").hint("merge"), "sid"), "op7-members")
+        mixed = member.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.expr("bit_xor(xxhash64(sid))").alias("h"), F.expr("bit_xor(xxhash64(sid, 1))").alias("i"))
+        # what is joined is written first: a join of two scans is split where a key is skewed
+        mixed = materialize(mixed.filter("x < y").groupBy("m", "h", "i").agg(F.min("gid").alias("gid")).select("gid"), "op7-gids")
+        left = materialize(member.join(mixed.hint("merge"), "gid", "left_semi"), "op7-mixed")
+        discard(member, mixed)
+        # a point unpacked has up to twice FINE coordinates a shingle
+        weight = F.greatest(F.lit(LEAST), 2 * FINE * F.col("n"))
+        tiles = left.join(at.select("sid", weight.alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
+        tiles = materialize(tiles, "op7-tiles")
+        tiled = left.join(at.select("sid", "n", "point").hint("merge"), "sid").join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+        tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
+        found = materialize(tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct(), "op7-found")
+        discard(left, tiles)
+        pairs = found
+        for s in "ab":
+            pairs = pairs.join(needed.select(F.col("sid").alias(s), F.col("rep").alias(f"r{s}")).hint("merge"), s)
+        out = verified(pairs, "op7-more")
+        discard(found)
+        return out
+
+    # some groups first: what they link need not be searched in all the others that the same sets share
+    scout = f"pmod(xxhash64(gid), {SCOUT}) = 0"
+    some = searched(first, scout)
+    starred = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    second = materialize(connected(starred.unionByName(some)), "op7-second")
+    more = materialize(some.unionByName(searched(second, f"NOT {scout}")), "op7-links")
 
     # rows that share an id are one document, whatever their texts
     again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     again = named.select("doc_id", "s1", "s2", "n").join(again.hint("merge"), "doc_id").join(classes.select("s1", "s2", "n", "rep").hint("merge"), ["s1", "s2", "n"])
-    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    edges = starred.unionByName(more).unionByName(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     root = materialize(connected(edges).withColumnRenamed("node", "rep"), "op7-roots")
     told = classes.select("s1", "s2", "n", "rep", "n_copies").join(root.hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("least"), "n_copies")
     extra = []
@@ -477,7 +493,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         told = told.join(_link_counts(root.unionByName(alone).groupBy("rep").agg(F.min("root").alias("root")), classes, blobs, k, num, den, sent).withColumnRenamed("sid", "s1").hint("merge"), "s1", "left")
         linked = F.coalesce("linked", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1
         extra = [F.when(F.col("doc_id").isNotNull(), linked).otherwise(0).cast("long").alias("n_links")]
-    discard(groups, needed, blobs, stars, member, more)
+    discard(groups, needed, blobs, stars, some, second, more)
     rows = sets.drop("point").join(told.hint("merge"), ["s1", "s2", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), *extra)
