@@ -36,7 +36,9 @@ from .common import materialize, steps, text_batches
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and the sum of their lengths.
 CACHE_WORDS, CACHE_CHARS = 700_000, 12_000_000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 3, 4, 6
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 6, 8, 8
+#: Fill from which on a bin is well-filled.
+WELL = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -184,8 +186,36 @@ def _uses(pattern) -> dict[int, int]:
     return use
 
 
+def fit_in(plan: list, left: dict[int, int], capacity: int) -> list:
+    """A plan with pieces best-fitted into the room of its bins, longest first; ``left`` keeps those that fit nowhere."""
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+    for pattern, times in plan:
+        own = rooms.setdefault(capacity - sum(pattern), {})
+        own[pattern] = own.get(pattern, 0) + times
+    order = sorted(rooms)
+    for size in sorted((s for s, n in left.items() if n), reverse=True):
+        while left[size] and (at := bisect.bisect_left(order, size)) < len(order):
+            room = order[at]
+            pattern, times = next(iter(rooms[room].items()))
+            n = min(times, left[size])
+            if n == times:
+                del rooms[room][pattern]
+                if not rooms[room]:
+                    del rooms[room], order[at]
+            else:
+                rooms[room][pattern] = times - n
+            new = tuple(sorted((*pattern, size), reverse=True))
+            if room - size not in rooms:
+                rooms[room - size] = {}
+                bisect.insort(order, room - size)
+            rooms[room - size][new] = rooms[room - size].get(new, 0) + n
+            left[size] -= n
+    return [(p, n) for room in order for p, n in rooms[room].items()]
+
+
 def cross(a, b, counts: dict[int, int], capacity: int, rng: random.Random):
-    """Whole well-filled bins of b go in; of a's bins as many stay as the pieces left allow; the rest is best-fitted."""
+    """Whole well-filled bins of b go in; of a's bins as many stay as the pieces left allow; the displaced pieces are
+    best-fitted into the room of the bins that stay, then into new ones."""
     left, out = dict(counts), []
 
     def put(pattern, times):
@@ -195,22 +225,26 @@ def cross(a, b, counts: dict[int, int], capacity: int, rng: random.Random):
             out.append((pattern, times))
             for s, n in use.items():
                 left[s] -= n * times
+        return times
 
-    full = sorted((x for x in b if sum(x[0]) >= 0.98 * capacity), key=lambda x: -sum(x[0]))
+    full = sorted((x for x in b if sum(x[0]) >= WELL * capacity), key=lambda x: -sum(x[0]))
     for pattern, times in full:
         if rng.random() < 0.5:
             put(pattern, rng.randint(1, times))
+    least = rng.choice((WELL, 0.9, 0.0))
     for pattern, times in sorted(a, key=lambda x: -sum(x[0])):
-        if sum(pattern) >= 0.95 * capacity:
+        if sum(pattern) >= least * capacity:
             put(pattern, times)
+    out = fit_in(out, left, capacity)
     return out + best_fit({s: n for s, n in left.items() if n}, capacity, rng)
 
 
 def mutate(a, counts: dict[int, int], capacity: int, rng: random.Random):
-    """The emptiest bins and some others are emptied and their pieces best-fitted."""
+    """The emptiest bins and some others are emptied and their pieces best-fitted, in an order of chance."""
     left, out = dict(counts), []
+    keep = rng.choice((0.5, 0.8, 0.95))
     for pattern, times in sorted(a, key=lambda x: -sum(x[0])):
-        if sum(pattern) == capacity and rng.random() < 0.9:
+        if sum(pattern) == capacity and rng.random() < keep or sum(pattern) >= WELL * capacity and rng.random() < keep / 2:
             out.append((pattern, times))
             for s, n in _uses(pattern).items():
                 left[s] -= n * times

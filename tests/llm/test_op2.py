@@ -8,7 +8,7 @@ from brute import awkward
 from tokenizers import Tokenizer
 
 from graphloom.llm.common import table
-from graphloom.llm.op2 import bins, best_fit, cross, evolve, op2_best_fit_packing, pack, plan_bins, slots
+from graphloom.llm.op2 import bins, best_fit, cross, evolve, fit_in, op2_best_fit_packing, pack, plan_bins, slots
 
 CAP = 2048
 
@@ -68,3 +68,41 @@ def test_plans_use_every_piece_once(spark):
     assert used(best) == counts and bins(best) <= bins(a)
     assert bins(evolve([], counts, CAP, 1, 2)[0]) <= bins(a)
     assert slots(best)[:, 0].tolist() == sorted(slots(best)[:, 0])
+
+
+def triplets(n, seed):
+    """Pieces that fill n sequences by threes, and hardly any other way."""
+    rng, counts = random.Random(seed), {}
+    for _ in range(n):
+        a, b = rng.randrange(CAP // 4 + 20, CAP // 2 - 100), rng.randrange(CAP // 4 + 20, CAP // 2 - 100)
+        for s in (a, b, CAP - a - b):
+            counts[s] = counts.get(s, 0) + 1
+    return counts
+
+
+def test_evolution_wins_sequences_where_best_fit_alone_cannot(spark):
+    for n in (40, 120):
+        counts = triplets(n, n)
+        greedy = bins(best_fit(counts, CAP))
+        first = bins(evolve([], counts, CAP, 0, 0)[0])  # a population without generations
+        best = plan_bins(spark, counts)
+        assert n <= bins(best) < first <= greedy
+        used = defaultdict(int)
+        for p, k in best:
+            assert sum(p) <= CAP
+            for s in p:
+                used[s] += k
+        assert used == counts
+
+
+def test_migration_brings_the_elite(spark):
+    counts = triplets(60, 4)
+    good = plan_bins(spark, counts)
+    poor = evolve([], counts, CAP, 9, 0)
+    assert bins(good) < bins(poor[0]) and bins(evolve([*poor, good], counts, CAP, 9, 1)[0]) <= bins(good)
+
+
+def test_displaced_pieces_take_the_tightest_room():
+    left = {100: 3, 60: 1, 900: 1}
+    plan = fit_in([((CAP - 120,), 2), ((CAP - 100,), 1), ((CAP - 500, 300), 1)], left, CAP)
+    assert sorted(plan) == sorted([((CAP - 100, 100), 1), ((CAP - 120, 100), 2), ((CAP - 500, 300, 60), 1)]) and left == {100: 0, 60: 0, 900: 1}
