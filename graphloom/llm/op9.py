@@ -1,8 +1,9 @@
 """Personal data by weak supervision. DataFrame and SQL functions only.
 
-Candidates of every kind are voted on by labelers: the regex labeler (does the kind's own check hold), a gazetteer
-(known domains, card prefixes, calling codes, private networks), a context labeler (cue words before the
-span) and a boundary labeler. Votes are 1, -1 or 0 (abstains). Expectation-maximisation estimates per kind how
+Candidates of every kind are voted on by labelers: the regex labeler (does the kind's own check hold; for other forms
+the check of their number plan, or of an account number's remainder), a gazetteer (top-level domains, reserved networks, card
+prefixes, calling codes, countries of account numbers and their lengths, numbers that are published examples), a context
+labeler (cue words before the span) and a boundary labeler. Votes are 1, -1 or 0 (abstains). Expectation-maximisation estimates per kind how
 often each labeler is right; it needs only how often each pattern of votes occurs, a table of at most
 kinds x 3^labelers rows, whatever the corpus. Its posteriors then train the final span classifier, naive Bayes over
 bounded features of the span (kind, votes, length, digits, separators), again from sums by feature value.
@@ -11,8 +12,9 @@ Spans of the four base kinds that pass their checks always stay. The method adds
 (national phone numbers, social security forms, account numbers, and base forms that failed their check) that the
 classifier takes for personal data and that overlap no base span.
 
-Defined results: null text is empty text without spans; rows that repeat id and text each get the same result;
-extra columns are ignored; an empty table gives an empty result.
+Defined results: null text is empty text without spans; a null id stays null; rows that repeat id and text each get the same
+result, rows that share an id with other texts each their own; spans that two forms share are listed once; texts of any length
+are taken whole, in time that grows with their length; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-OTHER = r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}[A-Z0-9]{0,3}"
+OTHER = r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3}(?![A-Za-z0-9]))?"
 KINDS = ("email", "ip", "card", "phone", "other")
 LABELERS = ("regex", "gazetteer", "context", "boundary")
 ROUNDS, PRIOR, THRESHOLD = 25, 0.5, 0.5
@@ -41,8 +43,21 @@ CUES = "mail|e-mail|email|contact|phone|tel|call|fax|mobile|reach|card|visa|cred
 AGAINST = "version|isbn|invoice|order|page|figure|chapter|section|total|price"
 CARD_PREFIX = "^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 CALLING = "^\\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
-LOCAL_NET = "^(10|127|192\\.168|172\\.(1[6-9]|2[0-9]|3[01])|0)\\."
-DOMAINS = "\\.(com|org|net|edu|gov|io|info|de|fr|es|uk|it|nl|eu)$"
+RESERVED_NET = "^(0|10|127|169\\.254|172\\.(1[6-9]|2[0-9]|3[01])|192\\.0\\.[02]|192\\.168|198\\.(1[89]|51\\.100)|203\\.0\\.113|22[4-9]|23[0-9]|24[0-9]|25[0-5])\\."
+TOP_DOMAINS = (
+    "com org net edu gov mil int info biz name pro coop aero museum mobi jobs travel cat tel asia post app dev online site shop store blog cloud email tech xyz "
+    "ac ae ar at au be bg br ca ch cl cn co cr cy cz de dk ec ee eg es eu fi fr gr hk hr hu id ie il in io ir is it jp ke kr lt lu lv ma me mx my ng nl no nz pe ph pk pl pt ro rs ru sa se sg si sk th tn tr tv tw ua uk us uy ve vn za"
+).split()
+#: Length of account numbers by country.
+IBAN = dict(
+    x.split(":") for x in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 "
+        "JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+    ).split()
+)
+#: Social security numbers that are published examples, and the lines kept for fiction.
+EXAMPLES, FICTION = "078-05-1120|219-09-9999|457-55-5462", "55501[0-9]{2}$"
+COUNTRY, SOCIAL, PLAN = "^[A-Z]{2}[0-9]{2}", "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "^[2-9][0-8][0-9][2-9][0-9]{6}$"
 
 
 def _digits(x: str) -> str:
@@ -64,6 +79,19 @@ CHECKS = (
 )
 
 
+def _remainder(x: str) -> str:
+    """SQL of an account number's remainder by 97, with its first four signs moved to the end and letters as numbers."""
+    v = f"replace({x}, ' ', '')"
+    return f"aggregate(split(concat(substr({v}, 5), left({v}, 4)), ''), 0, (a, c) -> CASE WHEN c RLIKE '[0-9]' THEN (a * 10 + CAST(c AS INT)) % 97 WHEN c = '' THEN a ELSE (a * 100 + ascii(c) - 55) % 97 END)"
+
+
+#: SQL: whether another form can be what it looks like by its own rules, and what the gazetteer says of it.
+OTHER_HOLDS = f"""CASE WHEN x.v RLIKE {quoted(COUNTRY)} THEN {_remainder('x.v')} = 1
+    WHEN x.v RLIKE {quoted(SOCIAL)} THEN NOT (x.v RLIKE '^(000|666|9)' OR substr(x.v, 5, 2) = '00' OR right(x.v, 4) = '0000') ELSE {_digits('x.v')} RLIKE {quoted(PLAN)} END"""
+OTHER_KNOWN = f"""CASE WHEN x.v RLIKE {quoted(COUNTRY)} THEN IF(element_at(map({', '.join(f"'{k}', {n}" for k, n in IBAN.items())}), left(x.v, 2)) <=> length(replace(x.v, ' ', '')), 1, -1)
+    WHEN x.v RLIKE {quoted(SOCIAL)} THEN IF(x.v RLIKE {quoted(EXAMPLES)}, -1, 0) ELSE IF({_digits('x.v')} RLIKE {quoted(FICTION)}, -1, 0) END"""
+
+
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"coalesce(CAST({text_col} AS STRING), '')").alias("text"))
     found = found.select("doc_id", F.xxhash64("text").alias("key"), *[spans("text", p).alias(k) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE, OTHER), strict=True)])
@@ -78,13 +106,14 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def voted(each: DataFrame) -> DataFrame:
     """A vote of each labeler on the candidate ``x``."""
     sign = lambda yes, no="false": f"CASE WHEN {yes} THEN 1 WHEN {no} THEN -1 ELSE 0 END"
-    gazetteer = f"""CASE x.k WHEN 0 THEN {sign(f"x.v RLIKE {quoted(DOMAINS)}")}
-        WHEN 1 THEN {sign("false", f"x.v RLIKE {quoted(LOCAL_NET)}")}
+    top = "array(" + ",".join(f"'{d}'" for d in TOP_DOMAINS) + ")"
+    gazetteer = f"""CASE x.k WHEN 0 THEN {sign(f"array_contains({top}, lower(substring_index(x.v, '.', -1)))", "true")}
+        WHEN 1 THEN {sign(f"NOT x.v RLIKE {quoted(RESERVED_NET)}", "true")}
         WHEN 2 THEN {sign(f"{_digits('x.v')} RLIKE {quoted(CARD_PREFIX)}", "true")}
-        WHEN 3 THEN {sign(f"x.v RLIKE {quoted(CALLING)}", "true")} ELSE 0 END"""
+        WHEN 3 THEN {sign(f"x.v RLIKE {quoted(CALLING)}", "true")} ELSE {OTHER_KNOWN} END"""
     return each.select(
         "*",
-        F.expr(f"CASE WHEN x.ok THEN 1 WHEN x.k = 4 THEN 0 ELSE -1 END").alias("regex"),
+        F.expr(f"CASE WHEN x.ok THEN 1 WHEN x.k = 4 AND ({OTHER_HOLDS}) THEN 1 ELSE -1 END").alias("regex"),
         F.expr(gazetteer).alias("gazetteer"),
         F.expr(sign(f"x.before RLIKE {quoted(f'(^|[^a-z])({CUES})[^a-z]')}", f"x.before RLIKE {quoted(f'(^|[^a-z])({AGAINST})[^a-z]')}")).alias("context"),
         F.expr(sign("NOT (x.before RLIKE '[a-z0-9]$' OR x.after RLIKE '^[A-Za-z0-9]')", "true")).alias("boundary"),
@@ -117,6 +146,7 @@ FEATURES = {
     "kind": "CAST(x.k AS STRING)",
     "length": "concat(x.k, ':', least(length(x.v), 40) div 3)",
     "digits": f"concat(x.k, ':', least(length({_digits('x.v')}), 20))",
+    "form": f"concat(x.k, ':', CASE WHEN x.v RLIKE {quoted(COUNTRY)} THEN 'a' WHEN x.v RLIKE {quoted(SOCIAL)} THEN 's' ELSE 'n' END, ':', regex)",
     "separators": "concat(x.k, ':', least(length(regexp_replace(x.v, '[A-Za-z0-9]', '')), 8))",
     "votes": "concat_ws(':', x.k, regex, gazetteer, context, boundary)",
 }
@@ -138,7 +168,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     soft = _map({":".join(map(str, (k, *v))): p for (k, v), p in posterior.items()}, PRIOR, FEATURES["votes"])
     features = F.expr("array(" + ", ".join(f"concat('{n}=', {e})" for n, e in FEATURES.items()) + ")")
     weighed = votes.select(F.expr(soft).alias("p"), F.explode(features).alias("f"))
-    # feature values are bounded: kinds x (14 + 21 + 9 + 81) + kinds
+    # feature values are bounded: kinds x (14 + 21 + 9 + 81 + 6) + kinds
     sums = {r.f: (r.yes, r.no) for r in weighed.groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()}
     yes, no = (sum(s[i] for f, s in sums.items() if f.startswith("kind=")) + 1 for i in (0, 1))
     score = {f: math.log((a + 0.5) / (yes + 1)) - math.log((b + 0.5) / (no + 1)) for f, (a, b) in sums.items()}
