@@ -43,7 +43,7 @@ from .words import U, Words, grams
 SHINGLE, OVERLAP, SHARE, K1, B = 5, 0.8, 0.5, 1.2, 0.75
 BLOCK, INDEX_BYTES = 16, 8 << 20
 #: Words of the items of the first class, and list entries that a step looks at.
-CLASS, STEP = 64, 1 << 20
+CLASS, STEP = 64, 1 << 18
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passages int"
 
 
@@ -139,12 +139,12 @@ def retrieve(index: Postings, window: np.ndarray, tid: np.ndarray, share: float)
     keep = np.add.reduceat(index.most[tid], heads) >= least
     inside = np.repeat(keep, size)
     window, tid, size = window[inside], tid[inside], size[keep]
-    ends = np.cumsum(size)
+    ends, spread = np.cumsum(size), np.cumsum(index.lists[tid])
     lo = 0
     while lo < len(size):  # some windows a step, so that what their lists spread to stays bounded
         a = int(ends[lo] - size[lo])
-        spread = np.cumsum(index.lists[tid[a:]])
-        hi = max(lo + 1, int(np.searchsorted(ends, a + np.searchsorted(spread, STEP, side="right"), side="right")))
+        most = int(np.searchsorted(spread, (spread[a - 1] if a else 0) + STEP, side="right"))
+        hi = min(max(lo + 1, int(np.searchsorted(ends, most, side="right"))), lo + max(1, STEP // index.blocks))
         b = int(ends[hi - 1])
         out += _retrieved(index, window[a:b], tid[a:b], size[lo:hi], least)
         lo = hi
@@ -159,24 +159,43 @@ def _retrieved(index: Postings, window, tid, size, least) -> list[tuple[int, int
     below = np.cumsum(index.most[tid])
     below = below - np.repeat((below - index.most[tid])[first], size)
     lead = below >= least  # all terms before the pivot together stay under the threshold
-    place, run = _spread(index.first[tid[lead]], index.lists[tid[lead]])
-    pair = np.unique(n[lead][run] * index.blocks + index.key[place] % index.blocks)
-    own, block = pair // index.blocks, pair % index.blocks
-    # every term of the window in every block that is left
-    term, which = _spread(first[own], size[own])
-    entry = index.entries(tid[term], block[which])
-    there = entry >= 0
-    entry, which = entry[there], which[there]
-    good = np.bincount(which, weights=index.top[entry], minlength=len(pair)) >= least
-    entry, which = entry[good[which]], which[good[which]]
+    width = len(size) * index.blocks
+
+    def listed(term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and block of each entry of these terms' lists, and the entry."""
+        entry, run = _spread(index.first[tid[term]], index.lists[tid[term]])
+        return n[term][run] * index.blocks + index.key[entry] % index.blocks, entry
+
+    at, entry = listed(np.flatnonzero(lead))
+    touched = np.zeros(width, bool)
+    touched[at] = True
+    # the other terms count in these blocks only: by their lists, or block by block where that is less
+    left = touched.reshape(len(size), -1).sum(1)
+    short = index.lists[tid] <= 8 * left[n]
+    more = [(at, entry), listed(np.flatnonzero(~lead & short))]
+    rest = np.flatnonzero(~lead & ~short)
+    if len(rest):
+        pair = np.flatnonzero(touched)
+        of = np.searchsorted(n[rest], np.arange(len(size) + 1))
+        term, which = _spread(of[:-1][pair // index.blocks], np.diff(of)[pair // index.blocks])
+        entry = index.entries(tid[rest[term]], pair[which] % index.blocks)
+        more.append((pair[which[entry >= 0]], entry[entry >= 0]))
+    at, entry = (np.concatenate(x) for x in zip(*more, strict=True))
+    good = touched & (np.bincount(at, weights=index.top[entry], minlength=width) >= least)
+    keep = good[at]
+    at, entry = at[keep], entry[keep]
     place, run = _spread(index.at[entry], index.end[entry] - index.at[entry])
     if not len(place):
         return []
-    width = int(index.item.max()) + 1
-    key, at = np.unique(own[which[run]] * width + index.item[place], return_inverse=True)
-    score = np.bincount(at, weights=index.impact[place])
+    own = at[run] // index.blocks
+    items = int(index.item.max()) + 1
+    key = own * items + index.item[place]
+    order = np.argsort(key, kind="stable")
+    key, impact = key[order], index.impact[place][order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    key, score = key[head], np.add.reduceat(impact, head)
     hit = score >= least
-    return [(int(w), int(i), float(s)) for w, i, s in zip(window[first[key[hit] // width]], key[hit] % width, score[hit], strict=True)]
+    return [(int(w), int(i), float(s)) for w, i, s in zip(window[first[key[hit] // items]], key[hit] % items, score[hit], strict=True)]
 
 
 def found_in(index: Index, column: pa.Array, overlap: float, share: float) -> dict[tuple[int, int], list]:
