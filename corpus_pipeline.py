@@ -1,5 +1,9 @@
 """The corpus pipeline: toxic documents go, one document of each group of near copies stays, leaking documents go,
-owner-specific secrets are starred out, and what is left is packed into sequences."""
+owner-specific secrets are starred out, and what is left is packed into sequences.
+
+Every stage but the last returns the columns of its documents, takes texts of any length whole, and leaves further columns, also
+with clashing names, as they are; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,11 @@ from graphloom.llm.op8 import masked
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. The model is learned on these documents and the labels table."""
+    """Documents that score below the threshold. The model is learned on these documents and the labels table.
+
+    Null and empty texts score as texts without words; rows without an id, and rows that share one, are scored each by
+    itself; rows that repeat stay or go together; a score equal to the threshold goes.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs.columns, "_toxicity")
     return with_scores(docs, model, name=score).filter(F.col(score) < THRESHOLD).select(docs.columns)
@@ -24,7 +32,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle similarity 0.8 or more: the one of least id.
 
-    Rows without an id stay; rows that share an id are one document and stay or go together.
+    Null and empty texts are like nothing and stay; rows without an id stay; rows that share an id are one document and stay or
+    go together.
     """
     keep = jaccard_components(docs, k=5, num=80, den=100).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(keep.hint("merge"), "doc_id", "left_semi").select(docs.columns)
@@ -32,17 +41,29 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
+    """Documents in which no benchmark item leaks.
+
+    Null and empty texts hold no item and stay; rows without an id, and rows that share one, are searched each by itself; rows that
+    repeat stay or go together; an overlap equal to the least one counts.
+    """
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, owner-specific secrets starred out."""
+    """All documents, owner-specific secrets starred out.
+
+    Null texts stay null; rows without an id, and rows that share one, are starred by their own texts; rows that repeat are starred
+    alike; a value that as many owners as allowed hold is still owner-specific.
+    """
     return masked(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences.
+
+    Null and empty texts are one piece that holds the end token; rows without an id, and rows that share one or repeat, have
+    pieces of their own; which of several equal pieces takes which place is left open.
+    """
     return pack(docs)
 
 
