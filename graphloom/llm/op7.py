@@ -463,8 +463,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         weight = F.greatest(F.lit(LEAST), 2 * FINE * F.col("n"))
         tiles = left.join(at.select("sid", weight.alias("w")).hint("merge"), "sid").groupBy("gid").agg(F.ceil(F.sum("w") / TILE).cast("int").alias("tiles"))
         tiles = materialize(tiles, "op7-tiles")
-        tiled = left.join(at.select("sid", "n", "point").hint("merge"), "sid").join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
-        tiled = tiled.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
+        tiled = left.join(tiles.hint("merge"), "gid").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
+        # points come last, so that tiles of one group are dealt to different tasks and points move once
+        tiled = tiled.join(at.select("sid", "n", "point").hint("merge"), "sid").select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "point", "comp", "own")
         found = materialize(tiled.groupBy("gid", "i", "j").applyInArrow(_searched(num, den), "a long, b long").distinct(), "op7-found")
         discard(left, tiles)
         pairs = found
@@ -505,11 +506,13 @@ def _link_counts(root: DataFrame, classes: DataFrame, blobs: DataFrame, k: int,
     Components of one tile share buckets; larger ones go to a task for each pair of tiles.
     """
     sid = classes.select(F.col("s1").alias("sid"), "rep", "n_copies").join(root.hint("merge"), "rep").select("sid", "n_copies", "root")
-    member = materialize(sid.join(blobs.hint("merge"), "sid"), "op7-linked")
-    tiles = member.groupBy("root").agg(F.ceil(F.greatest(F.sum(F.length("blob")) / LINK_BYTES, F.count(F.lit(1)) / LINK_SETS)).cast("int").alias("tiles"))
+    member = materialize(sid.join(blobs.select("sid", F.length("blob").alias("w")).hint("merge"), "sid"), "op7-linked")
+    tiles = member.groupBy("root").agg(F.ceil(F.greatest(F.sum("w") / LINK_BYTES, F.count(F.lit(1)) / LINK_SETS)).cast("int").alias("tiles"))
     tiles = materialize(tiles, "op7-link-tiles")
     tiled = member.join(tiles.hint("merge"), "root").withColumn("own", F.expr("CAST(pmod(xxhash64(sid), tiles) AS INT)")).withColumn("other", F.expr("explode(sequence(0, tiles - 1))"))
-    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n_copies", "own", "blob", F.when(F.col("tiles") > 1, F.col("root")).otherwise(F.expr(f"pmod(xxhash64(root), {8 * sent})")).alias("bucket"), (F.col("tiles") > 1).alias("large"))
+    bucket = F.when(F.col("tiles") > 1, F.col("root")).otherwise(F.expr(f"pmod(xxhash64(root), {8 * sent})"))
+    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n_copies", "own", bucket.alias("bucket"), (F.col("tiles") > 1).alias("large"))
+    tiled = tiled.join(blobs.hint("merge"), "sid")
     counted = tiled.groupBy("large", "bucket", "i", "j").applyInArrow(_counted(k, num, den), "sid long, linked long")
     return materialize(counted.groupBy("sid").agg(F.sum("linked").alias("linked")), "op7-counts")
 
