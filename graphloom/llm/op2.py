@@ -36,7 +36,7 @@ from .common import materialize, steps, text_batches
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and the sum of their lengths.
 CACHE_WORDS, CACHE_CHARS = 700_000, 12_000_000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 6, 8, 8
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 6, 5, 6
 #: Fill from which on a bin is well-filled.
 WELL = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -288,8 +288,10 @@ def plan_bins(spark, counts: dict[int, int], capacity: int = CAPACITY):
         got = {r.island: pickle.loads(r.population) for r in islands.mapInArrow(run, "island int, population binary").collect()}
         elites = [got[i][0] for i in range(ISLANDS)]
         best = max([*elites, *([best] if best else [])], key=lambda p: fitness(p, capacity))
-        if bins(best) <= least:
+        # an optimum, or an epoch after the first that won nothing
+        if bins(best) <= least or epoch and bins(best) == before:
             break
+        before = bins(best)
         state = [(i, pickle.dumps([*got[i][: POPULATION - 1], elites[i - 1]])) for i in range(ISLANDS)]
     return best
 
