@@ -82,19 +82,19 @@ def indexstore_roles_filter(spark, sf):
 
 @query("WITH " + SRC + " SELECT DISTINCT path, 'Kit' || g AS module, 1 AS line FROM fs")
 def extract_imports(spark, sf):
-    return _parsed(spark, sf).select("path", F.explode("imports").alias("x")).select("path", "x.module", F.col("x.lineNo").alias("line"))
+    return X.each(_parsed(spark, sf), "imports", "path").select("path", "x.module", F.col("x.lineNo").alias("line"))
 
 
 @query("""WITH f AS (SELECT DISTINCT replace(p_brand, 'Brand#', '') AS g FROM part) SELECT 'app/Modules/M' || g || '/Brand' || g || '.swift' AS path, 'Brand' || g AS name, 'class' AS kind, 2 AS "lineStart", 52 AS "lineEnd", true AS "isPublic", 'Base' AS inherits, 'Loading' AS implements FROM f""")
 def extract_classes(spark, sf):
-    k = _parsed(spark, sf).select("path", F.explode("classes").alias("x"))
+    k = X.each(_parsed(spark, sf), "classes", "path")
     return k.select("path", "x.name", "x.kind", "x.lineStart", "x.lineEnd", "x.isPublic", F.array_join("x.inherits", ",").alias("inherits"), F.array_join("x.implements", ",").alias("implements"))
 
 
 @query("WITH " + SRC + """ SELECT path, q AS "qualifiedName", a::INT AS "lineStart", b::INT AS "lineEnd", isPublic AS "isPublic", size % 2 = 0 AS "isStatic",
     CASE WHEN isPublic THEN 'public ' ELSE '' END || CASE WHEN size % 2 = 0 THEN 'static ' ELSE '' END || 'func f' || pk || '(' AS signature FROM fs""")
 def extract_functions(spark, sf):
-    return _parsed(spark, sf).select("path", F.explode("functions").alias("x")).select("path", *[f"x.{c}" for c in ("qualifiedName", "lineStart", "lineEnd", "isPublic", "isStatic", "signature")])
+    return X.each(_parsed(spark, sf), "functions", "path").select("path", *[f"x.{c}" for c in ("qualifiedName", "lineStart", "lineEnd", "isPublic", "isStatic", "signature")])
 
 
 @query("WITH " + SRC + " SELECT path, q AS caller, callee, receiver, line::INT AS line, 70 AS confidence FROM cs")
@@ -105,7 +105,7 @@ def extract_calls(spark, sf):
 
 @query("WITH " + SRC + " SELECT q AS id, domain || ',b' || g AS terms FROM fs")
 def annotation_terms(spark, sf):
-    return _parsed(spark, sf).select(F.explode("functions").alias("x")).select(F.col("x.qualifiedName").alias("id"), F.array_join("x.cigTerms", ",").alias("terms"))
+    return X.each(_parsed(spark, sf), "functions").select(F.col("x.qualifiedName").alias("id"), F.array_join("x.cigTerms", ",").alias("terms"))
 
 
 @query("WITH " + FN + " SELECT id, lineStart, (coalesce(lead(lineStart) OVER (PARTITION BY filePath ORDER BY lineStart) - 1, max(lineEnd) OVER (PARTITION BY filePath)))::INT AS lineEnd FROM fn")
@@ -615,7 +615,7 @@ def incremental_equals_full(spark, sf):
 
     old = D.sources(spark, sf)
     first, last = old.agg(F.min("path"), F.max("path")).first()
-    name = _parsed(spark, sf).filter(F.col("path") == first).select(F.explode("functions.name").alias("n")).agg(F.min(F.substring("n", 2, 20).cast("long"))).first()[0]
+    name = X.each(_parsed(spark, sf).filter(F.col("path") == first), "functions.name", name="n").agg(F.min(F.substring("n", 2, 20).cast("long"))).first()[0]
     new = old.filter(F.col("path") == first).withColumn("source", F.regexp_replace("source", f"(?<![A-Za-z0-9])f{name}\\(", f"gf{name}("))
     now = old.filter(~F.col("path").isin(first, last)).unionByName(new)
     at = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
