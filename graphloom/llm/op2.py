@@ -36,6 +36,8 @@ from .common import materialize, steps, text_batches
 CAPACITY = 2048
 #: Words whose ids a worker keeps, and the sum of their lengths.
 CACHE_WORDS, CACHE_CHARS = 700_000, 12_000_000
+#: Bytes of text whose words are listed at once.
+STEP = 1 << 20
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4, 6, 5, 6
 #: Fill from which on a bin is well-filled.
 WELL = 0.98
@@ -116,7 +118,7 @@ def _pieces(path: str, capacity: int, end: int):
 
         part, seen, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), Encoder(path)
         last = np.array([end], "<u4").tobytes()
-        for b in steps(batches):
+        for b in steps(batches, limit=STEP):
             out = [[] for _ in range(7)]
             docs = b.column("doc_id").to_pylist()
             for d, ids in zip(docs, encoder.ids([t or "" for t in b.column("text").to_pylist()]), strict=True):
@@ -197,19 +199,23 @@ def fit_in(plan: list, left: dict[int, int], capacity: int) -> list:
         while left[size] and (at := bisect.bisect_left(order, size)) < len(order):
             room = order[at]
             pattern, times = next(iter(rooms[room].items()))
-            n = min(times, left[size])
+            # what a piece leaves is the tightest room for the next one of its length: a bin takes all that fit
+            each = min(room // size, left[size])
+            n = min(times, left[size] // each)
             if n == times:
                 del rooms[room][pattern]
                 if not rooms[room]:
                     del rooms[room], order[at]
             else:
                 rooms[room][pattern] = times - n
-            new = tuple(sorted((*pattern, size), reverse=True))
-            if room - size not in rooms:
-                rooms[room - size] = {}
-                bisect.insort(order, room - size)
-            rooms[room - size][new] = rooms[room - size].get(new, 0) + n
-            left[size] -= n
+            cut = bisect.bisect_left(pattern, -size, key=lambda s: -s)
+            new = (*pattern[:cut], *[size] * each, *pattern[cut:])
+            if room - each * size not in rooms:
+                rooms[room - each * size] = {}
+                bisect.insort(order, room - each * size)
+            own = rooms[room - each * size]
+            own[new] = own.get(new, 0) + n
+            left[size] -= n * each
     return [(p, n) for room in order for p, n in rooms[room].items()]
 
 
