@@ -480,21 +480,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = searched(first, scout)
     starred = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
     second = materialize(connected(starred.unionByName(some)), "op7-second")
-    more = materialize(some.unionByName(searched(second, f"NOT {scout}")), "op7-links")
+    rest = searched(second, f"NOT {scout}")
 
     # rows that share an id are one document, whatever their texts
     again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id")
     again = named.select("doc_id", "s1", "s2", "n").join(again.hint("merge"), "doc_id").join(classes.select("s1", "s2", "n", "rep").hint("merge"), ["s1", "s2", "n"])
-    edges = starred.unionByName(more).unionByName(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    # what the components known so far are made of need not be joined up again
+    edges = second.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest).unionByName(again.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     root = materialize(connected(edges).withColumnRenamed("node", "rep"), "op7-roots")
     told = classes.select("s1", "s2", "n", "rep", "n_copies").join(root.hint("merge"), "rep", "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("least"), "n_copies")
     extra = []
     if links:
-        alone = stars.unionByName(more).filter("a = b").select(F.col("a").alias("rep"), F.col("a").alias("root"))
+        alone = stars.unionByName(some).unionByName(rest).filter("a = b").select(F.col("a").alias("rep"), F.col("a").alias("root"))
         told = told.join(_link_counts(root.unionByName(alone).groupBy("rep").agg(F.min("root").alias("root")), classes, blobs, k, num, den, sent).withColumnRenamed("sid", "s1").hint("merge"), "s1", "left")
         linked = F.coalesce("linked", F.lit(0)) + F.coalesce("n_copies", F.lit(1)) - 1
         extra = [F.when(F.col("doc_id").isNotNull(), linked).otherwise(0).cast("long").alias("n_links")]
-    discard(groups, needed, blobs, stars, some, second, more)
+    discard(groups, needed, blobs, stars, some, second, rest)
     rows = sets.drop("point").join(told.hint("merge"), ["s1", "s2", "n"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), *extra)
