@@ -292,37 +292,87 @@ def _guess(mode: int, left, top, right, corner):
     return np.broadcast_to(np.array([255, 0, 0, 0]), left.shape)
 
 
-#: Modes that look at the row above alone, which whole rows are undone by at once.
-ABOVE = {0, 2, 3, 4, 8, 9}
+HALF = np.uint32(0xFEFEFEFE)
+
+
+def plus(a, b):
+    """The sum of pixels, channel by channel."""
+    return (np.ascontiguousarray(a).view(np.uint8) + np.ascontiguousarray(b).view(np.uint8)).view(np.uint32)
+
+
+def minus(a, b):
+    return (np.ascontiguousarray(a).view(np.uint8) - np.ascontiguousarray(b).view(np.uint8)).view(np.uint32)
+
+
+def mean(a, b):
+    return (a & b) + (((a ^ b) & HALF) >> np.uint32(1))
+
+
+def apart(x):
+    return np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 4).astype(np.int16)
+
+
+def packed(c):
+    return np.ascontiguousarray(c.astype(np.uint8)).view(np.uint32)[..., 0]
+
+
+def guess(mode: int, left, top, right, corner):
+    """The prediction of a mode from the neighbours left, above, above right and above left."""
+    if mode in (1, 2, 3, 4):
+        return (left, top, right, corner)[mode - 1]
+    if mode == 5:
+        return mean(mean(left, right), top)
+    if mode == 10:
+        return mean(mean(left, corner), mean(top, right))
+    if mode in (6, 7, 8, 9):
+        return mean(*((left, corner), (left, top), (corner, top), (top, right))[mode - 6])
+    if mode == 11:
+        a, b, c = apart(left), apart(top), apart(corner)
+        return np.where(np.abs(b - c).sum(-1) < np.abs(a - c).sum(-1), left, top)
+    if mode == 12:
+        return packed(np.clip(apart(left) + apart(top) - apart(corner), 0, 255))
+    if mode == 13:
+        a = apart(mean(left, top))
+        d = a - apart(corner)
+        return packed(np.clip(a + (d + (d < 0) >> 1), 0, 255))
+    return np.full_like(left, BLACK)
+
+
+def unpredict(x: np.ndarray, y: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """Pixels from what predictors left. ``y`` numbers the rows of each image, ``modes`` has the blocks of each row. A pixel needs
+    its left one and three above, so rows run two pixels behind the row above, all images at once."""
+    w = x.shape[1]
+    x = np.ascontiguousarray(x, np.uint32).copy()
+    first = x[y == 0]
+    first[:, 0] += np.uint32(BLACK)
+    x[y == 0] = np.cumsum(first.view(np.uint8).reshape(-1, w, 4), 1, dtype=np.uint8).reshape(len(first), -1).view(np.uint32)
+    flat = x.ravel()
+    rows = np.flatnonzero(y > 0)
+    rows = rows[np.argsort(y[rows], kind="stable")]
+    late = 2 * (y[rows] - 1)
+    if not len(rows):
+        return x
+    for t in range(w + int(late[-1])):
+        i, j = np.searchsorted(late, [t - w, t], side="right")
+        r = rows[i:j]
+        at = t - late[i:j]
+        mode = np.where(at == 0, 2, modes[r, at >> shift])
+        p = r * w + at
+        order = np.argsort(mode.astype(np.uint8), kind="stable")
+        p, n = p[order], np.bincount(mode, minlength=16)
+        left, top, right, corner = flat[p - 1], flat[p - w], flat[p - w + 1], flat[p - w - 1]
+        new, a = np.empty(len(p), np.uint32), 0
+        for m in np.flatnonzero(n).tolist():
+            b = a + int(n[m])
+            new[a:b] = guess(m, left[a:b], top[a:b], right[a:b], corner[a:b])
+            a = b
+        flat[p] = plus(flat[p], new)
+    return x
 
 
 def _unpredict(x: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
-    h, w = x.shape
-    mode = (modes >> np.uint32(8) & np.uint32(15)).astype(np.int64)
-    c = np.stack([x >> np.uint32(s) & np.uint32(255) for s in (24, 16, 8, 0)], -1).astype(np.int16)
-    c[0, 0] = c[0, 0] + [255, 0, 0, 0] & 255
-    c[0] = np.cumsum(c[0], 0, dtype=np.int64) & 255
-    across = _spread(mode, shift, h, w) if h > 1 else mode
-    for y in range(1, h):
-        row, above, own = c[y], c[y - 1], mode[y >> shift]
-        row[0] = row[0] + above[0] & 255
-        used = set(own.tolist())
-        if used <= ABOVE | {1} and w > 1:
-            # what looks above: all at once; what looks left: a running sum from the pixel before each block
-            right = np.concatenate([above[2:], row[:1]])
-            each = across[y, 1:, None]
-            for m in sorted(used - {1}):
-                row[1:] = np.where(each == m, row[1:] + _guess(m, above[1:], above[1:], right, above[:-1]) & 255, row[1:])
-            if 1 in used:
-                for block in np.flatnonzero(own == 1).tolist():
-                    i, j = max(1, block << shift), min(w, (block + 1) << shift)
-                    if i < j:
-                        row[i:j] = np.cumsum(row[i - 1 : j], 0, dtype=np.int64)[1:] & 255
-            continue
-        for x0 in range(1, w):
-            right = above[x0 + 1] if x0 + 1 < w else row[0]
-            row[x0] = row[x0] + _guess(int(own[x0 >> shift]), row[x0 - 1], above[x0], right, above[x0 - 1]) & 255
-    return _joined(c)
+    y = np.arange(len(x))
+    return unpredict(x, y, (modes >> np.uint32(8) & np.uint32(15)).astype(np.int64)[y >> shift], shift)
 
 
 def _signed(x):
