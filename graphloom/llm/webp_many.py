@@ -2,8 +2,9 @@
 
 Images of one width lie below each other in one array. Every file gets each tool of the format that is not the palette:
 subtract-green, cross-colour with multipliers fitted by block, the best of the fourteen predictors by block, a colour cache,
-references at any distance and groups of codes by block. What a file holds depends on its own image alone. The decoder walks
-all streams in step, a pixel of each at a time, and the last ones alone; files with a palette are read by ``webp.decode``.
+references at any distance, and an image of groups of codes, which names two where two shorten the file. What a file holds
+depends on its own image alone. The decoder walks all streams in step, a pixel of each at a time, and the last ones alone; files
+with a palette are read by ``webp.decode``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ LONGEST = 12
 CHUNK = 128
 EVEN = np.uint32(0x00FF00FF)
 #: Images and pixels that are written together (one image may have up to 2^21 pixels), and those that are read together.
-MOST, PIXELS, READ_MOST, READ_PIXELS = 2048, 1 << 20, 1 << 13, 6 << 20
+MOST, PIXELS, READ_MOST, READ_PIXELS = 2048, 1 << 18, 1 << 13, 6 << 20
 #: When so few streams have pixels left, they are read one by one.
 FEW = 24
 
@@ -118,8 +119,7 @@ class Tables:
         if ((np.bincount(row, (1 << MAX_BITS) >> n, len(used)) != 1 << MAX_BITS) & (used > 1)).any():
             raise ValueError("a prefix code is not complete")
         n = np.where(lone, 0, n)
-        top = np.zeros(len(used), np.int64)
-        np.maximum.at(top, row, n)
+        top = n[np.flatnonzero(np.append(row[1:] != row[:-1], True))]  # the last of each row is the longest
         each, value = 1 << top, (col << 4 | n).astype(np.int32)
         start = np.zeros(len(used), np.int64)
         for k in np.unique(top).tolist():
@@ -496,28 +496,26 @@ class Walk:
         live, runs = np.arange(len(row)), []
         while True:
             go = (left > 0) & (place < limit)
-            if not go.all():
+            if 5 * np.count_nonzero(go) < 4 * len(go) or not go.any():
                 self.at[s[live]] = at
-                live, left, limit, place, before, at, start, mask = (v[go] for v in (live, left, limit, place, before, at, start, mask))
+                live, left, limit, place, before, at, start, mask, go = (v[go] for v in (live, left, limit, place, before, at, start, mask, go))
                 if not len(live):
                     break
             w = self.look(at)
             e = table[start + (w & mask)]
             symbol, size = e >> 4, e & 15
-            times = np.ones(len(live), np.int64)
+            times = go.astype(np.int64)
             q = np.flatnonzero(symbol > 15)
             if len(q):
                 kind = symbol[q] - 16
                 more = np.array([2, 3, 7])[kind]
-                times[q] = (w[q] >> size[q] & ((1 << more) - 1)) + np.array([3, 3, 11])[kind]
+                times[q] *= (w[q] >> size[q] & ((1 << more) - 1)) + np.array([3, 3, 11])[kind]
                 size[q] += more
                 symbol[q] = np.where(kind == 0, before[q], 0)
-            new = symbol > 0
+            new = np.flatnonzero((symbol > 0) & go)
             runs.append((live[new], place[new], times[new], symbol[new]))
-            q = q[symbol[q] == 0] if len(q) else q
-            plain = new.copy()
-            before = np.where(plain, symbol, before)
-            at = at + size
+            before = np.where(symbol > 0, symbol, before)
+            at = at + size * go
             place = place + times
             left = left - 1
         live, place, times, symbol = (np.concatenate(v) for v in zip(*runs, strict=True))
@@ -696,20 +694,19 @@ class Walk:
 
 def decode(files: list[bytes]) -> list[np.ndarray]:
     """Pixels of each file."""
-    out, many = [None] * len(files), {}
+    out, many, rows = [None] * len(files), {}, {}
     for i, f in enumerate(files):
         if f[:4] != b"RIFF" or f[8:16] != b"WEBPVP8L" or f[20] != 0x2F:
             raise ValueError("not a lossless WebP file")
         size = int.from_bytes(f[21:25], "little")
         w, h = (size & 0x3FFF) + 1, (size >> 14 & 0x3FFF) + 1
-        some, size = many.get(w, [((), 0)])[-1]
-        if not some or len(some) == READ_MOST or size + w * h > READ_PIXELS:
-            some, size = [], 0
-            many.setdefault(w, []).append((some, size))
-        some.append((i, h))
-        many[w][-1] = some, size + w * h
+        lists = many.setdefault(w, [[]])
+        if len(lists[-1]) == READ_MOST or lists[-1] and (rows[w] + h) * w > READ_PIXELS:
+            lists.append([])
+        rows[w] = h + (rows[w] if lists[-1] else 0)
+        lists[-1].append((i, h))
     for w, lists in many.items():
-        for some, _ in lists:
+        for some in lists:
             for i, image in _decode([files[i] for i, _ in some], w, np.array([h for _, h in some])).items():
                 out[some[i][0]] = image
     return [webp.decode(f) if image is None else image for f, image in zip(files, out, strict=True)]
