@@ -3,8 +3,9 @@
 A text's UTF-8 bytes, filled with 255 to a positive multiple of 576, become the red, green and blue samples of images 192 pixels
 wide. Every text is written with all tools of the format but the palette, and read back through them: subtract-green,
 cross-colour and predictors by block, each fitted to the text, a colour cache, references at any distance and groups of codes
-where two shorten the file. An image of one row and at most 16 byte values gets a packed palette, a colour cache and groups of codes instead. Images hold at
-most ``ROWS`` rows; longer texts give several files one after another. Bytes read back come from the decoded pixel arrays alone.
+where two shorten the file. An image of one row and at most 16 byte values gets a packed palette, a colour cache and groups of
+codes instead. Images hold at most ``ROWS`` rows; longer texts give several files one after another. Bytes read back come from
+the decoded pixel arrays alone.
 
 Defined results: null text is empty text (576 bytes of 255); equal texts give equal values; ids may be
 null or repeat; an empty table gives an empty result.

@@ -316,6 +316,14 @@ def packed(c):
     return np.ascontiguousarray(c.astype(np.uint8)).view(np.uint32)[..., 0]
 
 
+def distance(a, b):
+    """How far pixels are apart, over all channels."""
+    a, b = np.ascontiguousarray(a).view(np.uint8), np.ascontiguousarray(b).view(np.uint8)
+    d = (np.maximum(a, b) - np.minimum(a, b)).view(np.uint32)
+    d = (d & np.uint32(0x00FF00FF)) + (d >> np.uint32(8) & np.uint32(0x00FF00FF))
+    return (d & np.uint32(0xFFFF)) + (d >> np.uint32(16))
+
+
 def guess(mode: int, left, top, right, corner):
     """The prediction of a mode from the neighbours left, above, above right and above left."""
     if mode in (1, 2, 3, 4):
@@ -327,8 +335,7 @@ def guess(mode: int, left, top, right, corner):
     if mode in (6, 7, 8, 9):
         return mean(*((left, corner), (left, top), (corner, top), (top, right))[mode - 6])
     if mode == 11:
-        a, b, c = apart(left), apart(top), apart(corner)
-        return np.where(np.abs(b - c).sum(-1) < np.abs(a - c).sum(-1), left, top)
+        return np.where(distance(top, corner) < distance(left, corner), left, top)
     if mode == 12:
         return packed(np.clip(apart(left) + apart(top) - apart(corner), 0, 255))
     if mode == 13:

@@ -90,7 +90,7 @@ class Codes:
         self.row, self.col, self.n = row, col, n
 
     def bits(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = self.table[row * self.alphabet + col]
+        got = self.table.take(row * self.alphabet + col)
         return got >> 4, got & 15
 
 
@@ -127,7 +127,7 @@ class Tables:
             own, some = top == k, top[row] == k
             start[own] = self.size + (np.arange(int(own.sum())) << k)
             table = np.repeat(value[some], 1 << (k - n[some])).reshape(-1, 1 << k)
-            self.parts.append(table[:, MIRROR[: 1 << k] >> (MAX_BITS - k)].ravel())
+            self.parts.append(np.take(table, MIRROR[: 1 << k] >> (MAX_BITS - k), axis=1).ravel())
             self.size += table.size
         return np.stack([start, each - 1])
 
@@ -141,50 +141,36 @@ def predicted(x: np.ndarray, y: np.ndarray, blocks: np.ndarray) -> tuple[np.ndar
     """What the best predictor of each block leaves, the modes by row of blocks and their sums of distances from 0.
     ``blocks`` numbers the rows of blocks."""
     (h, w), n = x.shape, int(blocks[-1]) + 1
-    across = (w + (1 << SHIFT) - 1) >> SHIFT
-    cost, flat = np.zeros((14, n, across), np.int64), x.ravel()
     edge = np.arange(0, w, 1 << SHIFT)
-    head = np.concatenate([[0], x[:-1, -1]])  # what flat order has before each row
-
-    def around(i, j):
+    modes, least, out = np.zeros((n, len(edge)), np.int64), np.zeros((n, len(edge)), np.int64), np.empty_like(x)
+    ends = np.append(np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]), h)
+    tried = np.zeros((14, CHUNK, len(edge) << SHIFT), np.uint32)
+    i = 0
+    while i < h:  # whole rows of blocks
+        j = int(ends[np.searchsorted(ends, i + CHUNK, side="right") - 1])
         cur, up = x[i:j], x[max(i, 1) - 1 : j - 1]
         if i == 0:
             up = np.concatenate([x[:1], up])
-        left, corner = np.empty_like(cur), np.empty_like(cur)
-        left[:, 1:], left[:, 0] = cur[:, :-1], head[i:j]
-        corner[:, 1:], corner[:, 0] = up[:, :-1], up[:, 0]
-        right = np.concatenate([up[:, 1:], cur[:, :1]], 1)
-        return cur, left, up, right, corner
-
-    def borders(res, cur, left, up, i, j):
-        res[:, 0] = minus(cur[:, 0], up[:, 0])
-        top = np.flatnonzero(y[i:j] == 0)
-        res[top] = minus(cur[top], left[top])
-        res[top, 0] = cur[top, 0] - np.uint32(BLACK)
-        return res
-
-    for i in range(0, h, CHUNK):
-        j = min(h, i + CHUNK)
-        cur, left, up, right, corner = around(i, j)
-        own = blocks[i:j]
+        left, corner, right = np.roll(cur, 1, 1), np.roll(up, 1, 1), np.concatenate([up[:, 1:], cur[:, :1]], 1)
+        rows, top, own = j - i, np.flatnonzero(y[i:j] == 0), blocks[i:j]
         cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        side, first = minus(cur[:, 0], up[:, 0]), minus(cur[top], left[top])
+        first[:, 0] = cur[top, 0] - np.uint32(BLACK)
+        cost = np.empty((14, len(cut), len(edge)), np.int64)
         for m in range(14):
-            res = borders(minus(cur, guess(m, left, up, right, corner)), cur, left, up, i, j).view(np.uint8)
+            res = minus(cur, guess(m, left, up, right, corner))
+            res[:, 0], res[top] = side, first
+            tried[m, :rows, :w] = res
+            res = res.view(np.uint8)
             far = np.minimum(res, -res).view(np.uint32)
             far = np.add.reduceat((far & EVEN) + (far >> np.uint32(8) & EVEN), edge, axis=1)
-            cost[m, own[cut]] += np.add.reduceat(((far & 0xFFFF) + (far >> 16)).astype(np.int64), cut, axis=0)
-    modes = np.argmin(cost, 0)
-    out = np.empty_like(x)
-    for i in range(0, h, CHUNK):
-        j = min(h, i + CHUNK)
-        cur, left, up, right, corner = around(i, j)
-        each = np.repeat(modes[blocks[i:j]], 1 << SHIFT, 1)[:, :w]
-        res = np.empty_like(cur)
-        for m in np.unique(each).tolist():
-            where = np.nonzero(each == m)
-            res[where] = minus(cur[where], guess(m, left[where], up[where], right[where], corner[where]))
-        out[i:j] = borders(res, cur, left, up, i, j)
-    return out, modes, cost.min(0)
+            cost[m] = np.add.reduceat((far & 0xFFFF) + (far >> 16), cut, axis=0)
+        best = cost.argmin(0)
+        modes[own[cut]], least[own[cut]] = best, cost.min(0)
+        each = best[own - own[0]]
+        out[i:j] = tried.reshape(14, CHUNK, len(edge), -1)[each, np.arange(rows)[:, None], np.arange(len(edge))].reshape(rows, -1)[:, :w]
+        i = j
+    return out, modes, least
 
 
 # --- encoding ---------------------------------------------------------------------------------------------
@@ -210,7 +196,7 @@ class Streams:
         begin = starts_of(words)
         buffer, at = np.zeros(int(words.sum()) + 1, np.uint64), begin * 64
         for (stream, value, size), part in zip(self.parts, taken, strict=True):
-            place = (np.cumsum(size) - size) + (at - starts_of(part))[stream]
+            place = (np.cumsum(size) - size) + (at - starts_of(part)).take(stream)
             low = (place & 63).astype(np.uint64)
             value = value.astype(np.uint64)
             np.add.at(buffer, place >> 6, value << low)
@@ -319,14 +305,14 @@ def put_pixels(out: Streams, px: np.ndarray, img: np.ndarray, alpha: int, group=
         key = ((px * np.uint32(HASH)) >> (32 - cache[img]).astype(np.uint32)).astype(np.int64)
         order = np.sort((img << 10 | key) << 21 | np.arange(len(px)))
         same, order = (order[1:] ^ order[:-1]) >> 21 == 0, order & ((1 << 21) - 1)
-        hit = np.zeros(len(px), bool)
-        hit[order[1:]] = same & (px[order[1:]] == px[order[:-1]])
+        hit, sorted_px = np.zeros(len(px), bool), px.take(order)
+        hit[order[1:]] = same & (sorted_px[1:] == sorted_px[:-1])
         green = np.where(hit, LITERALS + LENGTHS + key, green)
         start, size, far = refs
-        covered = np.zeros(len(px) + 1, np.int64)
-        np.add.at(covered, start, 1)
-        np.add.at(covered, start + size, -1)
-        covered = np.cumsum(covered[:-1]) > 0
+        covered = np.zeros(len(px) + 1, np.int8)
+        covered[start] = 1
+        covered[start + size] -= 1
+        covered = np.cumsum(covered[:-1], dtype=np.int8).view(bool)
         literal, token = ~hit & ~covered, ~covered
         token[start] = True
         long, back = split(size), split(np.where(far == 1, 2, far + len(NEAR)))
@@ -334,11 +320,11 @@ def put_pixels(out: Streams, px: np.ndarray, img: np.ndarray, alpha: int, group=
         a = LITERALS + LENGTHS + (1 << int(cache.max()))
     at = np.flatnonzero(token)
     plain = at if cache is None else np.flatnonzero(literal)
-    of, lit = (code, code) if cache is None else (code[at], code[plain])
-    value = px[plain]
+    of, lit = (code, code) if cache is None else (code.take(at), code.take(plain))
+    value = px.take(plain)
     reds, blues = (value >> np.uint32(16) & np.uint32(255)).astype(np.int64), (value & np.uint32(255)).astype(np.int64)
     count = lambda row, symbol, a: Codes(np.bincount(row * a + symbol, minlength=m * a), a, LONGEST)
-    codes = [count(of, green[at], a), *(count(lit, s, 256) if s.any() else None for s in (reds, blues))]
+    codes = [count(of, green.take(at), a), *(count(lit, s, 256) if s.any() else None for s in (reds, blues))]
     codes += [None, None if refs is None else count(code[start], back[0], DISTANCES)]
     for g in (0, 1):
         stream = np.flatnonzero(groups > g)
@@ -347,7 +333,7 @@ def put_pixels(out: Streams, px: np.ndarray, img: np.ndarray, alpha: int, group=
                 out.add(stream, 5 | symbol << 3 if symbol > 1 else 1 | symbol << 3, 11 if symbol > 1 else 4)
             else:
                 put_codes(out, stream, c, of_group[stream] + g)
-    value, size = codes[0].bits(of, green[at])
+    value, size = codes[0].bits(of, green.take(at))
     place = slice(None) if cache is None else np.flatnonzero(literal[at])
     for c, row, s in ((codes[1], lit, reds), (codes[2], lit, blues)):
         if c is not None:
@@ -361,7 +347,7 @@ def put_pixels(out: Streams, px: np.ndarray, img: np.ndarray, alpha: int, group=
         for v, k in (long[1:], (far, more), back[1:]):
             value[place] |= v << size[place]
             size[place] += k
-    out.add(img[at], value, size)
+    out.add(img.take(at), value, size)
 
 
 def crossed(x: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -419,9 +405,9 @@ def _encode(images: list[np.ndarray]) -> list[bytes]:
     of = small.reshape(cost.shape)
     group = (cost * whole[1][of] > whole[0][of] * size).astype(np.int64)
     each = np.repeat(group[blocks], 1 << SHIFT, 1)[:, :w].ravel()
-    worth = np.zeros(n)
+    worth, row = np.zeros(n), (img * 2 + each) << 8
     for s in (16, 8, 0):
-        freq = np.bincount((img * 2 + each) << 8 | (px >> np.uint32(s) & np.uint32(255)), minlength=n * 512).reshape(n, 2, 256)
+        freq = np.bincount(row + (px >> np.uint32(s) & np.uint32(255)), minlength=n * 512).reshape(n, 2, 256)
         worth += bits_of(freq.sum(1)) - bits_of(freq.reshape(-1, 256)).reshape(n, 2).sum(1)
     group, each = np.where(worth[of] > 0, group, 0), np.where(worth[img] > 0, each, 0)
     cache = np.clip(np.frexp((heights * w).astype(np.float64))[1] - 4, 4, 10).astype(np.int64)
@@ -461,7 +447,7 @@ class Walk:
 
     def look(self, at: np.ndarray) -> np.ndarray:
         """At least 57 bits from a place on."""
-        return self.words[np.minimum(at >> 3, len(self.words) - 1)] >> (at & 7)
+        return self.words.take(at >> 3) >> (at & 7)
 
     def take(self, idx: np.ndarray, n) -> np.ndarray:
         at = self.at[idx]
@@ -502,7 +488,7 @@ class Walk:
                 if not len(live):
                     break
             w = self.look(at)
-            e = table[start + (w & mask)]
+            e = table.take(start + (w & mask))
             symbol, size = e >> 4, e & 15
             times = go.astype(np.int64)
             q = np.flatnonzero(symbol > 15)
@@ -581,11 +567,11 @@ class Walk:
                     alphas = (table[first[3]] >> 4).astype(np.uint32) << np.uint32(24)
             a = at[:k]
             w = self.look(a)
-            e = table[first[0][:k] + (w & masks[0][:k])]
+            e = table.take(first[0][:k] + (w & masks[0][:k]))
             symbol, size = e >> 4, e & 15
-            red = table[first[1][:k] + (w >> size & masks[1][:k])]
+            red = table.take(first[1][:k] + (w >> size & masks[1][:k]))
             size = size + (red & 15)
-            blue = table[first[2][:k] + (w >> size & masks[2][:k])]
+            blue = table.take(first[2][:k] + (w >> size & masks[2][:k]))
             size = size + (blue & 15)
             value = ((red >> 4) << 16 | symbol << 8 | blue >> 4).view(np.uint32)
             if opaque:
@@ -594,7 +580,7 @@ class Walk:
                 alpha = table[first[3][:k] + (w >> size & masks[3][:k])]
                 size = size + (alpha & 15)
                 value |= (alpha >> 4).astype(np.uint32) << np.uint32(24)
-            q = np.flatnonzero((symbol >= LITERALS) | (left[:k] > 0))
+            q = ((symbol >= LITERALS) | (left[:k] > 0)).nonzero()[0]
             if len(q):
                 size[q] = e[q] & 15
                 copies = left[q] > 0
@@ -707,7 +693,11 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
         lists[-1].append((i, h))
     for w, lists in many.items():
         for some in lists:
-            for i, image in _decode([files[i] for i, _ in some], w, np.array([h for _, h in some])).items():
+            try:
+                images = _decode([files[i] for i, _ in some], w, np.array([h for _, h in some]))
+            except IndexError as e:
+                raise ValueError("a stream ends early") from e
+            for i, image in images.items():
                 out[some[i][0]] = image
     return [webp.decode(f) if image is None else image for f, image in zip(files, out, strict=True)]
 
